@@ -46,11 +46,13 @@ def is_finite(value: Column) -> Column:
 
 
 def exact_sum(value: Column, scale: int = 4) -> Column:
-    """Order-independent sum of money-like doubles, returned as double.
+    """Order-independent sum of doubles that have at most ``scale`` decimals, returned as double.
 
-    Doubles are added as decimals so that the total does not depend on how Spark split the rows.
+    Values are added as whole numbers of the smallest unit, so the total does not depend on how
+    Spark split the rows; the decimal accumulator leaves room for any number of rows.
     """
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+    units = F.floor(value * float(10**scale) + 0.5).cast("decimal(18,0)")
+    return F.sum(units).cast("double") / float(10**scale)
 
 
 def money(value: Column) -> Column:

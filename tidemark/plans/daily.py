@@ -9,6 +9,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.scans import Running, running
 from tidemark.plans.metrics import DAILY_METRIC_IDS, GENERAL_ENTERPRISE, pick, with_metrics
 from tidemark.plans.periods import add_comparison_bases
+from tidemark.session import cut_lineage
 
 # Column names of the daily table, in the order of its contract.
 STOCK_COLUMNS = (
@@ -46,20 +47,30 @@ CORE_TTM = (
 
 
 def newest_report_so_far(periods: DataFrame) -> DataFrame:
-    """Newest report date disclosed up to each publish date; same-day disclosures see each other."""
+    """(symbol, publish_date, current_report_date): the newest report date disclosed so far.
+
+    Only the newest report of each publish date matters, so a narrow aggregate is scanned and
+    disclosures of one day see each other.
+    """
+    disclosed = periods.groupBy("symbol", "publish_date").agg(F.max("report_date").alias("report_date"))
     return running(
-        periods, ["symbol"], ["publish_date"], F.trunc("publish_date", "year"),
-        {"current_report_date": Running("max", F.col("report_date"))}, peers=True,
-    )
+        disclosed, ["symbol"], ["publish_date"], F.trunc("publish_date", "year"),
+        {"current_report_date": Running("max", F.col("report_date"))},
+    ).drop("report_date")
 
 
-def report_snapshots(periods: DataFrame) -> DataFrame:
+def report_snapshots(periods: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """The one report in force from each publish date on.
 
     Revisions of a report older than the newest one are left out, and among formats published on
-    the same day the most complete one is chosen.
+    the same day the most complete one is chosen. ``candidates`` are the rows to choose from when
+    they carry more columns than ``periods``.
     """
-    in_force = newest_report_so_far(periods).filter(F.col("report_date") == F.col("current_report_date"))
+    rows = periods if candidates is None else candidates
+    newest = newest_report_so_far(periods)
+    in_force = rows.join(newest, ["symbol", "publish_date"]).filter(
+        F.col("report_date") == F.col("current_report_date")
+    )
     known = sum((F.col(name).isNotNull().cast("int") for name in CORE_TTM), F.lit(0))
     preference = Window.partitionBy("symbol", "publish_date").orderBy(
         F.col("ttm_components_complete").desc_nulls_last(),
@@ -71,14 +82,29 @@ def report_snapshots(periods: DataFrame) -> DataFrame:
     return ranked.filter(F.col("__choice") == 1).drop("__choice", "current_report_date")
 
 
-def build_daily(stocks: DataFrame, periods: DataFrame, unit: str | None = "month") -> DataFrame:
-    """Every stock-day with the report in force, its comparison bases and 32 metrics."""
-    snapshots = report_snapshots(add_comparison_bases(periods)).select(
+PERIOD_INPUTS = (
+    "symbol", "statement_format", "report_date", "publish_date", "period_type", "ttm_components_complete",
+    *(name for name in REPORT_COLUMNS if not name.endswith(("_base", "_change")) and "_base_" not in name),
+)
+
+
+def build_snapshots(periods: DataFrame) -> DataFrame:
+    """Reports in force with their comparison bases, under the names of the daily table."""
+    narrow = periods.select(*PERIOD_INPUTS)
+    return report_snapshots(narrow, add_comparison_bases(narrow)).select(
         "symbol",
         F.col("report_date").alias("financial_report_date"),
         F.col("publish_date").alias("financial_publish_date"),
         "statement_format", "period_type", *REPORT_COLUMNS,
     )
+
+
+def build_daily(stocks: DataFrame, periods: DataFrame, unit: str | None = "month") -> DataFrame:
+    """Every stock-day with the report in force, its comparison bases and 32 metrics.
+
+    The snapshots are read twice by the as-of join, so they are written to the shared folder once.
+    """
+    snapshots = cut_lineage(build_snapshots(periods), "snapshots")
     joined = asof_join(
         stocks.select(*STOCK_COLUMNS), snapshots, ["symbol"], "trade_date", "financial_publish_date",
         [name for name in snapshots.columns if name != "symbol"], unit=unit,

@@ -47,13 +47,15 @@ def statements(spark: SparkSession, folder: str) -> DataFrame:
         Window.partitionBy("l_suppkey", F.year("report_date")).orderBy("report_date")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    versions = quarters.select(
+    cumulated = quarters.select(
         "l_suppkey", "report_date", "open_lines",
         *[
-            F.round(F.sum(f"{name}_{label}").over(so_far), 4).alias(f"{name}_{label}")
+            F.round(F.sum(f"{name}_{label}").over(so_far), 6).alias(f"{name}_{label}")
             for label in ("all", "kept") for name in ("net", "cost", "tax", "qty")
         ],
-        F.explode(F.array(F.lit("all"), F.lit("kept"))).alias("version"),
+    )
+    versions = cumulated.select(
+        "*", F.explode(F.array(F.lit("all"), F.lit("kept"))).alias("version")
     ).select(
         "l_suppkey", "report_date", "open_lines", "version",
         F.date_add(

@@ -53,7 +53,7 @@ def _decoded(spark: SparkSession, spec: DatasetSpec, value: Column) -> Column:
     if spec.encoding.upper() in ("UTF-8", "UTF8"):
         return value
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return F.decode(value.cast("binary"), F.lit(spec.encoding))
+    return F.decode(value.cast("binary"), spec.encoding)
 
 
 def _lines(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
@@ -109,17 +109,19 @@ def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers:
         & (F.trim("line") != "")
     )
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    split = data.select("path", "header", "line", (quotes % 2 == 1).alias("open_quote"), _cells(F.col("line"), width + 1).alias("cells"))
-    beyond = F.exists(F.slice(F.col("cells"), F.size("header") + 1, width + 1), lambda cell: cell.isNotNull())
-    # A trailing separator adds one empty value that the parser reports as NULL.
-    overflow = beyond | ((F.length("line") - F.length(F.replace("line", F.lit(","))) >= F.size("header")) & ~F.contains("line", F.lit('"')))
+    unquoted = F.regexp_replace("line", '"[^"]*"', "")
+    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(",")))
+    split = data.select(
+        "path", "header", (quotes % 2 == 1).alias("open_quote"), (separators >= F.size("header")).alias("overflow"),
+        _cells(F.col("line"), width).alias("cells"),
+    )
     values = F.map_from_arrays(
         F.array_distinct("header"),
         F.slice(F.col("cells"), F.lit(1), F.size(F.array_distinct("header"))),
     )
     return _judged(spec, split.select(
         "path", values.alias("values"),
-        F.when(F.col("open_quote"), "quote left open").when(overflow, "values beyond the header").alias("problem"),
+        F.when(F.col("open_quote"), "quote left open").when(F.col("overflow"), "values beyond the header").alias("problem"),
     ))
 
 
