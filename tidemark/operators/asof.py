@@ -155,41 +155,44 @@ def link_visible_versions(
     entity: Sequence[str],
     valid_date: str,
     known_date: str,
-    roles: dict[str, Column],
-    fields: Sequence[str],
+    roles: dict[str, tuple[Column, Sequence[str]]],
     columns: Sequence[str] | None = None,
+    wanted: Column | None = None,
 ) -> DataFrame:
     """Attach to each version the newest visible versions of related valid dates.
 
-    ``roles`` maps a role name to an ``array<date>`` column: the valid dates for which *this* row
-    may serve in that role. The result has ``columns`` (all by default) plus one struct per role,
-    holding ``fields`` of the newest such row whose known date is not after the row's own.
+    ``roles`` maps a role name to an ``array<date>`` column, the valid dates for which *this* row
+    may serve in that role, and to the fields handed over when it does. The result has ``columns``
+    (all by default) plus one struct per role, from the newest such row whose known date is not
+    after the row's own. ``wanted`` limits the rows that are answered, not those that may serve.
 
     Each row is listed once for itself and once per date it serves, and one window over
     (entity, served date) in order of known date answers all roles together: one shuffle instead
     of an inequality join and a re-join per role. A group holds the versions of a handful of valid
-    dates, never a whole entity.
+    dates, never a whole entity. A listed row carries only what its part in the window needs.
     """
     record = F.struct(*[F.col(name) for name in columns or versions.columns])
-    links = [F.array(F.struct(F.lit("").alias("role"), F.col(valid_date).alias("serves")))]
-    for role, dates in roles.items():
-        links.append(_serving(role, dates))
-    listed = versions.select(
-        *entity, F.col(known_date).alias("__known"), record.alias("__record"),
-        F.explode(F.concat(*links)).alias("__link"),
-    ).select(*entity, "__known", "__record", F.col("__link.role").alias("__role"), F.col("__link.serves").alias("__serves"))
+    own = F.array(F.struct(F.lit("").alias("role"), F.col(valid_date).alias("serves")))
+    if wanted is not None:
+        own = F.filter(own, lambda _: wanted)
+    links = F.concat(own, *[_serving(role, dates) for role, (dates, _) in roles.items()])
+    role_is = lambda role: F.col("__link.role") == role
+    listed = versions.withColumn("__link", F.explode(links)).select(
+        *entity, F.col("__link.serves").alias("__serves"), F.col(known_date).alias("__known"),
+        role_is("").alias("__own"),
+        F.when(role_is(""), record).alias("__record"),
+        *[
+            F.when(role_is(role), F.struct(*[F.col(name) for name in fields])).alias(f"__as_{role}")
+            for role, (_, fields) in roles.items()
+        ],
+    )
     in_order = (
-        Window.partitionBy(*entity, "__serves")
-        .orderBy(F.col("__known").asc_nulls_first(), F.col("__role") == "")
+        Window.partitionBy(*entity, "__serves").orderBy(F.col("__known").asc_nulls_first(), "__own")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    related = F.struct(*[F.col("__record")[name].alias(name) for name in fields])
     linked = listed.withColumns(
-        {
-            f"__as_{role}": F.last(F.when(F.col("__role") == role, related), ignorenulls=True).over(in_order)
-            for role in roles
-        }
-    ).filter(F.col("__role") == "")
+        {f"__as_{role}": F.last(f"__as_{role}", ignorenulls=True).over(in_order) for role in roles}
+    ).filter("__own")
     return linked.select("__record.*", *[F.col(f"__as_{role}").alias(role) for role in roles])
 
 

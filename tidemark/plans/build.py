@@ -8,6 +8,7 @@ from tidemark.operators import quality
 from tidemark.plans.daily import DAILY_COLUMNS, build_daily
 from tidemark.plans.metrics import DAILY_METRIC_IDS, pick
 from tidemark.plans.periods import PERIOD_COLUMNS, build_periods
+from tidemark.session import tune
 from tidemark.sources import files as fs
 
 ROWS_PER_FILE = 2_000_000
@@ -25,5 +26,6 @@ def publish_daily(spark: SparkSession, stocks: DataFrame, output: str) -> str:
         report = quality.check_daily(written, pick(DAILY_METRIC_IDS)).first()
         return [*report["errors"], *quality.check_columns(written, DAILY_COLUMNS)]
 
+    tune(spark)
     periods = fs.read_current(spark, f"{output}/financial_period")
     return fs.publish(build_daily(stocks, periods), f"{output}/stock_financial_daily", check, ROWS_PER_FILE)

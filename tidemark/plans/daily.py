@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.asof import asof_join
 from tidemark.operators.scans import Running, running
 from tidemark.plans.metrics import DAILY_METRIC_IDS, GENERAL_ENTERPRISE, pick, with_metrics
-from tidemark.plans.periods import add_comparison_bases
+from tidemark.plans.periods import KEYS, add_comparison_bases
 from tidemark.session import cut_lineage
 
 # Column names of the daily table, in the order of its contract.
@@ -59,27 +59,25 @@ def newest_report_so_far(periods: DataFrame) -> DataFrame:
     ).drop("report_date")
 
 
-def report_snapshots(periods: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """The one report in force from each publish date on.
+def report_snapshots(periods: DataFrame) -> DataFrame:
+    """Keys of the one report in force from each publish date on, with what decided the choice.
 
     Revisions of a report older than the newest one are left out, and among formats published on
-    the same day the most complete one is chosen. ``candidates`` are the rows to choose from when
-    they carry more columns than ``periods``.
+    the same day the most complete one is chosen. Only the columns that decide are read.
     """
-    rows = periods if candidates is None else candidates
-    newest = newest_report_so_far(periods)
-    in_force = rows.join(newest, ["symbol", "publish_date"]).filter(
+    known = sum((F.col(name).isNotNull().cast("int") for name in CORE_TTM), F.lit(0))
+    deciding = periods.select(*KEYS, "ttm_components_complete", known.alias("__known"))
+    in_force = deciding.join(newest_report_so_far(periods), ["symbol", "publish_date"]).filter(
         F.col("report_date") == F.col("current_report_date")
     )
-    known = sum((F.col(name).isNotNull().cast("int") for name in CORE_TTM), F.lit(0))
     preference = Window.partitionBy("symbol", "publish_date").orderBy(
         F.col("ttm_components_complete").desc_nulls_last(),
-        known.desc(),
+        F.col("__known").desc(),
         (F.col("statement_format") != GENERAL_ENTERPRISE).desc_nulls_last(),
         F.col("statement_format").asc_nulls_last(),
     )
     ranked = in_force.withColumn("__choice", F.row_number().over(preference))
-    return ranked.filter(F.col("__choice") == 1).drop("__choice", "current_report_date")
+    return ranked.filter(F.col("__choice") == 1).select(*KEYS, "ttm_components_complete")
 
 
 PERIOD_INPUTS = (
@@ -90,8 +88,9 @@ PERIOD_INPUTS = (
 
 def build_snapshots(periods: DataFrame) -> DataFrame:
     """Reports in force with their comparison bases, under the names of the daily table."""
-    narrow = periods.select(*PERIOD_INPUTS)
-    return report_snapshots(narrow, add_comparison_bases(narrow)).select(
+    chosen = report_snapshots(periods).select(*KEYS, F.lit(True).alias("__in_force"))
+    marked = periods.select(*PERIOD_INPUTS).join(chosen, list(KEYS), "left")
+    return add_comparison_bases(marked, F.col("__in_force").isNotNull()).select(
         "symbol",
         F.col("report_date").alias("financial_report_date"),
         F.col("publish_date").alias("financial_publish_date"),
@@ -99,10 +98,11 @@ def build_snapshots(periods: DataFrame) -> DataFrame:
     )
 
 
-def build_daily(stocks: DataFrame, periods: DataFrame, unit: str | None = "month") -> DataFrame:
+def build_daily(stocks: DataFrame, periods: DataFrame, unit: str | None = "year") -> DataFrame:
     """Every stock-day with the report in force, its comparison bases and 32 metrics.
 
     The snapshots are read twice by the as-of join, so they are written to the shared folder once.
+    A company has one row per day, so a yearly segment holds at most 366 rows however large the table.
     """
     snapshots = cut_lineage(build_snapshots(periods), "snapshots")
     joined = asof_join(

@@ -181,10 +181,12 @@ def link_components(statements: DataFrame, regular_only: bool = False) -> DataFr
     """Each statement version with the component versions visible at its own publish date."""
     columns = (*KEYS, *BALANCES, *FLOWS)
     narrow = statements.select(*columns)
+    flows = ("report_date", "publish_date", *FLOWS)
+    handed = {"before": flows, "annual": flows, "year_ago": (*flows, *BALANCES)}
     return link_visible_versions(
         narrow if regular_only else with_calendar(narrow),
         ("symbol", "statement_format"), "report_date", "publish_date",
-        served_dates(regular_only), ("report_date", "publish_date", *FLOWS, *BALANCES), columns,
+        {role: (dates_, handed[role]) for role, dates_ in served_dates(regular_only).items()}, columns,
     )
 
 
@@ -254,32 +256,31 @@ def build_periods(statements: DataFrame, regular_only: bool = False) -> DataFram
     return derived.select(*PERIOD_COLUMNS)
 
 
-COMPARISON_FIELDS = (
-    "report_date", "publish_date", "operating_revenue_ytd", "parent_net_profit_ytd",
-    "operating_revenue_quarter", "parent_net_profit_quarter", "operating_revenue_ttm",
-    "parent_net_profit_ttm",
-)
+def _compared_fields(basis: str) -> tuple[str, ...]:
+    return ("report_date", "publish_date", f"operating_revenue_{basis}", f"parent_net_profit_{basis}")
+
 
+def add_comparison_bases(periods: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Year-ago, previous-quarter and three-year-ago bases visible at each row's publish date.
 
-def add_comparison_bases(periods: DataFrame) -> DataFrame:
-    """Year-ago, previous-quarter and three-year-ago bases visible at each row's publish date."""
+    ``wanted`` limits the rows returned; every row may be a base.
+    """
     day = F.col("report_date")
     code = dates.month_day(day)
     next_quarter = F.when(
         code.isin(*dates.QUARTER_ENDS), F.array(F.last_day(F.add_months(day, 3)))
     ).otherwise(F.array().cast("array<date>"))
+    served = {
+        "yoy": (dates.same_day_years_later(day, 1), "ytd", "yoy"),
+        "qoq": (next_quarter, "quarter", "qoq"),
+        "cagr": (dates.same_day_years_later(day, 3), "ttm", "cagr_3y"),
+    }
     linked = link_visible_versions(
         periods, ("symbol", "statement_format"), "report_date", "publish_date",
-        {
-            "yoy": dates.same_day_years_later(day, 1),
-            "qoq": next_quarter,
-            "cagr": dates.same_day_years_later(day, 3),
-        },
-        COMPARISON_FIELDS,
+        {role: (days, _compared_fields(basis)) for role, (days, basis, _) in served.items()}, wanted=wanted,
     )
-    compared = {"yoy": ("ytd", "yoy"), "qoq": ("quarter", "qoq"), "cagr": ("ttm", "cagr_3y")}
     added: dict[str, Column] = {}
-    for role, (basis, label) in compared.items():
+    for role, (_, basis, label) in served.items():
         added[f"{role}_base_report_date"] = F.col(role)["report_date"]
         added[f"{role}_base_publish_date"] = F.col(role)["publish_date"]
         for field in ("operating_revenue", "parent_net_profit"):
@@ -287,4 +288,4 @@ def add_comparison_bases(periods: DataFrame) -> DataFrame:
             added[f"{field}_{label}_base"] = base
             if role != "cagr":
                 added[f"{field}_{label}_change"] = F.col(f"{field}_{basis}") - base
-    return linked.withColumns(added).drop(*compared)
+    return linked.withColumns(added).drop(*served)

@@ -10,7 +10,7 @@ from tidemark.operators import asof, quality, scans
 from tidemark.operators.aggregates import metric_profile
 from tidemark.plans import daily, market, metrics, oracles, periods
 from tidemark.plans.registry import query
-from tidemark.session import cut_lineage, table
+from tidemark.session import cut_lineage, table, tune
 
 
 def build_all_periods(spark, sf) -> DataFrame:
@@ -19,6 +19,7 @@ def build_all_periods(spark, sf) -> DataFrame:
 
 def build_all_days(spark, sf) -> DataFrame:
     """Bars and periods are tables of their own; each is written once before the daily build."""
+    tune(spark)
     stocks = cut_lineage(market.stock_days(spark, sf), "bars")
     return daily.build_daily(stocks, cut_lineage(build_all_periods(spark, sf), "periods"))
 

@@ -77,9 +77,11 @@ def convert(
     report = vendor_csv.inventory(due, headers, spec).first()
     if report["invalid_header_count"]:
         raise ValueError(f"invalid headers: {report['invalid_headers']}")
-    duplicates = vendor_csv.inventory(files, headers, spec).select("duplicate_shards").first()[0]
-    if duplicates:
-        raise ValueError(f"several files for one shard: {duplicates}")
+    # Rows are kept by file; two files of one name clash only where the name is the identity.
+    if not spec.identity_from_folder:
+        twice = files.groupBy("identity").count().filter(F.col("count") > 1).take(5)
+        if twice:
+            raise ValueError(f"several files for one identity: {[row[0] for row in twice]}")
     records = _convert_files(spark, spec, due, due_paths, headers, output, whole_files)
     merged = (
         known.join(records.select("file"), "file", "left_anti")
