@@ -19,7 +19,8 @@ from tidemark.sources.contracts import DatasetSpec, header_error, header_reorder
 from tidemark.sources.files import qualified
 
 EXAMPLES = 100
-CSV_OPTIONS = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+# One cell up to its separator: a quoted text with doubled quotes inside, or anything else.
+CELL = '("(?:[^"]++|"")*+"|[^,]*+),'
 
 
 def plain_path(path: Column) -> Column:
@@ -64,10 +65,15 @@ def _lines(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> Data
     )
 
 
-def _cells(line: Column, width: int) -> Column:
-    schema = ", ".join(f"c{at} string" for at in range(width))
-    parsed = F.from_csv(line, schema, CSV_OPTIONS)
-    return F.array(*[parsed[f"c{at}"] for at in range(width)])
+def _cells(line: Column) -> Column:
+    """Cells of one CSV line; lines without quotes take the cheap way."""
+    quoted = F.transform(
+        F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1)),
+        lambda cell: F.when(
+            cell.startswith('"'), F.replace(F.regexp_replace(cell, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(cell),
+    )
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
 def read_headers(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
@@ -90,8 +96,7 @@ def read_headers(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -
         F.try_element_at(F.col("top.line"), F.lit(spec.preamble_lines + 1)).alias("header_line"),
     )
     bare = F.regexp_replace("header_line", "^\\x{FEFF}", "")
-    names = F.transform(F.split(bare, ",", -1), lambda cell: F.regexp_replace(cell, '^"(.*)"$', "$1"))
-    return clean.withColumn("header", F.coalesce(names, F.array().cast("array<string>")))
+    return clean.withColumn("header", F.coalesce(_cells(bare), F.array().cast("array<string>")))
 
 
 def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers: DataFrame | None = None) -> DataFrame:
@@ -102,35 +107,31 @@ def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers:
     :func:`scan_whole_files`). Blank lines are dropped.
     """
     headers = read_headers(spark, spec, paths) if headers is None else headers
-    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
     lines = attach(_lines(spark, spec, paths), headers, ["path"])
     data = lines.filter(
         ~F.col("line").eqNullSafe(F.col("header_line")) & ~F.array_contains(F.col("preamble"), F.col("line"))
         & (F.trim("line") != "")
     )
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    unquoted = F.regexp_replace("line", '"[^"]*"', "")
-    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(",")))
-    split = data.select(
-        "path", "header", (quotes % 2 == 1).alias("open_quote"), (separators >= F.size("header")).alias("overflow"),
-        _cells(F.col("line"), width).alias("cells"),
-    )
-    values = F.map_from_arrays(
-        F.array_distinct("header"),
-        F.slice(F.col("cells"), F.lit(1), F.size(F.array_distinct("header"))),
+    split = data.select("path", "header", (quotes % 2 == 1).alias("open_quote"), _cells(F.col("line")).alias("cells"))
+    by_name = F.map_from_arrays("header", F.transform("header", lambda _, at: F.get("cells", at)))
+    problem = F.when(F.col("open_quote"), "quote left open").when(
+        F.size("cells") > F.size("header"), "values beyond the header"
     )
-    return _judged(spec, split.select(
-        "path", values.alias("values"),
-        F.when(F.col("open_quote"), "quote left open").when(F.col("overflow"), "values beyond the header").alias("problem"),
-    ))
+    # Generating the row keeps later filters from repeating the map for every column they name.
+    row = F.struct("path", by_name.alias("values"), problem.alias("problem"))
+    return _judged(spec, split.select(F.inline(F.array(row))))
 
 
 def _judged(spec: DatasetSpec, rows: DataFrame) -> DataFrame:
-    known = F.array(*[F.try_element_at(F.col("values"), F.lit(name)) for name in spec.known_sources])
-    filled = F.exists(known, lambda cell: F.trim(F.coalesce(cell, F.lit(""))) != "")
+    known = F.array(*[F.lit(name) for name in spec.known_sources])
+    filled = F.exists(
+        F.map_values(F.map_filter("values", lambda name, _: F.array_contains(known, name))),
+        lambda cell: F.trim(F.coalesce(cell, F.lit(""))) != "",
+    )
     identity = identity_of(spec, F.col("path"))
     source = next(c.source for c in spec.columns if c.target == spec.identity)
-    told = F.trim(F.coalesce(F.try_element_at(F.col("values"), F.lit(source)), F.lit("")))
+    told = F.regexp_replace(F.coalesce(F.try_element_at("values", F.lit(source)), F.lit("")), "^\\s+|\\s+$", "")
     wrong = F.when(told != identity, F.lit("identity does not match the file"))
     return rows.filter(filled | F.col("problem").isNotNull()).select(
         "path", identity.alias("identity"), "values", F.coalesce("problem", wrong).alias("problem")
