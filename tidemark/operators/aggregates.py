@@ -102,10 +102,13 @@ def exact_quantile(
     )
     located = attach(known, bracket, keys)
     rank = (F.col("__n") - 1) * F.lit(q)
-    split = located.groupBy(
-        *keys, "__n", F.when((F.col("__v") >= F.col("__b")[0]) & (F.col("__v") <= F.col("__b")[1]), F.col("__v")).alias("__in")
-    ).agg(
-        F.count(F.lit(1)).alias("__count"), F.count_if(F.col("__v") < F.col("__b")[0]).alias("__under")
+    # Groups up to the accuracy are walked whole: their bracket could miss a neighbouring rank.
+    value_ = F.col("__v")
+    small = F.col("__n") <= accuracy
+    under = ~small & (value_ < F.col("__b")[0])
+    inside_ = small | ((value_ >= F.col("__b")[0]) & (value_ <= F.col("__b")[1]))
+    split = located.groupBy(*keys, "__n", F.when(inside_, value_).alias("__in")).agg(
+        F.count(F.lit(1)).alias("__count"), F.count_if(under).alias("__under")
     )
     below = split.groupBy(*keys).agg(F.sum("__under").alias("__below"))
     inside = attach(split.filter(F.col("__in").isNotNull()), below, keys)

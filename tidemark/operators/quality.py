@@ -28,15 +28,16 @@ def null_key(keys: Sequence[str]) -> Column:
 
 
 def check_table(
-    df: DataFrame, keys: Sequence[str], identity: str, day: str,
+    df: DataFrame, keys: Sequence[str], identity: str, day: str | None,
     expected_rows: int | None = None, expected_identities: int | None = None,
 ) -> DataFrame:
     """Keys complete and unique, coverage, and agreement with what the manifest promised."""
+    when = F.col(day) if day else F.lit(None).cast("date")
     summary = df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct(F.col(identity)).alias("identity_count"),
-        F.min(day).alias("min_date"),
-        F.max(day).alias("max_date"),
+        F.min(when).alias("min_date"),
+        F.max(when).alias("max_date"),
         F.count_if(null_key(keys)).alias("null_key_rows"),
     ).withColumn("duplicate_key_groups", duplicate_groups(df, keys).agg(F.count(F.lit(1))).scalar())
     rules = [_said("null_key_rows", "rows have null keys"), _said("duplicate_key_groups", "duplicate key groups")]

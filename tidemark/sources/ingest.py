@@ -109,7 +109,7 @@ def _convert_files(spark, spec, due, paths, headers, output, whole_files) -> Dat
         rows = with_metrics(rows, pick(EXTRA[spec.table]))
     rows.write.option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
     written = spark.read.schema(rows.schema).parquet(folder)
-    day = spec.date_column
+    day = F.col(spec.date_column) if spec.date_column else F.lit(None).cast("date")
     stats = written.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(any_of(F.col(key).isNull() for key in spec.keys)).alias("null_keys"),
