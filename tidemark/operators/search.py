@@ -13,6 +13,7 @@ from tidemark.functions.numeric import clamp
 from tidemark.functions.text import content_hash, tokens
 from tidemark.operators.aggregates import first_rows_per
 from tidemark.operators.asof import newest_per
+from tidemark.session import cut_lineage
 
 # Ranking constants and default depths.
 BM25_K1 = 1.5
@@ -32,9 +33,10 @@ def bm25(
 ) -> DataFrame:
     """BM25 of every query against every document that shares a token with it.
 
-    Documents are hash-partitioned by id once. Counting tokens per document and adding up a
-    document's score per query then need no further exchange. Query terms meet document terms on
-    (term, salt): a common term is spread over ``SALTS`` groups, and Spark broadcasts the query
+    Documents are hash-partitioned by id and tokenised once; what is kept, in a table in the shared
+    folder, is their length and the counts of asked terms. Adding up a document's score per query
+    needs no exchange after partitioning that table by document. Query terms meet document terms
+    on (term, salt): a common term is spread over ``SALTS`` groups, and Spark broadcasts the query
     side only while it is below its own size threshold. Scores are divided by the query's best.
     """
     query_terms = (
@@ -42,20 +44,23 @@ def bm25(
         .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
     )
     bags = (
-        documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms"))
-        .repartition("doc_id")
-        .select("doc_id", F.size("terms").alias("length"), "terms")
+        documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+        .select("doc_id", tokens(F.col("text")).alias("terms"))
     )
-    corpus = documents.select(F.size(tokens(F.col(text))).alias("length")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean")
-    )
-    stats = corpus.select(F.struct("n", "mean")).scalar()
+    # The empty term, which no text contains, stands for the document itself.
+    asked = query_terms.select("term").unionByName(queries.sparkSession.sql("select '' as term")).distinct()
     counted = (
-        bags.select("doc_id", "length", F.explode("terms").alias("term"))
+        bags.select(
+            "doc_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")
+        )
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    asked = query_terms.select("term").distinct()
-    spread = counted.join(asked, "term", "left_semi")
+    kept = cut_lineage(counted.join(asked, "term", "left_semi"), "terms")
+    spread = kept.filter(F.col("term") != "")
+    corpus = kept.filter(F.col("term") == "").agg(
+        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
+    )
+    stats = corpus.scalar()
     document_frequency = spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = query_terms.join(document_frequency, "term").select(
         "query_id", "term",
@@ -65,7 +70,7 @@ def bm25(
         ).alias("gain"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = spread.repartition("doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.greatest(F.lit(1.0), stats["mean"]))
     scored = (
         salted.join(weighed, ["term", "salt"])
