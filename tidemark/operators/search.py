@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp
@@ -78,12 +78,13 @@ def bm25(
         .groupBy("doc_id", "query_id").agg(F.sum("part").alias("raw"))
         .filter(F.col("raw") > 0)
     )
-    best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
-    normal = scored.join(best, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("best")).alias("score"))
     if depth is None:
-        return normal
-    ranked = F.round("score", 9).desc()
-    return first_rows_per(normal, ["query_id"], [ranked, F.col("doc_id").asc()], depth)
+        best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
+        return scored.join(best, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("best")).alias("score"))
+    # The best score of a query is among its first rows, so the cut comes before the division.
+    ranked = first_rows_per(scored, ["query_id"], [F.round("raw", 9).desc(), F.col("doc_id").asc()], depth)
+    score = F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))
+    return ranked.select("query_id", "doc_id", score.alias("score"), "rank")
 
 
 def inner_product(left: Column, right: Column) -> Column:

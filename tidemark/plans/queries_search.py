@@ -41,8 +41,8 @@ raw as (select query_id, doc_id,
   sum(weight * ln(1 + (n.n - df.df + 0.5::double) / (df.df + 0.5::double)) * tf * 2.5::double
    / (tf + 1.5::double * (0.25::double + 0.75::double * length / greatest(1, n.mean)))) as raw
  from q join df using (term) join tf using (term), n group by all),
-scored as (select query_id, doc_id, raw / max(raw) over (partition by query_id) as score from raw where raw > 0),
-keyword as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank
+scored as (select *, raw / max(raw) over (partition by query_id) as score from raw where raw > 0),
+keyword as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(raw, 9) desc, doc_id) as rank
  from scored qualify rank <= {DEPTH})
 """
 
