@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. If one key holds a large
 share of the table, that task decides the run time. The operators here cut each key into *segments*
-of its order (a month of dates, a block of positions), run the window per ``(key, segment)``, and
-fetch what earlier segments contribute from a per-segment aggregate. The aggregate combines on the
-map side and has one row per key and segment.
+of its order (a month of dates, a block of positions) and run the window per ``(key, segment)``.
+What other segments contribute comes from a per-segment aggregate, which combines on the map side
+and has one row per key and segment; it enters each window as one extra row, so the large side is
+shuffled once and never joined.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "__segment"
+CARRIED = "__carried"
 
 
 @dataclass(frozen=True)
@@ -25,40 +27,21 @@ class Running:
     kind: str
     value: Column
 
-    def partial(self, order: Column) -> Column:
-        if self.kind == "last":
-            return F.max_by(self.value, F.when(self.value.isNotNull(), order))
-        return {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}[self.kind](self.value)
+    def entry(self) -> Column:
+        """What one row adds to the measure."""
+        return self.value.isNotNull().cast("long") if self.kind == "count" else self.value
 
-    def fold(self, partial: Column) -> Column:
-        """Combine partials of several segments, in segment order."""
+    def partial(self, entry: Column, order: Column) -> Column:
+        """The entries of one segment in one value."""
         if self.kind == "last":
-            return F.last(partial, ignorenulls=True)
-        return {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}[self.kind](partial)
+            return F.max_by(entry, F.when(entry.isNotNull(), order))
+        return self.fold(entry)
 
-    def within(self) -> Column:
-        if self.kind == "last":
-            return F.last(self.value, ignorenulls=True)
-        return {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}[self.kind](self.value)
-
-    def merge(self, carried: Column, own: Column) -> Column:
-        if self.kind == "max":
-            return F.greatest(carried, own)
-        if self.kind == "min":
-            return F.least(carried, own)
+    def fold(self, entry: Column) -> Column:
+        """Combine entries, or partials, that come in order."""
         if self.kind == "last":
-            return F.coalesce(own, carried)
-        if self.kind == "count":
-            return F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0))
-        return F.coalesce(carried + own, carried, own)
-
-
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality over ``keys``."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+            return F.last(entry, ignorenulls=True)
+        return {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}[self.kind](entry)
 
 
 def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -87,10 +70,11 @@ def running(
     ``segment`` has to be non-decreasing along ``order``. With ``peers`` rows that tie on ``order``
     share a value (RANGE frame); rows that tie then have to fall into one segment.
     """
-    base = df.withColumn(SEGMENT, segment)
+    entries = {f"__e_{name}": m.entry() for name, m in measures.items()}
+    base = df.withColumns({SEGMENT: segment, **entries})
     position = F.struct(*[F.col(name) for name in order])
     per_segment = base.groupBy(*keys, SEGMENT).agg(
-        *[m.partial(position).alias(f"__c_{name}") for name, m in measures.items()]
+        *[m.partial(F.col(f"__e_{name}"), position).alias(f"__e_{name}") for name, m in measures.items()]
     )
     earlier = (
         Window.partitionBy(*keys).orderBy(F.col(SEGMENT).asc_nulls_first())
@@ -98,19 +82,25 @@ def running(
     )
     carried = per_segment.select(
         *keys, SEGMENT,
-        *[m.fold(F.col(f"__c_{name}")).over(earlier).alias(f"__c_{name}") for name, m in measures.items()],
+        *[m.fold(F.col(f"__e_{name}")).over(earlier).alias(f"__e_{name}") for name, m in measures.items()],
+        F.lit(True).alias(CARRIED),
+    )
+    together = base.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    ordered = Window.partitionBy(*keys, SEGMENT).orderBy(
+        F.col(CARRIED).desc(), *[F.col(name).asc_nulls_first() for name in order]
     )
-    ordered = Window.partitionBy(*keys, SEGMENT).orderBy(*[F.col(name).asc_nulls_first() for name in order])
     if peers:
         frame = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     else:
         frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    local = base.withColumns({f"__w_{name}": m.within().over(frame) for name, m in measures.items()})
-    joined = attach(local, carried, [*keys, SEGMENT])
-    return joined.select(
-        *df.columns,
-        *[m.merge(F.col(f"__c_{name}"), F.col(f"__w_{name}")).alias(name) for name, m in measures.items()],
-    )
+    measured = together.withColumns(
+        {f"__m_{name}": m.fold(F.col(f"__e_{name}")).over(frame) for name, m in measures.items()}
+    ).filter(~F.col(CARRIED))
+    found = {
+        name: F.coalesce(F.col(f"__m_{name}"), F.lit(0)) if m.kind == "count" else F.col(f"__m_{name}")
+        for name, m in measures.items()
+    }
+    return measured.select(*df.columns, *[column.alias(name) for name, column in found.items()])
 
 
 def neighbour(
@@ -122,19 +112,24 @@ def neighbour(
     ahead: bool = False,
 ) -> DataFrame:
     """Previous (or with ``ahead`` next) row's values along ``order`` within ``keys``."""
-    base = df.withColumn(SEGMENT, segment)
     payload = F.struct(*[value.alias(name) for name, value in values.items()])
+    base = df.withColumns({SEGMENT: segment, "__near": payload})
     position = F.struct(*[F.col(name) for name in order])
-    edge = F.min_by(payload, position) if ahead else F.max_by(payload, position)
-    per_segment = base.groupBy(*keys, SEGMENT).agg(edge.alias("__edge"))
+    edge = F.min_by("__near", position) if ahead else F.max_by("__near", position)
+    per_segment = base.groupBy(*keys, SEGMENT).agg(edge.alias("__near"))
     by_segment = Window.partitionBy(*keys).orderBy(F.col(SEGMENT).asc_nulls_first())
     step = F.lead if ahead else F.lag
-    carried = per_segment.select(*keys, SEGMENT, step("__edge").over(by_segment).alias("__edge"))
-    ordered = Window.partitionBy(*keys, SEGMENT).orderBy(*[F.col(name).asc_nulls_first() for name in order])
-    local = base.withColumn("__near", step(payload).over(ordered))
-    joined = attach(local, carried, [*keys, SEGMENT])
-    near = F.coalesce(F.col("__near"), F.col("__edge"))
-    return joined.select(*df.columns, *[near[name].alias(name) for name in values])
+    carried = per_segment.select(
+        *keys, SEGMENT, step("__near").over(by_segment).alias("__near"), F.lit(True).alias(CARRIED)
+    )
+    together = base.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    # The neighbouring segment's row stands before the first row, or after the last one.
+    edge_first = F.col(CARRIED).asc() if ahead else F.col(CARRIED).desc()
+    ordered = Window.partitionBy(*keys, SEGMENT).orderBy(
+        edge_first, *[F.col(name).asc_nulls_first() for name in order]
+    )
+    near = together.withColumn("__beside", step("__near").over(ordered)).filter(~F.col(CARRIED))
+    return near.select(*df.columns, *[F.col("__beside")[name].alias(name) for name in values])
 
 
 def row_position(
