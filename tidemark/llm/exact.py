@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import NO_ID, ascii_lower, key_of, text_of  # noqa: F401
+from tidemark.llm.text import ascii_lower, key_of, text_of
 from tidemark.session import cut_lineage
 
 #: Digests of one table at most, on average.

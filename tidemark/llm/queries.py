@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, lines, mixing, pieces, preferences, secrets, topk
+from tidemark.llm import exact, lines, minhash, mixing, pieces, preferences, quality, repeats, secrets, topk
+from tidemark.llm.text import id_of
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +97,24 @@ def op4(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
 
 
+@query("op5_minhash_near_dedup")
+def op5(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(documents, width=3, percent=85)
+    return found.select(
+        id_of("key").alias("doc_id"), "n_shingles", id_of("component").alias("component_id"),
+        (F.col("key") == F.col("component")).alias("kept"),
+    )
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(documents, quality.grades_of(table(spark, sf, "labels")), levels=3)
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", "expected_grade", "tail", quality.keep_clean(scored).alias("kept"))
+
+
 @query("op7_sentencepiece_round_trip")
 def op7(spark, sf):
     import public_tokenizers
@@ -110,6 +129,12 @@ def op7(spark, sf):
     )
 
 
+@query("op8_suffix_dedup")
+def op8(spark, sf):
+    kept = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha(F.col("kept")).alias("kept_sha256"))
+
+
 @query("op9_secret_scan")
 def op9(spark, sf):
     found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
@@ -133,7 +158,6 @@ def op10(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text")
     old = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
     rows = exact.dedup(documents.where(old), documents.where(~old))
-    id_of = lambda key: F.when(F.col(key) != exact.NO_ID, F.col(key))
     return rows.select(
         id_of("key").alias("doc_id"), id_of("keep_key").alias("keep_id"), "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
