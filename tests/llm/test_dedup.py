@@ -88,7 +88,7 @@ def test_minmax_bands_estimate_similarity():
     assert 4 <= shared <= 24  # 32 * 0.8 ** 4 = 13 expected
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 300])
+@pytest.mark.parametrize("piece", [1_000_000, 300])
 def test_repeats_against_brute_force(spark, monkeypatch, piece):
     monkeypatch.setattr(repeats, "PIECE", piece)
     rows = documents()

@@ -32,9 +32,9 @@ from tidemark.session import cut_lineage
 
 LENGTH, GRAM = 100, 24
 #: Bytes fingerprinted at once; a longer text is cut into pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1_000_000
 #: Pairs in which a task looks for equal ones before it passes them on.
-HELD = 1_500_000
+HELD = 750_000
 PAIR = "one long, two long, key long, row int, start long, span int, known boolean"
 FOUND = "key long, row int, start long, span int, repeat boolean"
 _random = np.random.default_rng(20240229)
