@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import exact_sum
+from tidemark.plans.golden import compare_snapshots, write_snapshots
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path, table
 from tidemark.sources import catalog, ingest, vendor_csv
@@ -42,13 +43,20 @@ EVENT_FILES = DatasetSpec(
 
 def _written_files(spark, sf) -> str:
     """The events as vendor-style files: one folder per event type, legacy encoding."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     source = scratch_path(spark, "vendor")
     folder = F.concat(F.lit("folder="), F.col("event_type"))
-    table(spark, sf, "events").select(
+    files = table(spark, sf, "events").select(
         folder.alias("类型"), F.col("event_id").alias("编号"), F.to_date("ts").alias("日期"),
         F.col("value").alias("数值"), F.col("event_type").alias("folder"),
-    ).write.partitionBy("folder").option("header", "true").option("encoding", "GB18030").csv(source)
+    )
+    # Spark's CSV writer knows this encoding only under a setting, which is put back.
+    setting = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        files.write.partitionBy("folder").option("header", "true").option("encoding", "GB18030").csv(source)
+    finally:
+        spark.conf.set(setting, before)
     return source
 
 
@@ -72,6 +80,18 @@ def vendor_file_conversion(spark, sf):
     )
 
 
+@query(
+    "vendor_limited_conversion",
+    "select concat('folder=', event_type) as kind, count(*) as row_count from events group by 1",
+)
+def vendor_limited_conversion(spark, sf):
+    """All files, then one of them again: the rows of the others stay."""
+    source, output = _written_files(spark, sf), scratch_path(spark, "curated")
+    ingest.convert(spark, EVENT_FILES, source, output)
+    ingest.convert(spark, EVENT_FILES, source, output, force=True, limit_files=1)
+    return ingest.read_table(spark, EVENT_FILES, output).groupBy("kind").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query(
     "vendor_file_inventory",
     """select 'event_files' as table_name, count(distinct event_type) as identity_count, 5 as expected_column_count,
@@ -100,3 +120,19 @@ def published_orders(spark, sf):
     return read_current(spark, output).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("highest")
     )
+
+
+@query(
+    "golden_snapshots",
+    """select 'orders_by_status' as name, true as equal, '' as reason
+ union all select 'parts_by_brand', false, 'values differ' union all select 'customers', false, 'no snapshot'""",
+)
+def golden_snapshots(spark, sf):
+    """Two results are stored; one of them changes in one value afterwards, a third was never stored."""
+    orders = table(spark, sf, "orders").groupBy("o_orderstatus").agg(exact_sum(F.col("o_totalprice"), 2).alias("total"))
+    brands = table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"))
+    changed = table(spark, sf, "part").groupBy("p_brand").agg((F.count(F.lit(1)) + F.max(F.when(F.col("p_partkey") == 1, 1).otherwise(0))).alias("parts"))
+    folder = scratch_path(spark, "golden")
+    write_snapshots(spark, {"orders_by_status": orders, "parts_by_brand": brands}, folder)
+    customers = table(spark, sf, "customer").groupBy("c_mktsegment").count()
+    return compare_snapshots(spark, {"orders_by_status": orders, "parts_by_brand": changed, "customers": customers}, folder)

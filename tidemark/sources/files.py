@@ -38,6 +38,11 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    _system(spark, path).delete(_path(spark, path), True)
+
+
 def versions(spark: SparkSession, table: str) -> list[int]:
     names = [name for name, folder in children(spark, table) if folder and name.startswith(VERSION)]
     return sorted(int(name[len(VERSION):]) for name in names)

@@ -16,6 +16,7 @@ from tidemark.functions.numeric import any_of
 from tidemark.operators.aggregates import tuple_distinct
 from tidemark.operators.quality import check_columns, check_table
 from tidemark.plans.metrics import MARKET_METRIC_IDS, pick, with_metrics
+from tidemark.session import cut_lineage
 from tidemark.sources import files as fs
 from tidemark.sources import vendor_csv
 from tidemark.sources.contracts import DatasetSpec
@@ -73,7 +74,7 @@ def convert(
     due_paths = [row[0] for row in due.select("path").collect()]
     if not due_paths:
         return summary(spec, known, 0, everything)
-    headers = vendor_csv.read_headers(spark, spec, due_paths)
+    headers = cut_lineage(vendor_csv.read_headers(spark, spec, due_paths), "headers")
     report = vendor_csv.inventory(due, headers, spec).first()
     if report["invalid_header_count"]:
         raise ValueError(f"invalid headers: {report['invalid_headers']}")
@@ -83,28 +84,24 @@ def convert(
         if twice:
             raise ValueError(f"several files for one identity: {[row[0] for row in twice]}")
     records = _convert_files(spark, spec, due, due_paths, headers, output, whole_files)
-    merged = (
-        known.join(records.select("file"), "file", "left_anti")
-        .join(files.select("file"), "file", "left_semi")
-        .unionByName(records)
-    )
-    fs.publish(merged.coalesce(1), f"{output}/_manifest/{spec.table}")
+    # Records of files that this run has not looked at, or that have left the source, stay.
+    merged = known.join(records.select("file"), "file", "left_anti").unionByName(records)
+    fs.publish(merged, f"{output}/_manifest/{spec.table}")
     return summary(spec, manifest(spark, spec, output), len(due_paths), everything - len(due_paths)) | {
         "reordered_header_count": report["reordered_header_count"]
     }
 
 
 def _convert_files(spark, spec, due, paths, headers, output, whole_files) -> DataFrame:
+    """Write the rows of the due files in one pass and check what was written; the records of the files."""
     run = uuid.uuid4().hex
     folder = f"{output}/{spec.table}/run={run}"
     scanned = (
         vendor_csv.scan_whole_files(spark, spec, paths) if whole_files
         else vendor_csv.scan(spark, spec, paths, headers)
     )
-    problems = scanned.filter(F.col("problem").isNotNull()).groupBy("path", "problem").count().take(5)
-    if problems:
-        raise ValueError("unusable lines: " + "; ".join(f"{p.path}: {p.problem}" for p in problems))
-    rows = vendor_csv.typed_rows(spec, scanned).join(due.select("path", "file"), "path").drop("path")
+    # Every line is written, an unusable one with its problem in place of values; its file then fails the checks.
+    rows = vendor_csv.typed_rows(spec, scanned, keep_problems=True).join(due.select("path", "file"), "path").drop("path")
     if spec.table in EXTRA:
         rows = with_metrics(rows, pick(EXTRA[spec.table]))
     rows.write.option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(folder)
@@ -112,22 +109,23 @@ def _convert_files(spark, spec, due, paths, headers, output, whole_files) -> Dat
     day = F.col(spec.date_column) if spec.date_column else F.lit(None).cast("date")
     stats = written.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"),
+        F.max("problem").alias("problem"),
         F.count_if(any_of(F.col(key).isNull() for key in spec.keys)).alias("null_keys"),
         tuple_distinct(*spec.keys).alias("distinct_keys"),
         F.count_distinct(F.col(spec.identity)).alias("identities"),
         F.min(day).alias("min_date"), F.max(day).alias("max_date"),
     )
-    read = scanned.join(due.select("path", "file"), "path").groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
-    checked = due.join(stats, "file", "left").join(read, "file", "left")
-    known_rows = F.coalesce("rows", F.lit(0))
+    checked = cut_lineage(due.join(stats, "file", "left"), "converted")
+    unusable = checked.filter(F.col("problem").isNotNull()).select("file", "problem").take(5)
+    if unusable:
+        raise ValueError("unusable lines: " + "; ".join(f"{p.file}: {p.problem}" for p in unusable))
     faulty = checked.filter(
-        (known_rows == 0) | (known_rows != F.coalesce("lines", F.lit(0))) | (F.col("null_keys") > 0)
+        (F.coalesce("rows", F.lit(0)) == 0) | (F.col("null_keys") > 0)
         | (F.col("distinct_keys") != F.col("rows")) | (F.col("identities") != 1)
     ).select("file").take(5)
     if faulty:
         raise ValueError(
-            "empty files, changed row counts, or null, duplicate or foreign keys in: "
-            + ", ".join(row.file for row in faulty)
+            "empty files, or null, duplicate or foreign keys in: " + ", ".join(row.file for row in faulty)
         )
     return checked.select(
         "file", "identity", "length", "modified", F.lit(spec.signature).alias("signature"),
@@ -138,7 +136,11 @@ def _convert_files(spark, spec, due, paths, headers, output, whole_files) -> Dat
 def read_table(spark: SparkSession, spec: DatasetSpec, output: str) -> DataFrame:
     """Current rows of a converted table: those of the run the manifest names for their file."""
     current = manifest(spark, spec, output).select("file", "run")
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{output}/{spec.table}")
+    # Runs that no record names are superseded; a conversion makes one run, so the names are few.
+    runs = [f"{output}/{spec.table}/run={row[0]}" for row in current.select("run").distinct().collect()]
+    if not runs:
+        raise ValueError(f"nothing is converted for {spec.table} in {output}")
+    stored = spark.read.option("mergeSchema", "true").option("basePath", f"{output}/{spec.table}").parquet(*runs)
     return stored.join(current, ["file", "run"], "left_semi").select(*output_columns(spec))
 
 

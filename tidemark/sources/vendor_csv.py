@@ -10,7 +10,9 @@ import csv
 import io
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,20 +52,42 @@ def list_files(spark: SparkSession, spec: DatasetSpec, source: str, limit: int |
     return files.orderBy("path").limit(limit) if limit else files
 
 
-def _decoded(spark: SparkSession, spec: DatasetSpec, value: Column) -> Column:
+def _decoded(spec: DatasetSpec, value: pa.Array) -> pa.Array:
+    """Lines as text; bytes that the encoding does not know become U+FFFD."""
     if spec.encoding.upper() in ("UTF-8", "UTF8"):
-        return value
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return F.decode(value.cast("binary"), spec.encoding)
+        return value.cast(pa.string()) if value.type != pa.string() else value
+    return pa.array([raw.decode(spec.encoding, "replace") for raw in value.cast(pa.binary()).to_pylist()], pa.string())
 
 
 def _lines(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
-    return spark.read.text(list(paths)).select(
+    """(path, block, n, line): every line, numbered within its block of its file from 0.
+
+    A task reads its blocks one after the other and each from its start, so counting along the batches numbers the
+    lines; block 0 holds the first lines of a file.
+    """
+    raw = spark.read.text(list(paths)).select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        _decoded(spark, spec, F.col("value")).alias("line"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"),
     )
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paths, blocks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last != (paths[0], blocks[0])], (paths[1:] != paths[:-1]) | (blocks[1:] != blocks[:-1])])
+            at = np.arange(len(paths))
+            start = np.maximum.accumulate(np.where(new, at, -n))
+            numbers = at - start
+            last, n = (paths[-1], blocks[-1]), int(numbers[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(numbers), _decoded(spec, batch.column(2))],
+                names=["path", "block", "n", "line"],
+            )
+
+    return raw.mapInArrow(number, "path string, block long, n long, line string")
+
 
 def _cells(line: Column) -> Column:
     """Cells of one CSV line; lines without quotes take the cheap way."""
@@ -77,26 +101,9 @@ def _cells(line: Column) -> Column:
 
 
 def read_headers(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
-    """(path, preamble, header_line, header) per file.
-
-    Lines of one file keep their reading order in the task that reads its first block, so the
-    header is the line a fixed number of steps after the file's first one.
-    """
-    numbered = _lines(spark, spec, paths).filter(F.col("block") == 0).withColumn(
-        "at", F.monotonically_increasing_id()
-    )
-    first = numbered.groupBy("path").agg(F.min("at").alias("first"))
-    top = (
-        numbered.join(first, "path").filter(F.col("at") <= F.col("first") + spec.preamble_lines)
-        .groupBy("path").agg(F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("first")).alias("n"), "line"))).alias("top"))
-    )
-    clean = top.select(
-        "path", F.slice(F.col("top.line"), 1, spec.preamble_lines).alias("preamble") if spec.preamble_lines
-        else F.array().cast("array<string>").alias("preamble"),
-        F.try_element_at(F.col("top.line"), F.lit(spec.preamble_lines + 1)).alias("header_line"),
-    )
-    bare = F.regexp_replace("header_line", "^\\x{FEFF}", "")
-    return clean.withColumn("header", F.coalesce(_cells(bare), F.array().cast("array<string>")))
+    """(path, header) per file: the line after the preamble. A file without such a line has no row."""
+    top = _lines(spark, spec, paths).filter((F.col("block") == 0) & (F.col("n") == spec.preamble_lines))
+    return top.select("path", _cells(F.regexp_replace("line", "^\\x{FEFF}", "")).alias("header"))
 
 
 def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers: DataFrame | None = None) -> DataFrame:
@@ -107,11 +114,9 @@ def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers:
     :func:`scan_whole_files`). Blank lines are dropped.
     """
     headers = read_headers(spark, spec, paths) if headers is None else headers
-    lines = attach(_lines(spark, spec, paths), headers, ["path"])
-    data = lines.filter(
-        ~F.col("line").eqNullSafe(F.col("header_line")) & ~F.array_contains(F.col("preamble"), F.col("line"))
-        & (F.trim("line") != "")
-    )
+    # By position: a data line may well equal the header or a line above it.
+    data = _lines(spark, spec, paths).filter(((F.col("block") > 0) | (F.col("n") > spec.preamble_lines)) & (F.trim("line") != ""))
+    data = attach(data, headers, ["path"])
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
     split = data.select("path", "header", (quotes % 2 == 1).alias("open_quote"), _cells(F.col("line")).alias("cells"))
     by_name = F.map_from_arrays("header", F.transform("header", lambda _, at: F.get("cells", at)))
@@ -167,9 +172,15 @@ def scan_whole_files(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str
     return _judged(spec, files.mapInPandas(parse, "path string, values map<string,string>, problem string"))
 
 
-def typed_rows(spec: DatasetSpec, scanned: DataFrame, strict: bool = True) -> DataFrame:
-    """Contract columns of the usable lines, with the file they came from."""
-    return scanned.filter(F.col("problem").isNull()).select("path", *projection(spec, F.col("values"), strict))
+def typed_rows(spec: DatasetSpec, scanned: DataFrame, strict: bool = True, keep_problems: bool = False) -> DataFrame:
+    """Contract columns of the usable lines, with the file they came from.
+
+    With ``keep_problems`` unusable lines come too, with their problem and without values.
+    """
+    if not keep_problems:
+        return scanned.filter(F.col("problem").isNull()).select("path", *projection(spec, F.col("values"), strict))
+    values = F.when(F.col("problem").isNull(), F.col("values")).otherwise(F.create_map().cast("map<string,string>"))
+    return scanned.withColumn("values", values).select("path", "problem", *projection(spec, F.col("values"), strict))
 
 
 def malformed(spec: DatasetSpec, scanned: DataFrame) -> DataFrame:
@@ -185,7 +196,9 @@ def malformed(spec: DatasetSpec, scanned: DataFrame) -> DataFrame:
 
 def inventory(files: DataFrame, headers: DataFrame, spec: DatasetSpec) -> DataFrame:
     """One row: counts, bytes, newest change, faulty and reordered headers, duplicate shards."""
-    seen = attach(files, headers.select("path", "header"), ["path"])
+    seen = attach(files, headers.select("path", "header"), ["path"]).withColumn(
+        "header", F.coalesce("header", F.array().cast("array<string>"))
+    )
     judged = seen.withColumn("error", header_error(spec, F.col("header"))).withColumn(
         "reordered", F.col("error").isNull() & header_reordered(spec, F.col("header"))
     )
