@@ -12,6 +12,19 @@ from tidemark.operators.scans import SEGMENT, neighbour
 MATCH = "__match"
 MOMENT = "__moment"
 SIDE = "__side"
+SPREAD = "__spread"
+
+
+def _any_null(keys: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    return missing
+
+
+def _spread(keys: Sequence[str], *varying: Column) -> Column:
+    """0, but another number for each row with a NULL key: such rows match nothing and need not meet."""
+    return F.when(_any_null(keys), F.xxhash64(*varying)).otherwise(F.lit(0).cast("long"))
 
 
 def _segment_of(moment: Column, unit: str) -> Column:
@@ -37,6 +50,7 @@ def asof_join(
     into calendar segments; the last right row of earlier segments enters a segment as one extra
     row. ``unit=None`` keeps a key whole, for inputs whose keys are known to be small.
     ``payload`` columns travel as one struct so that NULLs inside the matched row survive.
+    A row with a NULL among its keys matches nothing.
     """
     segment = (lambda moment: _segment_of(moment, unit)) if unit else (lambda moment: F.lit(0))
     tie_columns = [F.col(name) for name in tie]
@@ -50,7 +64,8 @@ def asof_join(
         F.lit(0 if inclusive else 2).alias(SIDE),
         order_tie.alias("__tie"),
         match.alias(MATCH),
-    ).filter(F.col(MOMENT).isNotNull())
+        F.lit(0).cast("long").alias(SPREAD),
+    ).filter(F.col(MOMENT).isNotNull() & ~_any_null(on))
     tie_type = facts.schema["__tie"].dataType
     asks = left.select(
         "*",
@@ -59,13 +74,14 @@ def asof_join(
         F.lit(1).alias(SIDE),
         F.lit(None).cast(tie_type).alias("__tie"),
         F.lit(None).cast(match_type).alias(MATCH),
+        _spread(on, *[F.col(name) for name in left.columns]).alias(SPREAD),
     )
     together = asks.unionByName(facts, allowMissingColumns=True)
     if unit:
         last_of_segment = facts.groupBy(*on, SEGMENT).agg(
             F.max_by(MATCH, F.struct(MOMENT, "__tie")).alias(MATCH)
         )
-        slots = asks.select(*on, SEGMENT).distinct()
+        slots = asks.filter(~_any_null(on)).select(*on, SEGMENT).distinct()
         line = last_of_segment.withColumn("__slot", F.lit(0)).unionByName(
             slots.withColumn("__slot", F.lit(1)), allowMissingColumns=True
         )
@@ -77,11 +93,13 @@ def asof_join(
         carried = (
             line.withColumn("__carried", F.last(MATCH, ignorenulls=True).over(earlier))
             .filter((F.col("__slot") == 1) & F.col("__carried").isNotNull())
-            .select(*on, SEGMENT, F.col("__carried").alias(MATCH), F.lit(0).alias(SIDE))
+            .select(
+                *on, SEGMENT, F.col("__carried").alias(MATCH), F.lit(0).alias(SIDE), F.lit(0).cast("long").alias(SPREAD)
+            )
         )
         together = together.unionByName(carried, allowMissingColumns=True)
     in_order = (
-        Window.partitionBy(*on, SEGMENT)
+        Window.partitionBy(*on, SPREAD, SEGMENT)
         .orderBy(F.col(MOMENT).asc_nulls_first(), F.col(SIDE), F.col("__tie").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -94,11 +112,15 @@ def asof_join(
 
 
 def validity_intervals(
-    versions: DataFrame, keys: Sequence[str], start: str, until: str = "valid_until", unit: str = "year"
+    versions: DataFrame, keys: Sequence[str], start: str, until: str = "valid_until", unit: str = "year",
+    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Turn version rows into half-open [start, next start) intervals; the newest stays open."""
+    """Turn version rows into half-open [start, next start) intervals; the newest stays open.
+
+    Of versions with one start the last along ``tie`` covers the time; the intervals of the others are empty.
+    """
     return neighbour(
-        versions, keys, [start], _segment_of(F.col(start), unit), {until: F.col(start)}, ahead=True
+        versions, keys, [start, *tie], _segment_of(F.col(start), unit), {until: F.col(start)}, ahead=True
     )
 
 
@@ -170,16 +192,19 @@ def link_visible_versions(
     (entity, served date) in order of known date answers all roles together: one shuffle instead
     of an inequality join and a re-join per role. A group holds the versions of a handful of valid
     dates, never a whole entity. A listed row carries only what its part in the window needs.
+    A row with a NULL among the ``entity`` columns is linked with nothing.
     """
     record = F.struct(*[F.col(name) for name in columns or versions.columns])
     own = F.array(F.struct(F.lit("").alias("role"), F.col(valid_date).alias("serves")))
     if wanted is not None:
         own = F.filter(own, lambda _: wanted)
     links = F.concat(own, *[_serving(role, dates) for role, (dates, _) in roles.items()])
+    links = F.when(_any_null(entity), own).otherwise(links)
     role_is = lambda role: F.col("__link.role") == role
     listed = versions.withColumn("__link", F.explode(links)).select(
         *entity, F.col("__link.serves").alias("__serves"), F.col(known_date).alias("__known"),
         role_is("").alias("__own"),
+        _spread(entity, record).alias(SPREAD),
         F.when(role_is(""), record).alias("__record"),
         *[
             F.when(role_is(role), F.struct(*[F.col(name) for name in fields])).alias(f"__as_{role}")
@@ -187,7 +212,7 @@ def link_visible_versions(
         ],
     )
     in_order = (
-        Window.partitionBy(*entity, "__serves").orderBy(F.col("__known").asc_nulls_first(), "__own")
+        Window.partitionBy(*entity, SPREAD, "__serves").orderBy(F.col("__known").asc_nulls_first(), "__own")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     linked = listed.withColumns(

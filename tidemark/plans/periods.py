@@ -75,23 +75,14 @@ PERIOD_COLUMNS = (
 )
 
 
-def served_dates(regular_only: bool) -> dict[str, Column]:
+def served_dates() -> dict[str, Column]:
     """Report dates for which a row is the previous quarter, last annual or year-ago report.
 
-    ``regular_only`` knows every report date to be a quarter end. Otherwise the dates served are
-    looked up in the columns ``__this_year`` and ``__next_year`` of :func:`with_calendar`.
+    They are looked up in the columns ``__this_year`` and ``__next_year`` of :func:`with_calendar`.
     """
     day = F.col("report_date")
     none = F.array().cast("array<date>")
     code = dates.month_day(day)
-    if regular_only:
-        next_quarter = F.array(F.last_day(F.add_months(day, 3)))
-        next_year = F.array(*[F.last_day(F.add_months(day, months)) for months in (3, 6, 9, 12)])
-        return {
-            "before": F.when(code.isin(331, 630, 930), next_quarter).otherwise(none),
-            "annual": F.when(code == 1231, next_year).otherwise(none),
-            "year_ago": F.array(F.add_months(day, 12)),
-        }
     next_quarter_month = (
         F.when(code == 331, 6).when(code == 630, 9).when(code == 930, 12).otherwise(0)
     )
@@ -177,26 +168,25 @@ def classify(statements: DataFrame) -> DataFrame:
     )
 
 
-def link_components(statements: DataFrame, regular_only: bool = False) -> DataFrame:
+def link_components(statements: DataFrame) -> DataFrame:
     """Each statement version with the component versions visible at its own publish date."""
     columns = (*KEYS, *BALANCES, *FLOWS)
     narrow = statements.select(*columns)
     flows = ("report_date", "publish_date", *FLOWS)
     handed = {"before": flows, "annual": flows, "year_ago": (*flows, *BALANCES)}
     return link_visible_versions(
-        narrow if regular_only else with_calendar(narrow),
+        with_calendar(narrow),
         ("symbol", "statement_format"), "report_date", "publish_date",
-        {role: (dates_, handed[role]) for role, dates_ in served_dates(regular_only).items()}, columns,
+        {role: (dates_, handed[role]) for role, dates_ in served_dates().items()}, columns,
     )
 
 
-def build_periods(statements: DataFrame, regular_only: bool = False) -> DataFrame:
+def build_periods(statements: DataFrame) -> DataFrame:
     """One row per statement version: 126 columns of year-to-date, quarter and trailing values.
 
-    Report dates may be any day. A caller that knows them all to be quarter ends says so with
-    ``regular_only`` and saves the pass that lists the dates.
+    Report dates may be any day.
     """
-    linked = classify(link_components(statements, regular_only))
+    linked = classify(link_components(statements))
     own = _balance(None)
     ago = _balance(F.col("year_ago"))
     standard = linked.withColumns(

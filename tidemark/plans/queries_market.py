@@ -14,7 +14,7 @@ from tidemark.session import cut_lineage, table, tune
 
 
 def build_all_periods(spark, sf) -> DataFrame:
-    return periods.build_periods(market.statements(spark, sf), regular_only=True)
+    return periods.build_periods(market.statements(spark, sf))
 
 
 def build_all_days(spark, sf) -> DataFrame:
@@ -50,10 +50,24 @@ def asof_last_view(spark, sf):
     )
 
 
+@query(
+    "asof_with_unknown_users",
+    ASOF_SQL.replace("from events where", "from (select * replace (case when event_id % 7 = 0 then null else user_id end as user_id) from events) where"),
+)
+def asof_with_unknown_users(spark, sf):
+    """A key that is not known matches nothing, however many rows lack it."""
+    purchases, views = _purchases_and_views(spark, sf)
+    known = lambda df, name: df.withColumn("user_id", F.when(F.col(name) % 7 != 0, F.col("user_id")))
+    return asof.asof_join(
+        known(purchases, "event_id"), known(views, "view_id"), ["user_id"], "ts", "view_ts",
+        ["view_id", "view_ts", "view_value"], unit="day", tie=["view_id"],
+    )
+
+
 @query("asof_by_validity_interval", ASOF_SQL)
 def asof_by_interval(spark, sf):
     purchases, views = _purchases_and_views(spark, sf)
-    intervals = asof.validity_intervals(views, ["user_id"], "view_ts", unit="day")
+    intervals = asof.validity_intervals(views, ["user_id"], "view_ts", unit="day", tie=["view_id"])
     return asof.interval_join(
         purchases, intervals, ["user_id"], "ts", "view_ts", "valid_until",
         ["view_id", "view_ts", "view_value"], unit="day",
@@ -67,7 +81,7 @@ def asof_by_interval(spark, sf):
     " ttm_prior_publish_date as year_ago_published from periods",
 )
 def visible_components(spark, sf):
-    linked = periods.link_components(market.statements(spark, sf), regular_only=True)
+    linked = periods.link_components(market.statements(spark, sf))
     return linked.select(
         "symbol", "report_date", "publish_date",
         F.col("before.publish_date").alias("predecessor_published"),
@@ -176,7 +190,8 @@ def _flat_errors(df: DataFrame) -> DataFrame:
   '' as errors from periods""",
 )
 def period_check(spark, sf):
-    return _flat_errors(quality.check_periods(build_all_periods(spark, sf)))
+    # Written once: the check reads its table several times.
+    return _flat_errors(quality.check_periods(cut_lineage(build_all_periods(spark, sf), "periods")))
 
 
 @query(
@@ -196,7 +211,8 @@ def period_check(spark, sf):
   '' as errors from daily""",
 )
 def daily_check(spark, sf):
-    return _flat_errors(quality.check_daily(build_all_days(spark, sf), metrics.pick(metrics.DAILY_METRIC_IDS)))
+    days = cut_lineage(build_all_days(spark, sf), "days")
+    return _flat_errors(quality.check_daily(days, metrics.pick(metrics.DAILY_METRIC_IDS)))
 
 
 @query(
@@ -325,11 +341,11 @@ def disclosed_ratio_by_region(spark, sf):
  from daily where trade_date = (select max(trade_date) from daily) and pe_parent_ttm < 90 and roe_ttm > 0.10""",
 )
 def screen_value_and_return(spark, sf):
-    days = build_all_days(spark, sf)
-    newest = market.stock_days(spark, sf).agg(F.max("trade_date")).scalar()
-    return days.filter(
-        (F.col("trade_date") == newest) & (F.col("pe_parent_ttm") < 90) & (F.col("roe_ttm") > 0.10)
-    ).select(
+    # A day of the result needs only its own bars, so the others do not enter the build.
+    bars = market.stock_days(spark, sf)
+    newest = cut_lineage(bars.filter(F.col("trade_date") == bars.agg(F.max("trade_date")).scalar()), "bars")
+    days = daily.build_daily(newest, cut_lineage(build_all_periods(spark, sf), "periods"))
+    return days.filter((F.col("pe_parent_ttm") < 90) & (F.col("roe_ttm") > 0.10)).select(
         "stock_name", "trade_date", "total_market_cap", "parent_net_profit_ttm", "avg_parent_equity", "pe_parent_ttm", "roe_ttm"
     )
 
