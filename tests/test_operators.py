@@ -299,3 +299,116 @@ def test_plans_push_down_and_avoid_products(spark, tiny):
     found = search.bm25(documents, "doc_id", "text", queries, "item_id", "text", 5)
     assert "CartesianProduct" not in found._jdf.queryExecution().toString()
     assert "BroadcastNestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_unknown_keys_match_nothing(spark):
+    facts = spark.createDataFrame([(None, 1, 7), ("a", 1, 8)], "k string, t int, v int").withColumn("t", F.timestamp_seconds("t"))
+    asks = spark.createDataFrame([(None, 2), (None, 3), ("a", 2), ("a", 0)], "k string, s int").withColumn("s", F.timestamp_seconds("s"))
+    for unit in ("day", None):
+        found = asof.asof_join(asks, facts, ["k"], "s", "t", ["v"], unit=unit).collect()
+        assert sorted((r.k or "", r.v or 0) for r in found) == [("", 0), ("", 0), ("a", 0), ("a", 8)]
+
+
+def test_versions_of_unknown_entities_are_not_linked(spark):
+    rows = [(None, "2024-01-01", "2024-01-05"), (None, "2024-02-01", "2024-02-05"), ("a", "2024-01-01", "2024-01-05"), ("a", "2024-02-01", "2024-02-05")]
+    versions = spark.createDataFrame(rows, "e string, valid string, known string").select(
+        "e", F.to_date("valid").alias("valid"), F.to_date("known").alias("known")
+    )
+    roles = {"before": (F.array(F.add_months("valid", 1)), ["valid"])}
+    found = asof.link_visible_versions(versions, ["e"], "valid", "known", roles).collect()
+    assert len(found) == 4
+    assert sorted((r.e, str(r.before.valid)) for r in found if r.before) == [("a", "2024-01-01")]
+
+
+def test_of_equal_starts_the_last_covers_the_time(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 5, 3)], "k string, t int, v int").withColumn("t", F.timestamp_seconds("t"))
+    spans = asof.validity_intervals(rows, ["k"], "t", tie=["v"]).select("v", F.unix_seconds("t").alias("t"), F.unix_seconds("valid_until").alias("u"))
+    assert sorted(map(tuple, spans.collect()), key=str) == [(1, 1, 1), (2, 1, 5), (3, 5, None)]
+
+
+def test_quantiles_of_hot_keys_and_narrow_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    data = {"hot": 1000 + rng.random(20000), "flat": np.full(3000, 5.0), "few": np.array([3.0, 1.0, 2.0, 9.0]), "one": np.array([4.0])}
+    data["mixed"] = np.concatenate([rng.normal(0, 1, 1500), np.full(1500, 0.25)])
+    rows = [(k, float(v)) for k, values in data.items() for v in values] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").cache()
+    for q in (0.0, 0.01, 0.5, 0.9, 0.99, 1.0):
+        found = {r.k: r.x for r in aggregates.exact_quantile(df, ["k"], "v", q, "x").collect()}
+        assert found.keys() == data.keys()
+        for k, values in data.items():
+            assert found[k] == pytest.approx(float(np.quantile(values, q)), rel=1e-12), (k, q)
+        whole = aggregates.exact_quantile(df, [], "v", q, "x")
+        assert whole.first()[0] == pytest.approx(float(np.quantile(np.concatenate(list(data.values())), q)), rel=1e-12)
+    plan = aggregates.without_outliers(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    df.unpersist()
+
+
+def test_dense_search_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.integers(-3, 4, (90, 5)).astype(float), rng.integers(-3, 4, (8, 5)).astype(float)
+    documents = spark.createDataFrame([(f"d{i:02}", v.tolist()) for i, v in enumerate(vectors)] + [("gone", None)], "id string, v array<float>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(99, None)], "q long, w array<double>")
+    found = search.dense_search(documents, "id", "v", queries, "q", "w", 4).collect()
+    wanted = [
+        (q, rank + 1, f"d{i:02}")
+        for q in range(8) for rank, i in enumerate(sorted(range(90), key=lambda i, q=q: (-asked[q] @ vectors[i], i))[:4])
+    ]
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == wanted
+
+
+def test_a_cluster_has_to_name_its_shared_folder(tmp_path):
+    from tidemark import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(Session(spark_master=master))
+        named = Session(spark_master=master)
+        named.conf["spark.checkpoint.dir"] = f"{tmp_path}/"
+        assert session.shared_folder(named) == str(tmp_path)
+
+
+def test_stage_tables_can_be_cleared(spark):
+    import os
+
+    from tidemark import session
+
+    kept = session.cut_lineage(spark.range(5), "kept")
+    folder = session._stages(spark).removeprefix("file:")
+    assert kept.count() == 5 and os.listdir(folder)
+    session.clear_stages(spark)
+    assert not os.path.exists(folder)
+
+
+def test_quota_holds_across_batches_and_forgets_old_days(spark, tmp_path):
+    import os
+
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "user_id long, event_id long, ts timestamp_ntz"
+    at = dt.datetime(2024, 3, 1, 4)
+    parts = [
+        [(1, i, at + dt.timedelta(minutes=i)) for i in range(8)],
+        [(1, 100 + i, at + dt.timedelta(hours=2, minutes=i)) for i in range(8)] + [(2, 200, at)],
+        [(1, 300, at + dt.timedelta(days=20))],
+    ]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        events = spark.readStream.schema(schema).parquet(source)
+        jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, str(tmp_path / "progress"), limit=10).awaitTermination()
+    admitted = sorted((r.user_id, r.event_id) for r in spark.read.parquet(output).collect())
+    assert admitted == [(1, i) for i in range(8)] + [(1, 100), (1, 101), (1, 300), (2, 200)]
+    assert len([n for n in os.listdir(f"{output}_usage") if n.startswith("usage_day=")]) == 1

@@ -14,6 +14,9 @@ from tidemark.operators.scans import Running, attach, running
 # The aggregations a user may pin to a field.
 PINNED = ("auto", "group", "sum", "avg", "count", "max", "min")
 
+#: Stretches of equal rank in which the values of a quantile bracket are walked.
+STRETCHES = 64
+
 
 def table_stats(df: DataFrame, day: str, identity: str) -> DataFrame:
     return df.agg(
@@ -85,14 +88,24 @@ def cohort_funnel(
     )
 
 
+def _bring(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of one row per key, or of the only row where there are no keys."""
+    if keys:
+        return attach(df, extra, keys)
+    row = extra.select(F.struct(*extra.columns).alias("__row")).agg(F.first("__row")).scalar()
+    return df.withColumns({name: row[name] for name in extra.columns})
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, name: str = "median", accuracy: int = 1000
 ) -> DataFrame:
-    """Interpolated quantile per key, exact, without holding a key's values in one place.
+    """Interpolated quantile per key (of the whole table without keys), exact.
 
-    An approximate quantile with a guaranteed rank error brackets the answer; only the values in
-    the bracket (about 4/accuracy of the rows) are counted and walked in order, and rows below the
-    bracket are only counted.
+    An approximate quantile, whose rank error is at most 1/accuracy of the rows, brackets the answer from twice that
+    distance. Rows beside the bracket are only counted, with the nearest value on either side; the values inside (about
+    4/accuracy of the rows) are counted, cut into stretches of equal rank and walked in order, one stretch a task. The
+    counts show whether the bracket holds the wanted ranks; a rank right beside it has the nearest value, any other
+    outcome raises.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 2.0 / accuracy
@@ -100,37 +113,48 @@ def exact_quantile(
     bracket = known.groupBy(*keys).agg(
         F.percentile_approx("__v", [low, high], accuracy).alias("__b"), F.count(F.lit(1)).alias("__n")
     )
-    located = attach(known, bracket, keys)
-    rank = (F.col("__n") - 1) * F.lit(q)
-    # Groups up to the accuracy are walked whole: their bracket could miss a neighbouring rank.
-    value_ = F.col("__v")
-    small = F.col("__n") <= accuracy
-    under = ~small & (value_ < F.col("__b")[0])
-    inside_ = small | ((value_ >= F.col("__b")[0]) & (value_ <= F.col("__b")[1]))
-    split = located.groupBy(*keys, "__n", F.when(inside_, value_).alias("__in")).agg(
-        F.count(F.lit(1)).alias("__count"), F.count_if(under).alias("__under")
+    located = _bring(known, bracket, keys)
+    value_, b = F.col("__v"), F.col("__b")
+    counted = located.groupBy(
+        *keys, "__n", F.when((value_ >= b[0]) & (value_ <= b[1]), value_).alias("__in")
+    ).agg(
+        F.count(F.lit(1)).alias("__count"), F.count_if(value_ < b[0]).alias("__under"),
+        F.max(F.when(value_ < b[0], value_)).alias("__before"), F.min(F.when(value_ > b[1], value_)).alias("__after"),
+    )
+    sides = counted.groupBy(*keys).agg(
+        F.sum("__under").alias("__below"), F.max("__before").alias("__before"), F.min("__after").alias("__after"),
+        F.percentile_approx("__in", [at / STRETCHES for at in range(1, STRETCHES)]).alias("__cuts"),
     )
-    below = split.groupBy(*keys).agg(F.sum("__under").alias("__below"))
-    inside = attach(split.filter(F.col("__in").isNotNull()), below, keys)
+    inside = _bring(counted.filter(F.col("__in").isNotNull()).select(*keys, "__n", "__in", "__count"), sides, keys)
     steps = running(
-        inside, list(keys), ["__in"], F.floor(F.log2(F.abs(F.col("__in")) + 1) * 64 * F.signum("__in")),
+        inside, list(keys), ["__in"], F.size(F.filter("__cuts", lambda cut: cut < F.col("__in"))),
         {"__upto": Running("sum", F.col("__count"))},
     )
     last = F.col("__below") + F.col("__upto") - 1
     first = last - F.col("__count") + 1
-    lower, upper = F.floor(rank), F.ceil(rank)
-    ends = steps.groupBy(*keys, "__n").agg(
-        F.max(F.when((first <= lower) & (last >= lower), F.col("__in"))).alias("__lo"),
-        F.max(F.when((first <= upper) & (last >= upper), F.col("__in"))).alias("__hi"),
+    rank = (F.col("__n") - 1) * F.lit(q)
+
+    def at(wanted: Column) -> Column:
+        return F.max(F.when((first <= wanted) & (last >= wanted), F.col("__in")))
+
+    ends = steps.groupBy(*keys, "__n", "__below", "__before", "__after").agg(
+        at(F.floor(rank)).alias("__lo"), at(F.ceil(rank)).alias("__hi"), F.max(last).alias("__last")
     )
-    weight = rank - F.floor(rank)
-    return ends.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * weight).alias(name))
+
+    def sure(found: str, wanted: Column) -> Column:
+        missed = F.raise_error(F.lit("the bracket of a quantile misses its rank")).cast("double")
+        return (
+            F.when(F.col(found).isNotNull(), F.col(found)).when(wanted == F.col("__below") - 1, F.col("__before"))
+            .when(wanted == F.col("__last") + 1, F.col("__after")).otherwise(missed)
+        )
+
+    lower, upper = sure("__lo", F.floor(rank)), sure("__hi", F.ceil(rank))
+    return ends.select(*keys, (lower + (upper - lower) * (rank - F.floor(rank))).alias(name))
 
 
 def without_outliers(df: DataFrame, value: str, upper: float = 0.99) -> DataFrame:
     """Drop rows above the exact upper quantile of the whole table, on request only."""
-    limit = exact_quantile(df.withColumn("__all", F.lit(0)), ["__all"], value, upper, "__limit")
-    return df.filter(F.col(value) <= limit.agg(F.max("__limit")).scalar())
+    return df.filter(F.col(value) <= exact_quantile(df, [], value, upper, "__limit").scalar())
 
 
 def metric_profile(df: DataFrame, metrics: Sequence[str]) -> DataFrame:

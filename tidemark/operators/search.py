@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ SCORE_THRESHOLD = 0.55
 MAX_SELECTED = 20
 LOW_CONFIDENCE = 8
 SALTS = 8
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+SHARD_ROWS = 8192
 
 
 def bm25(
@@ -104,50 +105,71 @@ def dense_search(
 ) -> DataFrame:
     """Top documents per query vector by inner product, exact.
 
-    Queries go to the tasks in blocks of about ``QUERY_BLOCK``; the number of blocks follows from
-    their count, so no block grows with the data. Each task multiplies its batches of documents
-    with a block and hands on only its own best ``depth`` per query; the merge ranks those.
+    Documents are read once and packed into shards where they are read, queries into blocks of about ``QUERY_BLOCK``.
+    Every pair of a shard and a block is one row, dealt over the tasks by (block, salt); it multiplies two matrices and
+    hands on only its best ``depth`` per query, which the merge ranks. Nothing passes through the driver but a count.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        chosen = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else queries
-        rows = chosen.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()).collect()
-        if not rows:
-            continue
-        ids = np.array([row[0] for row in rows])
-        matrix = np.array([row[1] for row in rows], dtype=np.float64)
-        part = _block_search(documents, doc_id, vector, ids, matrix, query_id, queries, depth)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    asked = cut_lineage(
+        queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
+        .filter(F.col("vector").isNotNull()),
+        "queries",
+    )
+    count = asked.count()
+    if not count:
         raise ValueError("no query vectors")
-    order = [F.round("score", 9).desc(), F.col("doc_id").asc()]
-    return first_rows_per(found, ["query_id"], order, depth)
-
-
-def _block_search(documents, doc_id, vector, ids, matrix, query_id, queries, depth) -> DataFrame:
-    id_type = documents.schema[doc_id].dataType.simpleString()
-    query_type = queries.schema[query_id].dataType.simpleString()
-    weights = documents.sparkSession.sparkContext.broadcast((ids, matrix))
+    blocks, salts = -(-count // QUERY_BLOCK), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_block = (
+        asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block")
+        .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+        .select(
+            "block", F.col("asked.query_id").alias("query_ids"), F.col("asked.vector").alias("query_vectors"),
+            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        )
+    )
+    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector"))
+    id_type = narrow.schema["doc_id"].dataType.simpleString()
+    query_type = asked.schema["query_id"].dataType.simpleString()
+    shards = (
+        narrow.filter(F.col("vector").isNotNull())
+        .mapInArrow(_shards, f"doc_ids array<{id_type}>, vectors array<array<double>>")
+        .withColumn("salt", F.pmod(F.xxhash64("doc_ids"), F.lit(salts)).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    )
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = weights.value
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            docs = batch["doc_id"].to_numpy()
-            scores = query_matrix @ np.stack(batch["vector"].to_numpy()).astype(np.float64).T
-            keep = min(depth, scores.shape[1])
-            for at, row in enumerate(scores):
+            for at in range(batch.num_rows):
+                doc_ids, vectors, query_ids, query_vectors = (column[at].values for column in batch.columns)
+                scores = _as_matrix(query_vectors) @ _as_matrix(vectors).T
+                keep = min(depth, scores.shape[1])
                 # Rounding keeps every document that could tie at the cut.
-                cut = np.partition(np.round(row, 9), -keep)[-keep]
-                best = np.nonzero(np.round(row, 9) >= cut)[0]
-                yield pd.DataFrame({"query_id": query_ids[at], "doc_id": docs[best], "score": row[best]})
-
-    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("vector")).filter(
-        F.col("vector").isNotNull()
+                rounded = np.round(scores, 9)
+                cut = np.partition(rounded, -keep, axis=1)[:, -keep]
+                rows, best = np.nonzero(rounded >= cut[:, None])
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(rows)), doc_ids.take(pa.array(best)), pa.array(scores[rows, best])],
+                    names=["query_id", "doc_id", "score"],
+                )
+
+    found = (
+        shards.join(per_block, ["block", "salt"]).select("doc_ids", "vectors", "query_ids", "query_vectors")
+        .mapInArrow(search, f"query_id {query_type}, doc_id {id_type}, score double")
     )
-    return narrow.mapInPandas(search, f"query_id {query_type}, doc_id {id_type}, score double")
+    return first_rows_per(found, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").asc()], depth)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, SHARD_ROWS):
+            batch = whole.slice(start, SHARD_ROWS)
+            offsets = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(offsets, pa.concat_arrays([column])) for column in batch.columns], names=["doc_ids", "vectors"]
+            )
+
+
+def _as_matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def restrict(documents: DataFrame, allowed: DataFrame, doc_id: str) -> DataFrame:
@@ -232,6 +254,19 @@ def retrieval_quality(gold: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
+def table_hit_rate(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of the expected tables that hold one of the hits, per query of ``gold``; 1 without expectations.
+
+    ``gold`` has (query_id, table_id), table_id NULL for a query without expectations; ``found`` the tables of the hits.
+    """
+    seen = found.select("query_id", "table_id").distinct().withColumn("__seen", F.lit(1))
+    judged = gold.select("query_id", "table_id").distinct().join(seen, ["query_id", "table_id"], "left")
+    expected = F.count("table_id")
+    return judged.groupBy("query_id").agg(
+        F.when(expected == 0, F.lit(1.0)).otherwise(F.count("__seen") / expected).alias("table_hit_rate")
+    )
+
+
 def mean_quality(per_query: DataFrame) -> DataFrame:
     return per_query.agg(
         F.count(F.lit(1)).alias("queries"),

@@ -484,11 +484,15 @@ def plain_values(spark, sf):
 
 @query(
     "customers_without_orders",
-    "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    """select c_custkey, c_name from customer where c_custkey not in
+ (select o_custkey from orders where o_orderdate > (select max(o_orderdate) - interval 1 year from orders))""",
 )
 def customers_without_orders(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an order in the last year of the table."""
+    orders = table(spark, sf, "orders")
+    year = orders.agg(F.max("o_orderdate") - F.expr("interval 1 year")).scalar()
+    recent = orders.filter(F.col("o_orderdate") > year).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(recent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 BY_PRIORITY = "select o_orderpriority, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as total from orders group by 1"

@@ -10,7 +10,8 @@ from tidemark.operators import search
 from tidemark.plans.registry import query
 from tidemark.session import table
 
-DEPTH = 10
+# Fixed value: candidates of each list before fusion.
+DEPTH = 30
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 
 
@@ -104,7 +105,7 @@ def vector_search_single(spark, sf):
     parts = vectors.select(F.posexplode("embedding").alias("at", "part"))
     # One row per dimension: 64 numbers reach the driver.
     rows = parts.groupBy("at").agg(F.avg(F.col("part").cast("double")).alias("part")).orderBy("at").collect()
-    found = search.nearest_to(vectors, "embedding", [row["part"] for row in rows], "vec_id", DEPTH)
+    found = search.nearest_to(vectors, "embedding", [row["part"] for row in rows], "vec_id", 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -209,6 +210,21 @@ def retrieval_quality(spark, sf):
     return search.mean_quality(search.retrieval_quality(gold, dense_hits(spark, sf)))
 
 
+@query(
+    "table_hit_rate",
+    f"""with {DENSE_SQL}, gold as (select distinct label as query_id, label + step as table_id from embeddings, (values (0), (1)) s(step)),
+ hit as (select distinct query_id, label as table_id from dense join embeddings on doc_id = vec_id)
+ select g.query_id::bigint as query_id, round(count(h.table_id) / count(*), 4) as table_hit_rate
+ from gold g left join hit h using (query_id, table_id) group by 1""",
+)
+def table_hit_rate(spark, sf):
+    """Labels stand for tables: each query expects its own label and the next one among its hits."""
+    labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("table_id"))
+    gold = labels.select(F.col("table_id").alias("query_id"), F.explode(F.array("table_id", F.col("table_id") + 1)).alias("table_id"))
+    found = dense_hits(spark, sf).join(labels.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return search.table_hit_rate(gold, found).withColumn("table_hit_rate", F.round("table_hit_rate", 4))
+
+
 @query(
     "part_documents",
     """select p_partkey, concat_ws(' ', p_name, p_brand, p_type, p_size) as keyword_text,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,15 +56,34 @@ def _own_folder(application: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder used.
+    Only a session on one machine may go without (a temporary folder is used then): on a cluster every executor would
+    write to its own disk, and what is read back would lack the rows of the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors share (master {master!r})")
+    return _own_folder(spark.sparkContext.applicationId).rstrip("/")
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{_stages(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all tables that this application has written below the shared folder.
+
+    For the end of a job: DataFrames made by the library may still read them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -7,6 +7,7 @@ here too. Outputs are keyed by batch id and overwritten on replay.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.dates import local_day
 from tidemark.operators.aggregates import first_rows_per
 from tidemark.operators.asof import asof_join
-from tidemark.operators.turns import DAILY_LIMIT
+from tidemark.operators.turns import DAILY_LIMIT, RETENTION_DAYS
 from tidemark.sources import ingest
 from tidemark.sources.contracts import DatasetSpec
-from tidemark.sources.files import children
+from tidemark.sources.files import children, remove
 
 
 def ingest_new_files(
@@ -51,30 +52,41 @@ def admit_daily(
 ) -> StreamingQuery:
     """Admit the first ``limit`` events per key and local day across micro-batches.
 
-    What earlier batches admitted is the state; it is read back for the days at hand only. Each
-    task first cuts its part of a batch to ``limit`` rows per key and day.
+    The state is how much each key has used of each day. It lies beside the output, partitioned by day; a batch reads the
+    days it has events of, and days more than ``RETENTION_DAYS`` before the newest are dropped. Each task first cuts its
+    part of a batch to ``limit`` rows per key and day. A batch that is run again writes the same partitions again.
     """
-    columns = events.columns
+    columns, state = events.columns, f"{output.rstrip('/')}_usage"
 
     def admit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         dated = batch.withColumn("usage_day", local_day(F.col(moment)))
         order = [F.col(moment).asc(), *[F.col(name).asc() for name in tie]]
         ranked = first_rows_per(dated, [key, "usage_day"], order, limit)
-        if any(name.startswith("batch=") for name, _ in children(spark, output)):
-            stored = spark.read.parquet(output).filter(F.col("batch") < batch_id)
-            days = dated.select("usage_day").distinct()
-            used = stored.join(days, "usage_day", "left_semi").groupBy(key, "usage_day").agg(
-                F.count(F.lit(1)).alias("used")
+        stored = [name for name, _ in children(spark, state) if name.startswith("usage_day=")]
+        if stored:
+            span = dated.agg(F.min("usage_day").alias("first"), F.max("usage_day").alias("last")).first()
+            used = (
+                spark.read.schema(f"{key} {dated.schema[key].dataType.simpleString()}, used long, usage_day date, batch long")
+                .parquet(state).filter(F.col("usage_day").between(span["first"], span["last"]) & (F.col("batch") < batch_id))
+                .groupBy(key, "usage_day").agg(F.sum("used").alias("used"))
             )
             ranked = ranked.join(used, [key, "usage_day"], "left")
         else:
             ranked = ranked.withColumn("used", F.lit(0).cast("long"))
         after = F.coalesce(F.col("used"), F.lit(0)) + F.col("rank")
-        admitted = ranked.filter(after <= limit).select(
+        ranked.filter(after <= limit).select(
             *columns, "usage_day", (F.lit(limit) - after).cast("int").alias("remaining")
+        ).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        written = spark.read.parquet(f"{output}/batch={batch_id}").groupBy(key, "usage_day").agg(F.count(F.lit(1)).alias("used"))
+        (
+            written.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("usage_day", "batch").parquet(state)
         )
-        admitted.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        days = sorted(name.removeprefix("usage_day=") for name, _ in children(spark, state) if name.startswith("usage_day="))
+        for day in days:
+            if (date.fromisoformat(days[-1]) - date.fromisoformat(day)).days > RETENTION_DAYS:
+                remove(spark, f"{state}/usage_day={day}")
 
     return (
         events.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint)
