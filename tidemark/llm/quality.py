@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 P(grade <= j) = sigmoid(threshold_j - score): all thresholds share one weight per hashed feature. Features are the words of
-a text (present or not) and the shapes of its words with their share of the text. A first pass over the sample keeps the
-features whose presence goes with the grade; rare words, of which every text has many, would only add noise.
+a text (present or not), the shapes of its words with their share of the text, and how much it repeats itself. A first pass
+over the sample keeps the features whose presence goes with the grade; rare words, of which every text has many, would
+only add noise. Copies of a text count once.
 
 The model is fitted in one task on a sample of rated documents whose size is bounded by a parameter. Scoring needs no
 shuffle: the model, bounded too, travels with the tasks.
@@ -27,8 +28,10 @@ from tidemark.llm.text import key_of, text_of
 #: Hashed features, features kept by the first pass, and rated documents that a fit takes at most.
 DIMENSIONS, KEPT, SAMPLE = 1 << 21, 4096, 20_000
 #: How far presence has to depart from independence of the grade, in standard deviations, to be kept.
-DEPARTURE = 4.5
-STEPS, RATE, SHRINK = 400, 0.1, 1e-4
+DEPARTURE = 7
+#: How many times as often, or as seldom, a kept feature is present in some grade as in the others.
+LIFT = 3
+STEPS, RATE, SHRINK = 800, 0.1, 1e-6
 _SHAPES = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0")]
 #: Shares of a text at which the share of a word shape counts as more.
 SHARES = np.array([0.01, 0.03, 0.1, 0.3, 0.6])
@@ -74,9 +77,13 @@ class Featurizer:
                 found = known[word] = (xxhash.xxh3_64_intdigest(bare) % DIMENSIONS, _shape(word))
             out.append(found[0])
             shapes[found[1]] += n
-        for shape, n in shapes.items():
+        # Shares of the text: each shape of words, the most frequent word, and how many words are distinct.
+        shares = dict(shapes)
+        if words:
+            shares |= {"\0most": max(counts.values()), "\0distinct": len(counts)}
+        for name, n in shares.items():
             level = int(np.searchsorted(SHARES, n / len(words), side="right"))
-            out.append(xxhash.xxh3_64_intdigest(f"\0{shape}\0{level}") % DIMENSIONS)
+            out.append(xxhash.xxh3_64_intdigest(f"\0{name}\0{level}") % DIMENSIONS)
         if not words:
             out.append(xxhash.xxh3_64_intdigest("\0empty") % DIMENSIONS)
         return np.unique(np.array(out, np.int64))
@@ -94,7 +101,9 @@ def _informative(features: list[np.ndarray], grades: np.ndarray, levels: int) ->
         expected = total * sizes[g] / n
         spread = np.sqrt(np.maximum(expected * (1 - sizes[g] / n) * (1 - total / n), 1e-9))
         # Half a count towards the expected one, so that single appearances of a rare feature in a rare grade do not count.
-        strength = np.maximum(strength, np.maximum(np.abs(present[g] - expected) - 0.5, 0) / np.maximum(spread, 0.3))
+        departure = np.maximum(np.abs(present[g] - expected) - 0.5, 0) / np.maximum(spread, 0.3)
+        inside, outside = (present[g] + 1) / (sizes[g] + 2), (total - present[g] + 1) / (n - sizes[g] + 2)
+        strength = np.maximum(strength, np.where(np.maximum(inside / outside, outside / inside) >= LIFT, departure, 0))
     strength[total < 5] = 0
     best = np.argsort(-strength, kind="stable")[:KEPT]
     return np.sort(best[strength[best] >= DEPARTURE])
@@ -155,8 +164,9 @@ def fit(documents: DataFrame, ratings: DataFrame, levels: int, sample: int = SAM
         features = [np.asarray(f, np.int64) for t in tables for f in t.column("features").to_pylist()]
         grades = np.concatenate([t.column("grade").to_numpy() for t in tables]).astype(np.int64) if tables else np.zeros(0, np.int64)
         if len(grades):
-            # The order of the rows must not matter for the sums.
-            order = sorted(range(len(grades)), key=lambda i: (int(grades[i]), features[i].tobytes()))
+            # Copies count once, and the order of the rows must not matter for the sums.
+            order = sorted({(int(g), f.tobytes()): i for i, (g, f) in enumerate(zip(grades, features, strict=True))}.items())
+            order = np.array([i for _, i in order])
             model = fit_arrays([features[i] for i in order], grades[order], levels)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x]) for x in (model.features, model.weights, model.thresholds)], names=["features", "weights", "thresholds"]
