@@ -88,11 +88,17 @@ def test_minmax_bands_estimate_similarity():
     assert 4 <= shared <= 24  # 32 * 0.8 ** 4 = 13 expected
 
 
-@pytest.mark.parametrize("piece", [1_000_000, 300])
-def test_repeats_against_brute_force(spark, monkeypatch, piece):
+def row_order(spark, rows):
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "text string")
+    return {r.text: r.h for r in texts.select("text", F.hash("text").bitwiseAND(0xFFFFFF).alias("h")).collect()}
+
+
+@pytest.mark.parametrize(("piece", "kinds"), [(1_000_000, 20_000), (300, 20_000), (1_000_000, 2), (700, 0)])
+def test_repeats_against_brute_force(spark, monkeypatch, piece, kinds):
     monkeypatch.setattr(repeats, "PIECE", piece)
+    monkeypatch.setattr(repeats, "KINDS", kinds)
     rows = documents()
-    order = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.hash("text").alias("h")).collect()}
+    order = row_order(spark, rows)
     found = repeats.remove_repeats(frame(spark, rows, clashing=True))
     got = sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in found.collect())
     assert got == repeats_removed(rows, order)
@@ -103,7 +109,7 @@ def test_repeats_hold_across_sort_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         rows = documents(seed=4, n=30)
-        order = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.hash("text").alias("h")).collect()}
+        order = row_order(spark, rows)
         got = sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in repeats.remove_repeats(frame(spark, rows)).collect())
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -3,18 +3,19 @@
 Prefix doubling names every position by the rank of its first h bytes, pairs the names at p and p + h, sorts the pairs and
 renames, and drops positions whose name is unique, until h passes the threshold. Over all positions of a corpus each
 round would sort some twenty times the input. Here the positions are sampled so that no match is lost, ranks are 64-bit
-fingerprints, and three rounds with growing offsets remain:
+fingerprints, and two rounds remain:
 
 1. Anchors. Of the grams of 24 bytes in a window of 100 bytes, the one with the smallest fingerprint is the window's anchor;
    equal windows have their anchor at the same place. Consecutive windows of one anchor form a stretch. Spark sorts the
    pairs (rank of the anchor's 24 bytes, rank of the whole stretch with its surroundings). A gram that is unique
    drops out with all its windows; of equal pairs all but the first are repeats as a whole.
-2. Only where one gram stands in different surroundings, the windows of the first stretch of each kind are named by their
-   100 bytes, as a pair of two fingerprints, and sorted again; all but the first of equal pairs are repeats.
-3. The repeats of each document are laid over its text.
+2. Only where one gram stands in different surroundings, the first stretch of each kind goes on with its bytes. Spark sorts
+   these by gram again, and windows of 100 bytes are ranked within each gram; all but the first of equal ones are
+   repeats. A gram with very many kinds is not gathered: its windows are sorted by their own ranks.
 
-Within a task only the first of equal pairs goes on to the sort, the others are known to be repeats; so a passage that a
-third of all documents hold reaches the sort once per task.
+The repeats of each document are then laid over its text. Both rounds and the last step read texts dealt by document;
+Spark deals them once. Within a task only the first of equal pairs goes on to a sort, the others are known to be repeats;
+so a passage that a third of all documents hold reaches the sort once per task.
 """
 
 from __future__ import annotations
@@ -35,8 +36,14 @@ LENGTH, GRAM = 100, 24
 PIECE = 1_000_000
 #: Pairs in which a task looks for equal ones before it passes them on.
 HELD = 750_000
-PAIR = "one long, two long, key long, row int, start long, span int, known boolean"
-FOUND = "key long, row int, start long, span int, repeat boolean"
+#: Kinds of surroundings of one gram that are ranked in one task.
+KINDS = 20_000
+#: ``place`` holds 24 bits of a hash of the text, 31 of the start, 7 of the number of windows less one, and whether the
+#: pair is known to be a repeat; its order is that of places within an id.
+PAIR = "one long, two long, key long, place long"
+FOUND = "one long, key long, place long"
+EDGE = "one long, two long, key long, place long, around binary"
+RANGE = "key long, row int, start long, span long"
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)
 _BASE = [int(b) | 1 for b in _random.integers(2**62, 2**63, 2)]
@@ -109,38 +116,44 @@ def stretches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return lo, hi, grams[anchor], _mix(two.of(lo, hi + LENGTH) + shape)
 
 
+def _place(row: np.ndarray, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (row << 39) | (start << 8) | (span << 1)
+
+
+def _later(one: np.ndarray, two: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which pairs equal one of a smaller place."""
+    order = np.lexsort((place, key, two, one))
+    a, b, k, p = (x[order] for x in (one, two, key, place))
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = np.empty(len(one), bool)
+    out[order] = (k != k[first]) | (p != p[first])
+    return out
+
+
 class _Firsts:
     """Collects pairs of a task and marks those that equal an earlier one of the task as known repeats."""
 
     def __init__(self):
         self.parts, self.n = [], 0
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         self.parts.append(columns)
         self.n += len(columns[0])
         if self.n >= HELD:
             yield from self.flush()
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self) -> Iterator[tuple[np.ndarray, ...]]:
         if self.n:
-            one, two, key, row, start, span = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            one, two, key, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
             self.parts, self.n = [], 0
-            order = np.lexsort((start, row, key, two, one))
-            one, two, key, row, start, span = (c[order] for c in (one, two, key, row, start, span))
-            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            known = (key != key[first]) | (row != row[first]) | (start != start[first])
+            known = _later(one, two, key, place)
             # What is known need not meet its like: it is dealt out by its place.
-            one = np.where(known, _mix(one + start.astype(np.uint64) * np.uint64(31) + key.astype(np.uint64)), one)
+            one = np.where(known, _mix(one + place.view(np.uint64) * np.uint64(31) + key.view(np.uint64)), one)
+            place = place | known
             for a in range(0, len(one), 50_000):
                 b = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one[b].view(np.int64)), pa.array(two[b].view(np.int64)), pa.array(key[b]), pa.array(row[b].astype(np.int32)),
-                        pa.array(start[b]), pa.array(span[b].astype(np.int32)), pa.array(known[b]),
-                    ],
-                    names=["one", "two", "key", "row", "start", "span", "known"],
-                )
+                yield one[b].view(np.int64), two[b].view(np.int64), key[b], place[b]
 
 
 def _anchor_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,46 +167,50 @@ def _anchor_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lo, hi, grams, around = stretches(flat, starts, sizes)
         of = np.searchsorted(starts, lo, side="right") - 1
         keys, rows, offsets = (np.array([h[i] for h in held], np.int64) for i in range(3))
-        return grams, around, keys[of], rows[of], lo - starts[of] + offsets[of], hi - lo
+        return grams, around, keys[of], _place(rows[of], lo - starts[of] + offsets[of], hi - lo)
+
+    def batch(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "key", "place"])
 
     held, n = [], 0
-    for batch in batches:
-        for key, row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+    for arrow in batches:
+        for key, row, text in zip(*[c.to_pylist() for c in arrow.columns], strict=True):
             data = text.encode()
             for offset in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
                 piece = data[offset : offset + PIECE + LENGTH - 1]
                 if held and n + len(piece) > PIECE + LENGTH:
-                    yield from firsts.add(*pairs(held))
+                    yield from map(batch, firsts.add(*pairs(held)))
                     held, n = [], 0
                 held.append((key, row, offset, piece))
                 n += len(piece)
     if held:
-        yield from firsts.add(*pairs(held))
-    yield from firsts.flush()
+        yield from map(batch, firsts.add(*pairs(held)))
+    yield from map(batch, firsts.flush())
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs in order: the repeats (all but the first of equal pairs), and the first pairs of a rank ``one`` that has several."""
-    pair = first = waiting = None  # last pair, its first place, and the first stretch of a rank without a second pair so far
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs in order: the repeats (all but the first of equal pairs; marked in ``place``), and the first pairs of a rank
+    ``one`` that has several."""
+    pair = first = waiting = None  # last pair, its first place, and the first pair of a rank without a second one so far
     for batch in batches:
-        one, two, key, row, start, span, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        n = len(one)
-        if not n:
+        one, two, key, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(one):
             continue
-        out = known.copy()
+        known = (place & 1) > 0
+        repeat = known.copy()
         live = np.flatnonzero(~known)
-        reps = np.zeros(0, np.int64)
-        extra = []
+        chosen, extra = np.zeros(0, np.int64), []
         if len(live):
             a, b = one[live], two[live]
             new_rank = np.concatenate([[pair is None or pair[0] != a[0]], a[1:] != a[:-1]])
             new = new_rank | np.concatenate([[pair is None or pair != (a[0], b[0])], b[1:] != b[:-1]])
             at = np.maximum.accumulate(np.where(new, np.arange(len(live)), -1))
-            places = np.stack([key[live], row[live].astype(np.int64), start[live]], axis=1)
-            begin = np.where((at >= 0)[:, None], places[np.maximum(at, 0)], np.array(first if first is not None else (0, 0, 0)))
-            out[live[~new & (places != begin).any(axis=1)]] = True
+            before = first if first is not None else (0, 0)
+            first_key = np.where(at >= 0, key[live][np.maximum(at, 0)], before[0])
+            first_place = np.where(at >= 0, place[live][np.maximum(at, 0)], before[1])
+            repeat[live[~new & ((key[live] != first_key) | (place[live] != first_place))]] = True
             # A rank with a second pair gives all its first pairs to the next round.
-            rank = np.cumsum(new_rank) - (1 if new_rank[0] else 0) if len(live) else np.zeros(0, np.int64)
+            rank = np.cumsum(new_rank) - (1 if new_rank[0] else 0)
             kinds = np.bincount(rank[new], minlength=int(rank[-1]) + 1)
             if not new_rank[0]:
                 kinds[0] += 1  # the pair met before this batch
@@ -201,45 +218,125 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     extra.append(waiting)
                     waiting = None
             firsts = np.flatnonzero(new)
-            reps = live[firsts[kinds[rank[firsts]] > 1]]
+            chosen = live[firsts[kinds[rank[firsts]] > 1]]
             if new_rank.any():
                 waiting = None
-            if kinds[rank[-1]] == 1 and len(firsts) and rank[firsts[-1]] == rank[-1]:
+            if len(firsts) and rank[firsts[-1]] == rank[-1] and kinds[rank[-1]] == 1:
                 i = live[firsts[-1]]
-                waiting = (key[i], row[i], start[i], span[i])
-            pair, first = (a[-1], b[-1]), tuple(begin[-1])
-        chosen = np.concatenate([np.flatnonzero(out), reps])
-        columns = [np.concatenate([c[chosen], np.array([e[i] for e in extra], c.dtype)]) for i, c in enumerate((key, row, start, span))]
-        repeat = np.arange(len(columns[0])) < int(out.sum())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(repeat)], names=["key", "row", "start", "span", "repeat"])
+                waiting = (one[i], key[i], place[i])
+            pair, first = (a[-1], b[-1]), (first_key[-1], first_place[-1])
+        both = np.concatenate([np.flatnonzero(repeat), chosen])
+        marks = np.arange(len(both)) < int(repeat.sum())
+        columns = [np.concatenate([c, np.array([e[i] for e in extra], np.int64)]) for i, c in enumerate((one[both], key[both], place[both] | marks))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "key", "place"])
 
 
-def _window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_bytes(batches: Iterator[pa.RecordBatch], columns: tuple[int, int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Stretches with the bytes of all their windows; of a gram with many kinds one pair per window instead."""
     firsts = _Firsts()
+
+    def pairs(parts) -> pa.RecordBatch:
+        none = pa.nulls(len(parts[0]), pa.binary())
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in parts], none], names=["one", "two", "key", "place", "around"])
+
     for batch in batches:
-        for key, row, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = np.frombuffer(text.encode(), np.uint8)
-            starts = np.array([s["start"] for s in spans], np.int64)
-            counts = np.array([s["span"] for s in spans], np.int64) + 1
+        keys, rows, texts, lists = (batch.column(i).to_pylist() for i in columns)
+        local: list[tuple] = []
+        for key, row, text, spans in zip(keys, rows, texts, lists, strict=True):
+            data = (text or "").encode()
+            hot = [(s["start"], s["span"] + 1) for s in spans if s["hot"]]
+            for s in spans:
+                if not s["hot"]:
+                    local.append((s["one"], 0, key, (row << 39) | (s["start"] << 8) | (s["span"] << 1), data[s["start"] : s["start"] + s["span"] + LENGTH]))
             # In steps, so that the copied surroundings stay small.
-            for i in range(0, len(starts), 2000):
-                sizes = counts[i : i + 2000] + LENGTH - 1
-                flat = data[_gather(starts[i : i + 2000], sizes)]
-                at = _gather(np.cumsum(sizes) - sizes, counts[i : i + 2000])
-                one, two = (Fingerprints(flat, family).of(at, at + LENGTH) for family in (0, 1))
-                place = _gather(starts[i : i + 2000], counts[i : i + 2000])
-                same = np.full(len(place), 0, np.int64)
-                yield from firsts.add(one, two, same + key, same + row, place, same)
-    yield from firsts.flush()
+            for i in range(0, len(hot), 2000):
+                starts, counts = (np.array(x, np.int64) for x in zip(*hot[i : i + 2000], strict=True))
+                one, two, place = _windows(np.frombuffer(data, np.uint8)[_gather(starts, counts + LENGTH - 1)], starts, counts)
+                same = np.zeros(len(place), np.int64)
+                yield from map(pairs, firsts.add(one, two, same + key, _place(same + row, place, same)))
+        if local:
+            kinds = (pa.int64(),) * 4 + (pa.binary(),)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*local, strict=True), kinds, strict=True)], names=["one", "two", "key", "place", "around"]
+            )
+    yield from map(pairs, firsts.flush())
+
+
+def _windows(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both ranks and the place of every window; ``flat`` holds the bytes of the stretches one after the other."""
+    sizes = counts + LENGTH - 1
+    at = _gather(np.cumsum(sizes) - sizes, counts)
+    return Fingerprints(flat, 0).of(at, at + LENGTH), Fingerprints(flat, 1).of(at, at + LENGTH), _gather(starts, counts)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of window starts that are repeats, out of rows in the order of ``one``."""
+    start_of = lambda place: (place >> 8) & (2**31 - 1)
+
+    def ranges(key, row, start) -> pa.RecordBatch:
+        order = np.lexsort((start, row, key))
+        key, row, start = key[order], row[order], start[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)])[: len(key)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(key)) - 1
+        span = start[last] - start[first] if len(first) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[first]), pa.array(row[first].astype(np.int32)), pa.array(start[first]), pa.array(span)], names=["key", "row", "start", "span"]
+        )
+
+    def ranked(one, key, place, around) -> pa.RecordBatch:
+        counts = ((place >> 1) & 127) + 1
+        w1, w2, windows = _windows(np.frombuffer(b"".join(around), np.uint8), start_of(place), counts)
+        keys, rows = np.repeat(key, counts), np.repeat(place >> 39, counts)
+        again = _later(w1, w2, keys, _place(rows, windows, np.zeros(len(rows), np.int64)))
+        return ranges(keys[again], rows[again], windows[again])
+
+    held: list[tuple] = []  # rows of grams that are not complete yet
+    pair = first = None
+    for batch in batches:
+        one, two, key, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        around = batch.column(4).to_pylist()
+        local = np.array([x is not None for x in around], bool)
+        # Pairs of single windows: all but the first of equal ones.
+        live, known = np.flatnonzero(~local & ((place & 1) == 0)), np.flatnonzero(~local & ((place & 1) > 0))
+        again = [known]
+        if len(live):
+            a, b = one[live], two[live]
+            new = np.concatenate([[pair != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(live)), -1))
+            before = first if first is not None else (0, 0)
+            first_key = np.where(at >= 0, key[live][np.maximum(at, 0)], before[0])
+            first_place = np.where(at >= 0, place[live][np.maximum(at, 0)], before[1])
+            again.append(live[~new & ((key[live] != first_key) | (place[live] != first_place))])
+            pair, first = (a[-1], b[-1]), (first_key[-1], first_place[-1])
+        again = np.concatenate(again)
+        yield ranges(key[again], place[again] >> 39, start_of(place[again]))
+        at = np.flatnonzero(local)
+        held += zip(one[at].tolist(), key[at].tolist(), place[at].tolist(), [around[i] for i in at], strict=True)
+        end = len(held)
+        while end and held[end - 1][0] == held[-1][0]:
+            end -= 1
+        for i, j in _whole_grams(held, end):
+            yield ranked(*_columns(held[i:j]))
+        held = held[end:]
+    if held:
+        yield ranked(*_columns(held))
 
 
-def _sorted_later(pairs: DataFrame, label: str) -> DataFrame:
-    order = ["one", "two", "key", "row", "start"]
-    return cut_lineage(pairs.repartition("one").sortWithinPartitions(*order).mapInArrow(_later, FOUND), label)
+def _whole_grams(rows: list[tuple], end: int) -> Iterator[tuple[int, int]]:
+    """Parts of about 4000 rows that end with a gram."""
+    start = 0
+    while start < end:
+        stop = min(start + 4000, end)
+        while stop < end and rows[stop][0] == rows[stop - 1][0]:
+            stop += 1
+        yield start, stop
+        start = stop
 
 
-def _by_document(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy("key", "row").agg(F.collect_list(F.struct("start", "span")).alias(name))
+def _columns(rows: list[tuple]) -> tuple:
+    one, key, place, around = zip(*rows, strict=True)
+    return np.array(one, np.int64), np.array(key, np.int64), np.array(place, np.int64), around
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -253,22 +350,40 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     kept = [c for c in documents.columns if c.lower() not in added]
     n = fresh(documents, "key", "row", "spans")
-    texts = documents.select(key_of(id_column).alias("key"), F.hash(text_of(text_column)).alias("row"), text_of(text_column).alias("text"))
-    found = _sorted_later(texts.mapInArrow(_anchor_pairs, PAIR), "stretches")
-    # Rows that repeat an id and a text name the same places again, which does no harm.
-    open_stretches = _by_document(found.where(~F.col("repeat")).distinct(), "spans")
-    windows = texts.join(open_stretches, ["key", "row"]).select("key", "row", "text", "spans").mapInArrow(_window_pairs, PAIR)
-    more = _sorted_later(windows, "windows")
-    spans = _by_document(found.where("repeat").unionByName(more.where("repeat")), "spans")
-    rows = documents.select(*[f"`{c}`" for c in kept]).withColumns({n["key"]: key_of(id_column), n["row"]: F.hash(text_of(text_column))})
-    joined = rows.join(spans.select(F.col("key").alias(n["key"]), F.col("row").alias(n["row"]), F.col("spans").alias(n["spans"])), [n["key"], n["row"]], "left")
-    joined = joined.select(*[f"`{c}`" for c in kept], n["spans"])
+    key, row = n["key"], n["row"]
+    rows = documents.select(*[f"`{c}`" for c in kept]).withColumns(
+        {key: key_of(id_column), row: F.hash(text_of(text_column)).bitwiseAND(0xFFFFFF).cast("long")}
+    )
     at = [c.lower() for c in kept].index(text_column.lower())
+    pairs = rows.select(key, row, text_of(text_column)).mapInArrow(_anchor_pairs, PAIR)
+    order = ["one", "two", "key", "place"]
+    found = cut_lineage(pairs.repartition("one").sortWithinPartitions(*order).mapInArrow(_ranked, FOUND), "stretches")
+    where = {"row": F.shiftright("place", 39), "start": F.shiftright("place", 8).bitwiseAND(2**31 - 1), "span": F.shiftright("place", 1).bitwiseAND(127)}
+    repeat = F.col("place").bitwiseAND(1) == 1
+
+    # Rows that repeat an id and a text name the same places again.
+    kinds = found.where(~repeat).distinct()
+    many = cut_lineage(kinds.groupBy("one").agg(F.count("*").alias("kinds")).where(F.col("kinds") > KINDS).select("one", F.lit(True).alias("hot")), "hot")
+    opened = kinds.join(many, "one", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumns(where)
+    opened = opened.groupBy("key", "row").agg(F.collect_list(F.struct("one", "start", "span", "hot")).alias("spans"))
+    opened = cut_lineage(opened.select(F.col("key").alias(key), F.col("row").alias(row), F.col("spans").alias(n["spans"])), "opened")
+    # The same columns of the same rows as in the last join, so that texts are dealt out once for both.
+    met = rows.join(opened.hint("merge"), [key, row])
+    places = tuple(met.columns.index(c) for c in (key, row)) + (at + 2, len(met.columns) - 1)
+    edges = (
+        met.mapInArrow(lambda batches: _with_bytes(batches, places), EDGE)
+        .repartition("one").sortWithinPartitions(*order).mapInArrow(_edges, RANGE)
+    )
+    repeats = found.where(repeat).withColumns(where).select("key", F.col("row").cast("int").alias("row"), "start", F.col("span").cast("long").alias("span"))
+    spans = repeats.unionByName(edges).groupBy("key", "row").agg(F.collect_list(F.struct("start", "span")).alias("spans"))
+    spans = spans.select(F.col("key").alias(key), F.col("row").cast("long").alias(row), F.col("spans").alias(n["spans"]))
+    joined = rows.join(spans.hint("merge"), [key, row], "left")
+    last = len(joined.columns) - 1
 
     def lay_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(at + 2).to_pylist(), batch.column(last).to_pylist(), strict=True):
                 data = (text or "").encode()
                 if not ranges:
                     out.append((len(data), 0, 0, data))
@@ -279,8 +394,9 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
                 gone = np.cumsum(marks)[:-1] > 0
                 begins = np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]]))
                 out.append((len(data), int(gone.sum()), int(begins), np.frombuffer(data, np.uint8)[~gone].tobytes()))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)] if out else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, *added])
+            types = (pa.int64(),) * 3 + (pa.binary(),)
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:last], *columns], names=[*kept, *added])
 
     fields = [T.StructField(c, T.LongType()) for c in added[:3]] + [T.StructField("kept", T.BinaryType())]
-    return joined.mapInArrow(lay_over, T.StructType([*joined.schema.fields[:-1], *fields]))
+    return joined.mapInArrow(lay_over, T.StructType([*joined.schema.fields[2:last], *fields]))
