@@ -13,9 +13,11 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from tidemark.operators import quality  # noqa: E402
 from tidemark.plans import daily, market, metrics, periods, registry  # noqa: E402
-from tidemark.session import cut_lineage, local_session, tune  # noqa: E402
+from tidemark.session import clear_stages, cut_lineage, local_session, tune  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -26,6 +28,15 @@ HEADLINE = (
 )
 
 
+SCALE = 4
+
+
+def repeated(df, factor):
+    """The same rows under ``factor`` times as many company names."""
+    copies = df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(factor))))
+    return copies.withColumn("symbol", F.concat("symbol", F.lit("_"), F.col("__copy").cast("string"))).drop("__copy")
+
+
 def main() -> None:
     registry.load_all()
     spark = tune(local_session(CPUS, "bench"))
@@ -35,10 +46,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 
-    def timed(name, run):
+    def timed(name, run, into=times):
         started = time.perf_counter()
         result = run()
-        times[name] = round(time.perf_counter() - started, 3)
+        into[name] = round(time.perf_counter() - started, 3)
         return result
 
     registry.QUERIES["monthly_revenue_trend"](spark, FOLDER).collect()
@@ -55,6 +66,13 @@ def main() -> None:
             f"daily_validate{label}",
             lambda days=days: quality.check_daily(days, metrics.pick(metrics.DAILY_METRIC_IDS)).collect(),
         )
+    # The same builds over more companies: at sf0.1 planning and code generation are a good part of the time.
+    larger: dict[str, float] = {}
+    statements, bars = (cut_lineage(repeated(df, SCALE)) for df in (statements, bars))
+    many = timed("period_build", lambda: cut_lineage(periods.build_periods(statements)), larger)
+    more = timed("daily_build", lambda: cut_lineage(daily.build_daily(bars, many)), larger)
+    timed("daily_validate", lambda: quality.check_daily(more, metrics.pick(metrics.DAILY_METRIC_IDS)).collect(), larger)
+    sizes = {"period_build": many.count(), "daily_build": more.count(), "daily_validate": more.count()}
     counts = {"period_build": built.count(), "daily_build": days.count(), "daily_validate": days.count()}
     print(
         json.dumps(
@@ -62,9 +80,11 @@ def main() -> None:
                 "metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
                 "queries": times, "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"), "cpus": CPUS,
                 "rows": counts, "rows_per_sec": {name: round(n / times[name]) for name, n in counts.items()},
+                "larger": {"factor": SCALE, "seconds": larger, "rows": sizes, "rows_per_sec": {name: round(n / larger[name]) for name, n in sizes.items()}},
             }
         )
     )
+    clear_stages(spark)
     spark.stop()
 
 
