@@ -5,9 +5,10 @@ so 128 signature values cost 64 evaluations; four values make a band, 32 bands a
 a band with probability 1 - (1 - s^4)^32: 0.9999999 at 0.8, more above.
 
 Equal sets are one node. Nodes that share a band lie in one bucket, and links are sought in two steps, none of which forms
-all pairs of a large group. First every node is compared with the smallest node of each of its buckets, and the
-links found are joined to components. Then the buckets that still hold several components are searched whole, in blocks of
-bounded size, but only between nodes that no link connects yet. What is left apart in a bucket has been compared.
+all pairs of a large group. First every node is compared with one node of each of its buckets, the one that meets most
+others, and the links found are joined to components. Then the buckets that still hold several components are searched:
+nodes outside the largest component meet all of the bucket, in blocks of bounded size, and only nodes that no link
+connects yet are compared. What is left apart in a bucket has been compared.
 """
 
 from __future__ import annotations
@@ -168,8 +169,11 @@ def _search(width: int, percent: int):
 
 
 def _compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) found in ``groups``: a, b, c (names of the group), side, node, label."""
-    rows = groups.join(texts, "node").select("a", "b", "c", "side", "node", "label", "text")
+    """Links (u, v) found in ``groups``: a, b, c (names of the group), side, node, label.
+
+    Texts grow with the input, so they are joined by sorting whatever their size, never broadcast.
+    """
+    rows = groups.join(texts.hint("merge"), "node").select("a", "b", "c", "side", "node", "label", "text")
     dealt = rows.repartition("a", "b", "c").sortWithinPartitions("a", "b", "c", "side", "node")
     return dealt.mapInArrow(_search(width, percent), "u binary, v binary")
 
@@ -190,18 +194,21 @@ def near_duplicates(
     )
     nodes = cut_lineage(nodes, "nodes")
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = (
-        placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("names"))
-        .where(F.col("n") > 1)
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = cut_lineage(placed.join(cut_lineage(buckets, "buckets"), "bucket"), "members")
+    # A node that meets many others is the likeliest to be near them: the text that copies were made from.
+    weights = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    shapes = members.join(weights, "node").groupBy("bucket", "n").agg(
+        F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("names")
     )
     # Buckets of the same members count once.
-    buckets = cut_lineage(buckets.groupBy("n", "pivot", "names").agg(F.min("bucket").alias("bucket")), "buckets")
-    members = cut_lineage(placed.join(buckets.select("bucket", "n", "pivot"), "bucket"), "members")
+    shapes = cut_lineage(shapes.groupBy("n", "pivot", "names").agg(F.min("bucket").alias("bucket")), "shapes")
+    members = cut_lineage(members.join(shapes.select("bucket", "pivot"), "bucket"), "distinct_members")
     wanted = members.select("node").distinct().join(nodes.select("node", "lead"), "node")
     wanted = cut_lineage(wanted.select("node", F.col("lead.key").alias("key"), F.col("lead.row").alias("row")), "wanted")
     texts = documents.select(key_of(id_column).alias("key"), F.xxhash64(text_of(text_column)).alias("row"), text_of(text_column).alias("text"))
     # Rows that repeat an id and a text differ in nothing.
-    texts = cut_lineage(texts.join(wanted, ["key", "row"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = cut_lineage(texts.join(wanted.hint("merge"), ["key", "row"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
     stars = members.where(F.col("node") != F.col("pivot")).groupBy("pivot", "node").agg(F.max("n").alias("n"))
@@ -217,16 +224,26 @@ def near_duplicates(
 
     labelled = members.join(labels, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("label"))
     labelled = cut_lineage(labelled, "labelled")
-    apart = cut_lineage(
-        labelled.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"))
-        .where(F.col("one") != F.col("other")).select("bucket"),
-        "apart",
+    apart = (
+        labelled.groupBy("bucket", "label").agg(F.count("*").alias("share"))
+        .groupBy("bucket").agg(F.max_by("label", F.struct("share", "label")).alias("major"), F.max("share").alias("most"), F.count("*").alias("labels"))
+        .where(F.col("labels") > 1).select("bucket", "major", "most")
     )
-    open_members = labelled.join(apart, "bucket").withColumns({"chunk": chunk, "chunks": F.ceil(F.col("n") / BLOCK).cast("int")})
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    block_groups = open_members.withColumn("other", F.explode(every)).select(
-        F.col("bucket").alias("a"), F.least("chunk", "other").alias("b"), F.greatest("chunk", "other").alias("c"),
-        F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "node", "label",
+    # Those outside the largest component of their bucket meet all of the bucket; within it nothing is left to find.
+    opened = labelled.join(cut_lineage(apart, "apart"), "bucket").withColumns(
+        {"few": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), "all": F.ceil(F.col("n") / BLOCK).cast("int")}
+    )
+    dealt = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    block_groups = (
+        opened.where((F.col("all") > 1) & (F.col("label") != F.col("major")))
+        .select(F.col("bucket").alias("a"), dealt("few").alias("b"), each("all").alias("c"), F.lit(0).alias("side"), "node", "label")
+        .unionByName(
+            opened.select(
+                F.col("bucket").alias("a"), each("few").alias("b"), dealt("all").alias("c"),
+                F.when(F.col("all") > 1, 1).otherwise(2).alias("side"), "node", "label",
+            )
+        )
     )
     more = _compare(block_groups, texts, width, percent)
     final = components(links.unionByName(more))
