@@ -39,8 +39,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, the text that they decode to, and their number."""
     with open(public_tokenizers.path(PIECE_MODEL), "rb") as file:
         model = file.read()
-    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model).drop("text")
-    return pieces.decode(encoded, model, text_column="text").withColumn("n_tokens", F.size("ids").cast("long"))
+    done = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), model)
+    return done.select("doc_id", "lang", "source", F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 def _sized(changed: DataFrame, docs: DataFrame) -> DataFrame:

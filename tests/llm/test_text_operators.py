@@ -29,6 +29,8 @@ def test_pieces_equal_the_library(spark):
     encoded = pieces.encode(frame(spark, rows, clashing=True), MODEL)
     found = pieces.decode(encoded, MODEL).select("doc_id", "text", "ids", "decoded").collect()
     assert len(found) == len(rows)
+    at_once = pieces.round_trip(frame(spark, rows, clashing=True), MODEL).select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, found))
     for r in found:
         ids = LIBRARY.encode(r.text or "")
         assert r.ids == ids, r.text
@@ -59,6 +61,7 @@ def test_merging_at_once_and_one_by_one_agree():
 def test_no_documents_have_no_pieces(spark):
     none = frame(spark, []).limit(0)
     assert pieces.decode(pieces.encode(none, MODEL), MODEL).count() == 0
+    assert pieces.round_trip(none, MODEL).count() == 0
 
 
 def brute_spans(text):

@@ -15,13 +15,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Characters of text that one vectorised pass takes, and distinct words kept between passes.
-PASS_CHARS, KEPT_WORDS = 2_000_000, 300_000
+#: Bytes of text that one vectorised pass takes, and distinct words kept between passes.
+PASS_CHARS, KEPT_WORDS = 500_000, 150_000
 
 
 class PieceModel:
@@ -309,9 +310,9 @@ def encode(documents: DataFrame, model: bytes, text_column: str = "text", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(PieceModel(model))
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for start, end in _passes(list(map(len, texts))):
-                ids = _lists(*encoder.encode(texts[start:end]))
+            column = batch.column(at)
+            for start, end in _passes(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                ids = _lists(*encoder.encode([t or "" for t in column.slice(start, end - start).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, ids], names=[*kept, ids_column])
 
     rows = documents.select(*[f"`{c}`" for c in kept])
@@ -340,3 +341,28 @@ def decode(rows: DataFrame, model: bytes, ids_column: str = "ids", text_column:
 
     rows = rows.select(*[f"`{c}`" for c in kept])
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_column, T.StringType())]))
+
+
+def round_trip(documents: DataFrame, model: bytes, text_column: str = "text", ids_column: str = "ids", decoded_column: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of what it gave, in one task with one model in memory."""
+    dropped = {ids_column.lower(), decoded_column.lower()}
+    kept = [c for c in documents.columns if c.lower() not in dropped]
+    at = [c.lower() for c in kept].index(text_column.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import codecs
+
+        codecs.register_error("each_byte", _each_byte)
+        encoder = Encoder(PieceModel(model))
+        for batch in batches:
+            column = batch.column(at)
+            for start, end in _passes(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                ids, counts = encoder.encode([t or "" for t in column.slice(start, end - start).to_pylist()])
+                texts = pa.array(encoder.model.decode(ids, counts), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(start, end - start).columns, _lists(ids, counts), texts], names=[*kept, ids_column, decoded_column]
+                )
+
+    rows = documents.select(*[f"`{c}`" for c in kept])
+    added = [T.StructField(ids_column, T.ArrayType(T.IntegerType())), T.StructField(decoded_column, T.StringType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))

@@ -121,8 +121,7 @@ def op7(spark, sf):
 
     with open(public_tokenizers.path(PIECE_MODEL), "rb") as file:
         model = file.read()
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), model).drop("text")
-    return pieces.decode(encoded, model).select(
+    return pieces.round_trip(table(spark, sf, "documents").select("doc_id", "text"), model).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         _sha(F.col("decoded")).alias("decoded_sha256"),
