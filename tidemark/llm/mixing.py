@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import WORD, fresh, key_of, text_of
+from tidemark.session import cut_lineage
 
 #: Blocks of one size class (a power of two).
 BLOCKS = 256
@@ -91,7 +92,8 @@ def mix(
             }
         )
     )
-    slim = rows.select(n["source"], cls, blk, n["words"])
+    # What the sums need, counted once: the texts are read again only for the result.
+    slim = cut_lineage(rows.select(n["source"], cls, blk, n["hash"], id_column, n["words"]), "sizes")
     blocks = slim.groupBy(n["source"], cls, blk).agg(
         F.count("*").alias(n["count"]), F.sum(n["words"]).alias(n["words"])
     )
@@ -129,8 +131,7 @@ def mix(
     turned = [(F.col(n["offset"]) + F.lit(i / TURNS)) % 1.0 for i in range(TURNS)]
     off_target = [F.struct(F.abs(F.sum(F.col(n["words"]) * copies(u)) - F.first("target")), F.first(u)) for u in turned]
     best = (
-        rows.select(n["source"], cls, blk, n["hash"], id_column, n["words"])
-        .withColumn(n["rank"], F.row_number().over(within))
+        slim.withColumn(n["rank"], F.row_number().over(within))
         .join(block_starts, [n["source"], cls, blk])
         .groupBy(n["source"]).agg(F.least(*off_target).alias("best"))
         .select(n["source"], F.col("best.col2").alias(n["offset"]))
