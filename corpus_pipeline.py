@@ -14,9 +14,8 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on the rated documents among ``docs``; keeps what is most likely of the highest grade."""
-    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), levels=3)
-    scored = quality.score(docs, model)
+    """Fitted on the rated documents among ``docs``; keeps what is most likely of the highest grade and not toxic."""
+    scored = quality.score_marks(docs, table(spark, sf_dir, "labels"))
     return scored.where(quality.keep_clean(scored)).select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ from cases import near_components, repeats_removed, sha
 from compare_oracles import connect, differences
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, pieces, queries
+from tidemark.llm import minhash, pieces, quality, queries
 from tidemark.session import table
 
 
@@ -72,6 +72,19 @@ def test_quality_query_parts_clean_from_the_rest(spark):
     assert poor < 0.4
 
 
+def test_quality_of_held_out_marks(spark):
+    """Fitted on the marks of even ids; of the others, clean, poor and toxic documents are counted apart."""
+    folder = "/root/testdata/sf0.1"
+    marks, docs = table(spark, folder, "labels"), table(spark, folder, "documents")
+    scored = quality.score_marks(docs, marks.where("doc_id % 2 = 0"))
+    kept = scored.select("doc_id", quality.keep_clean(scored).cast("int").alias("stays")).join(marks.where("doc_id % 2 = 1"), "doc_id")
+    kind = F.expr("case when quality = 0 then 'poor' when toxic = 1 then 'toxic' else 'clean' end").alias("kind")
+    rates = {r.kind: r.rate for r in kept.groupBy(kind).agg(F.avg("stays").alias("rate")).collect()}
+    assert rates["clean"] > 0.98, rates
+    assert rates["poor"] < 0.04, rates
+    assert rates["toxic"] < 0.15, rates
+
+
 def test_pipeline_stage_by_stage(spark, tiny, tmp_path):
     docs = table(spark, tiny, "documents")
     columns, kept = docs.columns, {}

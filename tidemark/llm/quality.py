@@ -5,6 +5,9 @@ a text (present or not), the shapes of its words with their share of the text, a
 over the sample keeps the features whose presence goes with the grade; rare words, of which every text has many, would
 only add noise. Copies of a text count once.
 
+Toxic is no place between poor and clean: on one axis few insults cannot outweigh the many words of good prose. So a second
+model of the same kind, of the mark "toxic" alone, scores the same features, and a document is kept only if both say so.
+
 The model is fitted in one task on a sample of rated documents whose size is bounded by a parameter. Scoring needs no
 shuffle: the model, bounded too, travels with the tasks.
 """
@@ -29,6 +32,8 @@ from tidemark.llm.text import key_of, text_of
 DIMENSIONS, KEPT, SAMPLE = 1 << 21, 4096, 20_000
 #: How far presence has to depart from independence of the grade, in standard deviations, to be kept.
 DEPARTURE = 7
+#: The same for the mark "toxic", which few words carry, the rarer ones of some languages among them.
+HARM_DEPARTURE = 5
 #: How many times as often, or as seldom, a kept feature is present in some grade as in the others.
 LIFT = 3
 STEPS, RATE, SHRINK = 800, 0.1, 1e-6
@@ -89,7 +94,7 @@ class Featurizer:
         return np.unique(np.array(out, np.int64))
 
 
-def _informative(features: list[np.ndarray], grades: np.ndarray, levels: int) -> np.ndarray:
+def _informative(features: list[np.ndarray], grades: np.ndarray, levels: int, departing: float) -> np.ndarray:
     """Features that are present in some grade more or less often than chance allows, the strongest first."""
     flat = np.concatenate(features)
     owners = np.repeat(grades, [len(f) for f in features])
@@ -106,12 +111,12 @@ def _informative(features: list[np.ndarray], grades: np.ndarray, levels: int) ->
         strength = np.maximum(strength, np.where(np.maximum(inside / outside, outside / inside) >= LIFT, departure, 0))
     strength[total < 5] = 0
     best = np.argsort(-strength, kind="stable")[:KEPT]
-    return np.sort(best[strength[best] >= DEPARTURE])
+    return np.sort(best[strength[best] >= departing])
 
 
-def fit_arrays(features: list[np.ndarray], grades: np.ndarray, levels: int) -> OrdinalModel:
+def fit_arrays(features: list[np.ndarray], grades: np.ndarray, levels: int, departing: float = DEPARTURE) -> OrdinalModel:
     """Penalised maximum likelihood by Adam steps over the whole sample; no randomness."""
-    kept = _informative(features, grades, levels)
+    kept = _informative(features, grades, levels, departing)
     at = [np.searchsorted(kept, f[np.isin(f, kept, assume_unique=True)]) for f in features]
     columns = np.concatenate(at) if at else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
@@ -148,7 +153,10 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["grade", "features"])
 
 
-def fit(documents: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> OrdinalModel | None:
+def fit(
+    documents: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text",
+    departing: float = DEPARTURE,
+) -> OrdinalModel | None:
     """A model from ``ratings`` (``doc_id``, ``grade`` in [0, levels)) of at most ``sample`` documents, chosen by a hash of the id.
 
     Ratings with a null id or grade, or out of range, are left out; of several ratings of a document all count. None if
@@ -167,7 +175,7 @@ def fit(documents: DataFrame, ratings: DataFrame, levels: int, sample: int = SAM
             # Copies count once, and the order of the rows must not matter for the sums.
             order = sorted({(int(g), f.tobytes()): i for i, (g, f) in enumerate(zip(grades, features, strict=True))}.items())
             order = np.array([i for _, i in order])
-            model = fit_arrays([features[i] for i in order], grades[order], levels)
+            model = fit_arrays([features[i] for i in order], grades[order], levels, departing)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x]) for x in (model.features, model.weights, model.thresholds)], names=["features", "weights", "thresholds"]
             )
@@ -180,38 +188,56 @@ def fit(documents: DataFrame, ratings: DataFrame, levels: int, sample: int = SAM
     return OrdinalModel(*[np.array(found[0][name]) for name in ("features", "weights", "thresholds")]) if found else None
 
 
-def score(documents: DataFrame, model: OrdinalModel | None, text_column: str = "text") -> DataFrame:
-    """``documents`` with ``expected_grade`` and ``tail`` (P of the highest grade), both double; null without a model.
+def score(documents: DataFrame, model: OrdinalModel | None, text_column: str = "text", harm: OrdinalModel | None = None) -> DataFrame:
+    """``documents`` with ``expected_grade``, ``tail`` (P of the highest grade) and ``harmless`` (the same of ``harm``), all double.
 
-    A null or empty text is scored by the one feature "empty". Columns of these names are replaced.
+    What comes from a model that is None is null. A null or empty text is scored by the one feature "empty". Columns of
+    these names are replaced.
     """
-    added = ("expected_grade", "tail")
+    added = ("expected_grade", "tail", "harmless")
     kept = [c for c in documents.columns if c.lower() not in added]
     rows = documents.select(*[f"`{c}`" for c in kept])
-    if model is None:
+    if model is None and harm is None:
         return rows.withColumns({c: F.lit(None).cast("double") for c in added})
     at = [c.lower() for c in kept].index(text_column.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer()
-        dense = np.zeros(DIMENSIONS)
-        dense[model.features] = model.weights
+        dense = np.zeros((DIMENSIONS, 2))
+        for column, one in enumerate((model, harm)):
+            if one is not None:
+                dense[one.features, column] = one.weights
         for batch in batches:
-            scores = np.array([dense[featurizer.of(text)].sum() for text in batch.column(at).to_pylist()])
-            tails = model.tails(scores)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[*kept, *added]
-            )
+            scores = np.array([dense[featurizer.of(text)].sum(axis=0) for text in batch.column(at).to_pylist()]).reshape(-1, 2)
+            grade = tail = harmless = pa.nulls(batch.num_rows, pa.float64())
+            if model is not None:
+                tails = model.tails(scores[:, 0])
+                grade, tail = pa.array(tails.sum(axis=1)), pa.array(tails[:, -1].copy())
+            if harm is not None:
+                harmless = pa.array(harm.tails(scores[:, 1])[:, -1].copy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, grade, tail, harmless], names=[*kept, *added])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]]))
 
 
+def score_marks(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` by two models fitted on the marks of ``labels``: the three grades, and the mark "toxic" alone."""
+    model = fit(documents, grades_of(labels), levels=3)
+    harm = fit(documents, harmless_of(labels), levels=2, departing=HARM_DEPARTURE)
+    return score(documents, model, harm=harm)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """Three grades out of two marks: 0 poor, 1 toxic though well written, 2 clean. A null mark gives no grade."""
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
     return labels.select("doc_id", grade.alias("grade"))
 
 
+def harmless_of(labels: DataFrame) -> DataFrame:
+    """Grade 0 for toxic and 1 for not toxic, whatever the quality. A null mark gives no grade."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, 1).alias("grade"))
+
+
 def keep_clean(scored: DataFrame, least: float = 0.5) -> Column:
-    """Whether the highest grade is at least as likely as ``least``; without a score a document stays."""
-    return F.coalesce(scored["tail"] >= least, F.lit(True))
+    """Whether the highest grade and being harmless are each at least as likely as ``least``; what has no score does not count."""
+    return F.coalesce(scored["tail"] >= least, F.lit(True)) & F.coalesce(scored["harmless"] >= least, F.lit(True))
