@@ -68,6 +68,21 @@ def test_one_of_each_group_stays(spark):
     assert {key(r.doc_id) for r in kept.collect()} == wanted
 
 
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"other{i}" for i in range(150))
+
+    one, null, shared = [(7, text("a")), (7, text("a")), (7, text("a", 3)), (8, text("a"))], [(None, text("b", i)) for i in range(4)], [(9, text("b"))]
+    alone = [(None, text("c")), (7, text("d")), (1, ""), (1, ""), (None, None)]
+    for clashing in (False, True):
+        docs = frame(spark, one + null + shared + alone, clashing=clashing)
+        kept = minhash.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = Counter((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
+        assert got.pop((None, "o"), 0) + got.pop((None, "b"), 0) == 1  # of the copies without an id
+        assert got == {(7, "a"): 1, (None, "c"): 1, (7, "d"): 1, (1, ""): 2, (None, ""): 1}
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7), (None, 3)]

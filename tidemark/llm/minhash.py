@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.text import key_of, text_of
+from tidemark.llm.text import fresh, key_of, text_of
 from tidemark.session import cut_lineage
 
 PERMUTATIONS, BAND_VALUES = 64, 4
@@ -181,11 +181,12 @@ def _compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def near_duplicates(
     documents: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """One row per row of ``documents``: ``key``, ``row``, ``n_shingles``, ``component`` (smallest key reachable).
+    """One row per row of ``documents``: ``key``, ``row``, ``n_shingles``, ``component`` (smallest key reachable), ``lead_row``.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle sets. Null texts count as empty; a row without
     words has no shingles and is linked with nothing. A null id has the lowest key. Rows that repeat an id and a text come
-    out as often as they come in, with one component. ``row`` is a hash of the text and tells apart rows of one id.
+    out as often as they come in, with one component. ``row`` is a hash of the text and tells apart rows of one id;
+    ``lead_row`` is the smallest ``row`` of the component's smallest key.
     """
     sketched = cut_lineage(sketch(documents, width, id_column, text_column), "sketch")
     nodes = (
@@ -248,21 +249,36 @@ def near_duplicates(
     more = _compare(block_groups, texts, width, percent)
     final = components(links.unionByName(more))
 
-    named = nodes.select("node", F.col("lead.key").alias("lead"), "copies").join(final, "node", "left")
+    named = nodes.select("node", "lead", "copies").join(final, "node", "left")
     # Only rows of a node with copies or links can have another component than their own key.
     named = cut_lineage(
         named.where((F.col("copies") > 1) | F.col("component").isNotNull()).select("node", F.coalesce("component", "node").alias("label"), "lead"), "named"
     )
-    least = cut_lineage(named.groupBy("label").agg(F.min("lead").alias("component")), "components")
-    of_node = cut_lineage(named.join(least, "label").select("node", "component"), "of_node")
+    least = cut_lineage(named.groupBy("label").agg(F.min("lead").alias("least")), "components")
+    of_node = cut_lineage(named.join(least, "label").select("node", "least"), "of_node")
     return sketched.select("key", "row", "n_shingles", "node").join(of_node, "node", "left").select(
-        "key", "row", "n_shingles", F.coalesce("component", "key").alias("component")
+        "key", "row", "n_shingles", F.coalesce("least.key", "key").alias("component"), F.coalesce("least.row", "row").alias("lead_row")
     )
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``documents`` with one id of each group: the smallest. Rows without words stay; columns and their order are the same."""
-    found = near_duplicates(documents, width, percent, id_column, text_column)
-    dropped = cut_lineage(found.where(F.col("key") != F.col("component")).select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct(), "dropped")
-    same = (key_of(id_column) == F.col("__key")) & (F.xxhash64(text_of(text_column)) == F.col("__row"))
-    return documents.join(dropped, same, "left_anti")
+    """``documents`` with one row of each group: of the smallest id, and of its texts the one of the smallest hash.
+
+    Of rows that repeat this id and text one stays, whichever has the smallest hash of all columns. Rows without words
+    stay; columns and their order are the same.
+    """
+    found = near_duplicates(documents, width, percent, id_column, text_column).where(F.col("n_shingles") > 0)
+    names = fresh(documents, "key", "row", "place")
+    pair = [F.col("key").alias(names["key"]), F.col("row").alias(names["row"])]
+    lead = (F.col("key") == F.col("component")) & (F.col("row") == F.col("lead_row"))
+    # Pairs of id and text that are not to stay, and those that stay once of several times.
+    counted = cut_lineage(found.groupBy(*pair, lead.alias("lead")).agg(F.count("*").alias("n")).where(~F.col("lead") | (F.col("n") > 1)), "dropped")
+    same = (key_of(id_column) == F.col(names["key"])) & (F.xxhash64(text_of(text_column)) == F.col(names["row"]))
+    stays = documents.join(counted.select(names["key"], names["row"]), same, "left_anti")
+    repeated = counted.where("lead").select(names["key"], names["row"])
+    if repeated.isEmpty():
+        return stays
+    hashed = [f"`{f.name}`" for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy(names["key"], names["row"]).orderBy(F.xxhash64(*hashed))
+    once = documents.join(repeated, same).withColumn(names["place"], F.row_number().over(first)).where(F.col(names["place"]) == 1)
+    return stays.unionByName(once.drop(*names.values()))
