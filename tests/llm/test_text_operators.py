@@ -192,9 +192,8 @@ def test_top_k_against_brute_force(spark, monkeypatch, seed):
 def test_top_k_counts_a_repeated_row_once_across_partitions(spark):
     rng = np.random.default_rng(8)
     data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (40, 6)))]
-    schema = "vec_id long, embedding array<double>"
-    whole = spark.createDataFrame(data, schema).repartition(1)
-    found = topk.integer_vectors(whole.unionByName(whole).unionByName(whole))  # repeats in three partitions
+    parts = spark.sparkContext.parallelize(data * 3, 3)  # each partition holds every row once
+    found = topk.integer_vectors(spark.createDataFrame(parts, "vec_id long, embedding array<double>"))
     usable = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data]
     hits = topk.top_k(found, found.where("key % 20 = 0"), 10).collect()
     assert sorted((r.query_id, r.rank, r.row_id, r.score) for r in hits) == brute_top(usable, [(i, v) for i, v in usable if i % 20 == 0], 10)
