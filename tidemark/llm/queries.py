@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, lines, minhash, mixing, pieces, preferences, quality, repeats, secrets, topk
-from tidemark.llm.text import id_of
+from tidemark.llm import exact, lines, minhash, mixing, pieces, preferences, quality, repeats, runs, secrets, topk
+from tidemark.llm.text import WORD, id_of
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,33 @@ def op10(spark, sf):
         id_of("key").alias("doc_id"), id_of("keep_key").alias("keep_id"), "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def with_cycles(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text), where one in ten by crc32 of the id repeats a stretch of its words to its end.
+
+    Such a text becomes its words joined by blanks. A null id names no document of these.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = documents.withColumns(
+        {"h": h, "words": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))}
+    ).withColumns({"n": F.size("words").cast("long"), "g": F.floor(F.col("h") / 10)})
+    cut = words.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    period = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    cycled = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.flatten(F.array_repeat(period, times))), F.lit(1), F.col("n").cast("int"))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(cycled, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    found = runs.periodic_runs(with_cycles(table(spark, sf, "documents").select("doc_id", "text")))
+    # The greatest length, then the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("below"))))
+    written = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top")["before"]).alias("start"), F.col("top")["length"].alias("length"),
+        (-F.col("top")["below"]).alias("period"), F.floor(1000 * F.col("top")["length"] / -F.col("top")["below"]).alias("exponent_milli"),
+        _sha(written).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\f\r"
@@ -47,3 +50,26 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
         out[name] = wanted
         taken.add(wanted.lower())
     return out
+
+
+def add_columns(
+    documents: DataFrame, fields: list[T.StructField], run: Callable[[Iterator[pa.RecordBatch], list[str]], Iterator[list[pa.Array]]]
+) -> DataFrame:
+    """``documents`` with what ``run`` computes from its batches; columns named as one of ``fields`` are replaced.
+
+    ``run`` gets the batches and the lower-cased names of their columns, and yields lists of arrays: the columns of some rows
+    and then the new ones. Inside, columns go by place, so that names with dots, which ``mapInArrow`` can't resolve, are kept.
+    """
+    added = {field.name.lower() for field in fields}
+    kept = [c for c in documents.columns if c.lower() not in added]
+    lowered = [c.lower() for c in kept]
+    rows = documents.select(*[F.col(f"`{c.replace('`', '``')}`") for c in kept])
+    inner = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate([*rows.schema.fields, *fields])]
+    names = [f.name for f in inner]
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches, lowered):
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    mapped = rows.toDF(*names[: len(kept)]).mapInArrow(batches_of, T.StructType(inner))
+    return mapped.toDF(*kept, *[field.name for field in fields])
