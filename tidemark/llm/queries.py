@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, lines, minhash, mixing, pieces, preferences, quality, repeats, runs, secrets, topk
+from tidemark.llm import exact, lexical, lines, minhash, mixing, pieces, preferences, quality, repeats, runs, secrets, topk
 from tidemark.llm.text import WORD, id_of
 from tidemark.session import table
 
@@ -190,3 +190,24 @@ def op12(spark, sf):
         (-F.col("top")["below"]).alias("period"), F.floor(1000 * F.col("top")["length"] / -F.col("top")["below"]).alias("exponent_milli"),
         _sha(written).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_ranked_search",
+    f"""with d as (select doc_id, {_TERMS} as terms from documents), kept as (select * from d where len(terms) > 0),
+ c as (select count(*) as n, sum(len(terms))::bigint as words from kept),
+ tf as (select doc_id, len(terms) as length, term, count(*) as tf from (select doc_id, terms, unnest(terms) as term from kept) group by all),
+ q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+ w as (select term, floor(1000 * ln((2 * c.n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, c
+  where term in (select term from q) group by term, c.n),
+ s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * length * c.n) // c.words))))::bigint as score
+  from q join w using (term) join tf using (term), c group by all)
+ select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0
+ qualify rank <= 10""",
+)
+def op13(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return lexical.ranked_search(documents, table(spark, sf, "benchmark").select("item_id", "text"), 10)
