@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, lexical, lines, minhash, mixing, pieces, preferences, quality, repeats, runs, secrets, topk
+from tidemark.llm import exact, graph, lexical, lines, minhash, mixing, pieces, preferences, quality, repeats, runs, secrets, topk
 from tidemark.llm.text import WORD, id_of
 from tidemark.session import table
 
@@ -162,6 +162,13 @@ def op10(spark, sf):
     )
 
 
+@query("op11_nearest_neighbours")
+def op11(spark, sf):
+    vectors = graph.usable_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    hits = graph.search(graph.build_index(vectors), vectors, vectors.where(F.col("key") % 20 == 0), 20)
+    return hits.withColumnRenamed("row_id", "vec_id")
+
+
 def with_cycles(documents: DataFrame) -> DataFrame:
     """``documents`` (doc_id, text), where one in ten by crc32 of the id repeats a stretch of its words to its end.
 
