@@ -105,7 +105,7 @@ def test_minmax_bands_estimate_similarity():
 
 def row_order(spark, rows):
     texts = spark.createDataFrame([(t or "",) for _, t in rows], "text string")
-    return {r.text: r.h for r in texts.select("text", F.hash("text").bitwiseAND(0xFFFFFF).alias("h")).collect()}
+    return {r.text: r.h for r in texts.select("text", F.xxhash64("text", F.octet_length("text")).alias("h")).collect()}
 
 
 @pytest.mark.parametrize(("piece", "kinds"), [(1_000_000, 20_000), (300, 20_000), (1_000_000, 2), (700, 0)])
@@ -138,6 +138,34 @@ def test_repeats_of_no_documents_and_short_texts(spark):
     assert got == [(1, 99, 0, 0), (2, 99, 0, 0), (3, 0, 0, 0), (4, 100, 0, 0), (5, 100, 100, 1)]
 
 
+def test_very_many_texts_of_one_id(spark):
+    """More texts without an id than a short hash could tell apart."""
+    rng = np.random.default_rng(1)
+    shared = ["a line of its own that only some of the texts have, number %d" % i for i in range(9)]
+    rows = [(None, f"item {i} {rng.integers(1 << 60)} and {rng.integers(1 << 60)} with enough characters to make it a long line " + "of text " * 4 + "\n" + shared[i % 9]) for i in range(20_000)]
+    rows += [(i, shared[i % 9] + f"\nno {i}") for i in range(60)]
+    got = sorted((key(r.doc_id), r.n_lines, r.n_dropped, sha(r.text)) for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert got == deduped_lines(rows)
+    got = sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in repeats.remove_repeats(frame(spark, rows)).collect())
+    assert got == repeats_removed(rows, row_order(spark, rows))
+
+
+def test_common_lines_are_looked_up_and_others_joined(spark, monkeypatch):
+    rows = documents()
+    for part in (10_000, 0.001):  # no line or every frequent line is common
+        monkeypatch.setattr(lines, "PER_TASK", part)
+        got = sorted((key(r.doc_id), r.n_lines, r.n_dropped, sha(r.text)) for r in lines.dedup_lines(frame(spark, rows)).collect())
+        assert got == deduped_lines(rows)
+
+
+def test_dotted_names_pass_through(spark):
+    rows = documents(n=20)
+    for operator in (lines.dedup_lines, repeats.remove_repeats):
+        df = frame(spark, rows).withColumn("a.b", F.lit(1)).withColumn("x`y", F.lit(2))
+        assert [c for c in operator(df).columns if c in df.columns] == df.columns
+        assert operator(df).count() == len(rows)
+
+
 @pytest.mark.parametrize("history", [lambda i: i % 2 == 0, lambda i: False, lambda i: True])
 def test_exact_groups_against_brute_force(spark, history):
     rows = documents()

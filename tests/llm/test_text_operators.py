@@ -29,7 +29,7 @@ def test_pieces_equal_the_library(spark):
     encoded = pieces.encode(frame(spark, rows, clashing=True), MODEL)
     found = pieces.decode(encoded, MODEL).select("doc_id", "text", "ids", "decoded").collect()
     assert len(found) == len(rows)
-    at_once = pieces.round_trip(frame(spark, rows, clashing=True), MODEL).select("doc_id", "text", "ids", "decoded").collect()
+    at_once = pieces.round_trip(frame(spark, rows, clashing=True).withColumn("a.b", F.lit(1)), MODEL).select("doc_id", "text", "ids", "decoded").collect()
     assert sorted(map(repr, at_once)) == sorted(map(repr, found))
     for r in found:
         ids = LIBRARY.encode(r.text or "")
@@ -86,7 +86,7 @@ def secret_texts():
 
 def test_secrets_equal_a_full_scan(spark):
     rows = list(enumerate(secret_texts()))
-    found = secrets.scan(frame(spark, rows, clashing=True)).select("text", "spans").collect()
+    found = secrets.scan(frame(spark, rows, clashing=True).withColumn("a.b", F.lit(1))).select("text", "spans").collect()
     assert len(found) == len(rows)
     kinds = {"assign", "access", "hex"}
     for r in found:
@@ -156,7 +156,8 @@ def test_mixing_meets_its_targets(spark, counts):
 
 def test_mixing_awkward_rows(spark):
     rows = documents()
-    found = mixing.mix(frame(spark, rows, clashing=True))
+    found = mixing.mix(frame(spark, rows, clashing=True).withColumn("a.b", F.lit(1)))
+    assert "a.b" in found.columns
     assert found.count() == len(rows)
     assert found.where("size is null or target is null or copies is null").count() == 0
     assert mixing.mix(frame(spark, []).limit(0)).count() == 0
@@ -213,6 +214,9 @@ def test_preference_pairs(spark):
     rows = [(1, a, b), (2, a, a), (3, None, a), (4, [("user", "x")], a), (5, None, None)]
     turns = "array<struct<role:string,text:string>>"
     df = spark.createDataFrame(rows, f"pair_id long, chosen {turns}, rejected {turns}").withColumn("prompt", F.lit("clash"))
+    df = df.withColumns({"__c": F.lit("c"), "__n": F.lit("n"), "__rr": F.lit("r"), "a.b": F.lit("d")})
+    first = preferences.format_pairs(df).first()
+    assert (first["__c"], first["__n"], first["__rr"], first["a.b"]) == ("c", "n", "r", "d")
     got = {r.pair_id: r for r in preferences.format_pairs(df).collect()}
     one = got[1]
     assert one.prompt == "<|user|>\nhi<|end|>\n"

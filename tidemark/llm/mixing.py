@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import WORD, fresh, key_of, text_of
+from tidemark.llm.text import WORD, fresh, key_of, plain_names, text_of
 from tidemark.session import cut_lineage
 
 #: Blocks of one size class (a power of two).
@@ -61,6 +61,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+@plain_names
 def mix(
     documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17,
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
@@ -148,5 +149,5 @@ def mix(
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per copy, with the given columns."""
     return mixed.where(F.col("copies") > 0).select(
-        *columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
+        *[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
     ).drop("__copy")

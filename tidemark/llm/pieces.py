@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.text import plain_names
+
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Bytes of text that one vectorised pass takes, and distinct words kept between passes.
@@ -299,6 +301,7 @@ def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 
 
+@plain_names
 def encode(documents: DataFrame, model: bytes, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """``documents`` with the token ids of the text as array<int>; a null or empty text has no ids.
 
@@ -319,6 +322,7 @@ def encode(documents: DataFrame, model: bytes, text_column: str = "text", ids_co
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(ids_column, T.ArrayType(T.IntegerType()))]))
 
 
+@plain_names
 def decode(rows: DataFrame, model: bytes, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids; null or no ids give an empty text, bytes that are no UTF-8 give U+FFFD each."""
     kept = [c for c in rows.columns if c.lower() != text_column.lower()]
@@ -343,6 +347,7 @@ def decode(rows: DataFrame, model: bytes, ids_column: str = "ids", text_column:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_column, T.StringType())]))
 
 
+@plain_names
 def round_trip(documents: DataFrame, model: bytes, text_column: str = "text", ids_column: str = "ids", decoded_column: str = "decoded") -> DataFrame:
     """``encode`` and then ``decode`` of what it gave, in one task with one model in memory."""
     dropped = {ids_column.lower(), decoded_column.lower()}

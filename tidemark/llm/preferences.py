@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import fresh, plain_names
+
 TURN = "struct<role:string,text:string>"
 
 
@@ -52,6 +54,7 @@ def loss_spans(turns: Column) -> Column:
     return F.aggregate(turns, F.struct(begin.alias("at"), empty.alias("spans")), step, lambda state: state["spans"])
 
 
+@plain_names
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` with ``chosen`` and ``rejected`` (arrays of (role, text)) replaced by prompt and completions.
 
@@ -62,18 +65,20 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     none = F.array().cast(f"array<{TURN}>")
     added = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_loss", "rejected_loss", "same")
     kept = [c for c in pairs.columns if c.lower() not in {*added, chosen.lower(), rejected.lower()}]
-    rows = pairs.select(*kept, F.coalesce(chosen, none).alias("__c"), F.coalesce(rejected, none).alias("__r"))
+    name = fresh(pairs, "c", "r", "n", "cc", "rr")
+    c, r, n, cc, rr = name.values()
+    rows = pairs.select(*kept, F.coalesce(chosen, none).alias(c), F.coalesce(rejected, none).alias(r))
     # zip_with fills the shorter side with nulls, which equal no turn.
-    differs = F.zip_with("__c", "__r", lambda a, b: F.coalesce(a != b, F.lit(True)))
+    differs = F.zip_with(c, r, lambda a, b: F.coalesce(a != b, F.lit(True)))
     first = F.array_position(differs, True)
-    rows = rows.withColumn("__n", F.when(first == 0, F.size("__c")).otherwise(first - 1).cast("int"))
-    tail = lambda c: F.slice(c, F.col("__n") + 1, F.greatest(F.size(c), F.lit(1)))
-    rows = rows.withColumns({"__cc": tail("__c"), "__rr": tail("__r")})
+    rows = rows.withColumn(n, F.when(first == 0, F.size(c)).otherwise(first - 1).cast("int"))
+    tail = lambda side: F.slice(side, F.col(n) + 1, F.greatest(F.size(side), F.lit(1)))
+    rows = rows.withColumns({cc: tail(c), rr: tail(r)})
     return rows.select(
-        *kept, F.col("__n").cast("long").alias("n_prompt_turns"), render(F.slice("__c", F.lit(1), F.col("__n"))).alias("prompt"),
-        render(F.col("__cc")).alias("chosen"), render(F.col("__rr")).alias("rejected"),
-        loss_spans(F.col("__cc")).alias("chosen_loss"), loss_spans(F.col("__rr")).alias("rejected_loss"),
-        ((F.size("__cc") == 0) & (F.size("__rr") == 0)).alias("same"),
+        *kept, F.col(n).cast("long").alias("n_prompt_turns"), render(F.slice(c, F.lit(1), F.col(n))).alias("prompt"),
+        render(F.col(cc)).alias("chosen"), render(F.col(rr)).alias("rejected"),
+        loss_spans(F.col(cc)).alias("chosen_loss"), loss_spans(F.col(rr)).alias("rejected_loss"),
+        ((F.size(cc) == 0) & (F.size(rr) == 0)).alias("same"),
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import key_of, text_of
+from tidemark.llm.text import key_of, plain_names, text_of
 
 #: Hashed features, features kept by the first pass, and rated documents that a fit takes at most.
 DIMENSIONS, KEPT, SAMPLE = 1 << 21, 4096, 20_000
@@ -188,6 +188,7 @@ def fit(
     return OrdinalModel(*[np.array(found[0][name]) for name in ("features", "weights", "thresholds")]) if found else None
 
 
+@plain_names
 def score(documents: DataFrame, model: OrdinalModel | None, text_column: str = "text", harm: OrdinalModel | None = None) -> DataFrame:
     """``documents`` with ``expected_grade``, ``tail`` (P of the highest grade) and ``harmless`` (the same of ``harm``), all double.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import fresh, key_of, text_of
+from tidemark.llm.text import fresh, key_of, plain_names, text_of
 from tidemark.session import cut_lineage
 
 LENGTH, GRAM = 100, 24
@@ -38,12 +38,12 @@ PIECE = 1_000_000
 HELD = 750_000
 #: Kinds of surroundings of one gram that are ranked in one task.
 KINDS = 20_000
-#: ``place`` holds 24 bits of a hash of the text, 31 of the start, 7 of the number of windows less one, and whether the
-#: pair is known to be a repeat; its order is that of places within an id.
-PAIR = "one long, two long, key long, place long"
-FOUND = "one long, key long, place long"
-EDGE = "one long, two long, key long, place long, around binary"
-RANGE = "key long, row int, start long, span long"
+#: A text is named by its id ``key`` and a 64-bit hash ``row``. ``place`` holds the start, 7 bits of the number of windows
+#: less one, and whether the pair is known to be a repeat; its order is that of places within a text.
+PAIR = "one long, two long, key long, row long, place long"
+FOUND = "one long, key long, row long, place long"
+EDGE = "one long, two long, key long, row long, place long, around binary"
+RANGE = "key long, row long, start long, span long"
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(0, 2**64, (2, 256), np.uint64)
 _BASE = [int(b) | 1 for b in _random.integers(2**62, 2**63, 2)]
@@ -116,18 +116,18 @@ def stretches(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return lo, hi, grams[anchor], _mix(two.of(lo, hi + LENGTH) + shape)
 
 
-def _place(row: np.ndarray, start: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return (row << 39) | (start << 8) | (span << 1)
+def _place(start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (start << 8) | (span << 1)
 
 
-def _later(one: np.ndarray, two: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _later(one: np.ndarray, two: np.ndarray, key: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which pairs equal one of a smaller place."""
-    order = np.lexsort((place, key, two, one))
-    a, b, k, p = (x[order] for x in (one, two, key, place))
+    order = np.lexsort((place, row, key, two, one))
+    a, b, k, r, p = (x[order] for x in (one, two, key, row, place))
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     out = np.empty(len(one), bool)
-    out[order] = (k != k[first]) | (p != p[first])
+    out[order] = (k != k[first]) | (r != r[first]) | (p != p[first])
     return out
 
 
@@ -145,15 +145,15 @@ class _Firsts:
 
     def flush(self) -> Iterator[tuple[np.ndarray, ...]]:
         if self.n:
-            one, two, key, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            one, two, key, row, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
             self.parts, self.n = [], 0
-            known = _later(one, two, key, place)
+            known = _later(one, two, key, row, place)
             # What is known need not meet its like: it is dealt out by its place.
-            one = np.where(known, _mix(one + place.view(np.uint64) * np.uint64(31) + key.view(np.uint64)), one)
+            one = np.where(known, _mix(one + place.view(np.uint64) * np.uint64(31) + _mix(row.view(np.uint64) + key.view(np.uint64))), one)
             place = place | known
             for a in range(0, len(one), 50_000):
                 b = slice(a, a + 50_000)
-                yield one[b].view(np.int64), two[b].view(np.int64), key[b], place[b]
+                yield one[b].view(np.int64), two[b].view(np.int64), key[b], row[b], place[b]
 
 
 def _anchor_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,10 @@ def _anchor_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lo, hi, grams, around = stretches(flat, starts, sizes)
         of = np.searchsorted(starts, lo, side="right") - 1
         keys, rows, offsets = (np.array([h[i] for h in held], np.int64) for i in range(3))
-        return grams, around, keys[of], _place(rows[of], lo - starts[of] + offsets[of], hi - lo)
+        return grams, around, keys[of], rows[of], _place(lo - starts[of] + offsets[of], hi - lo)
 
     def batch(columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "key", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "key", "row", "place"])
 
     held, n = [], 0
     for arrow in batches:
@@ -188,12 +188,22 @@ def _anchor_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from map(batch, firsts.flush())
 
 
+def _first_of(new: np.ndarray, before: tuple | None, *columns: np.ndarray) -> list[np.ndarray]:
+    """Of each row the columns of the last row that is ``new``, or those of ``before`` where there is none."""
+    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+    return [np.where(at >= 0, c[np.maximum(at, 0)], b) for c, b in zip(columns, before or (0,) * len(columns), strict=True)]
+
+
+def _differ(firsts: list[np.ndarray], *columns: np.ndarray) -> np.ndarray:
+    return np.any([f != c for f, c in zip(firsts, columns, strict=True)], axis=0)
+
+
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs in order: the repeats (all but the first of equal pairs; marked in ``place``), and the first pairs of a rank
     ``one`` that has several."""
     pair = first = waiting = None  # last pair, its first place, and the first pair of a rank without a second one so far
     for batch in batches:
-        one, two, key, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        one, two, key, row, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(one):
             continue
         known = (place & 1) > 0
@@ -204,11 +214,8 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = one[live], two[live]
             new_rank = np.concatenate([[pair is None or pair[0] != a[0]], a[1:] != a[:-1]])
             new = new_rank | np.concatenate([[pair is None or pair != (a[0], b[0])], b[1:] != b[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(live)), -1))
-            before = first if first is not None else (0, 0)
-            first_key = np.where(at >= 0, key[live][np.maximum(at, 0)], before[0])
-            first_place = np.where(at >= 0, place[live][np.maximum(at, 0)], before[1])
-            repeat[live[~new & ((key[live] != first_key) | (place[live] != first_place))]] = True
+            firsts_of = _first_of(new, first, key[live], row[live], place[live])
+            repeat[live[~new & _differ(firsts_of, key[live], row[live], place[live])]] = True
             # A rank with a second pair gives all its first pairs to the next round.
             rank = np.cumsum(new_rank) - (1 if new_rank[0] else 0)
             kinds = np.bincount(rank[new], minlength=int(rank[-1]) + 1)
@@ -223,12 +230,12 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting = None
             if len(firsts) and rank[firsts[-1]] == rank[-1] and kinds[rank[-1]] == 1:
                 i = live[firsts[-1]]
-                waiting = (one[i], key[i], place[i])
-            pair, first = (a[-1], b[-1]), (first_key[-1], first_place[-1])
+                waiting = (one[i], key[i], row[i], place[i])
+            pair, first = (a[-1], b[-1]), tuple(c[-1] for c in firsts_of)
         both = np.concatenate([np.flatnonzero(repeat), chosen])
         marks = np.arange(len(both)) < int(repeat.sum())
-        columns = [np.concatenate([c, np.array([e[i] for e in extra], np.int64)]) for i, c in enumerate((one[both], key[both], place[both] | marks))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "key", "place"])
+        columns = [np.concatenate([c, np.array([e[i] for e in extra], np.int64)]) for i, c in enumerate((one[both], key[both], row[both], place[both] | marks))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "key", "row", "place"])
 
 
 def _with_bytes(batches: Iterator[pa.RecordBatch], columns: tuple[int, int, int, int]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +244,7 @@ def _with_bytes(batches: Iterator[pa.RecordBatch], columns: tuple[int, int, int,
 
     def pairs(parts) -> pa.RecordBatch:
         none = pa.nulls(len(parts[0]), pa.binary())
-        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in parts], none], names=["one", "two", "key", "place", "around"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c) for c in parts], none], names=["one", "two", "key", "row", "place", "around"])
 
     for batch in batches:
         keys, rows, texts, lists = (batch.column(i).to_pylist() for i in columns)
@@ -247,17 +254,17 @@ def _with_bytes(batches: Iterator[pa.RecordBatch], columns: tuple[int, int, int,
             hot = [(s["start"], s["span"] + 1) for s in spans if s["hot"]]
             for s in spans:
                 if not s["hot"]:
-                    local.append((s["one"], 0, key, (row << 39) | (s["start"] << 8) | (s["span"] << 1), data[s["start"] : s["start"] + s["span"] + LENGTH]))
+                    local.append((s["one"], 0, key, row, (s["start"] << 8) | (s["span"] << 1), data[s["start"] : s["start"] + s["span"] + LENGTH]))
             # In steps, so that the copied surroundings stay small.
             for i in range(0, len(hot), 2000):
                 starts, counts = (np.array(x, np.int64) for x in zip(*hot[i : i + 2000], strict=True))
                 one, two, place = _windows(np.frombuffer(data, np.uint8)[_gather(starts, counts + LENGTH - 1)], starts, counts)
                 same = np.zeros(len(place), np.int64)
-                yield from map(pairs, firsts.add(one, two, same + key, _place(same + row, place, same)))
+                yield from map(pairs, firsts.add(one, two, same + key, same + row, _place(place, same)))
         if local:
-            kinds = (pa.int64(),) * 4 + (pa.binary(),)
+            kinds = (pa.int64(),) * 5 + (pa.binary(),)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(zip(*local, strict=True), kinds, strict=True)], names=["one", "two", "key", "place", "around"]
+                [pa.array(c, kind) for c, kind in zip(zip(*local, strict=True), kinds, strict=True)], names=["one", "two", "key", "row", "place", "around"]
             )
     yield from map(pairs, firsts.flush())
 
@@ -271,7 +278,7 @@ def _windows(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of window starts that are repeats, out of rows in the order of ``one``."""
-    start_of = lambda place: (place >> 8) & (2**31 - 1)
+    start_of = lambda place: place >> 8
 
     def ranges(key, row, start) -> pa.RecordBatch:
         order = np.lexsort((start, row, key))
@@ -281,21 +288,21 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(first[1:], len(key)) - 1
         span = start[last] - start[first] if len(first) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(key[first]), pa.array(row[first].astype(np.int32)), pa.array(start[first]), pa.array(span)], names=["key", "row", "start", "span"]
+            [pa.array(key[first]), pa.array(row[first]), pa.array(start[first]), pa.array(span)], names=["key", "row", "start", "span"]
         )
 
-    def ranked(one, key, place, around) -> pa.RecordBatch:
+    def ranked(one, key, row, place, around) -> pa.RecordBatch:
         counts = ((place >> 1) & 127) + 1
         w1, w2, windows = _windows(np.frombuffer(b"".join(around), np.uint8), start_of(place), counts)
-        keys, rows = np.repeat(key, counts), np.repeat(place >> 39, counts)
-        again = _later(w1, w2, keys, _place(rows, windows, np.zeros(len(rows), np.int64)))
+        keys, rows = np.repeat(key, counts), np.repeat(row, counts)
+        again = _later(w1, w2, keys, rows, _place(windows, np.zeros(len(rows), np.int64)))
         return ranges(keys[again], rows[again], windows[again])
 
     held: list[tuple] = []  # rows of grams that are not complete yet
     pair = first = None
     for batch in batches:
-        one, two, key, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
-        around = batch.column(4).to_pylist()
+        one, two, key, row, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        around = batch.column(5).to_pylist()
         local = np.array([x is not None for x in around], bool)
         # Pairs of single windows: all but the first of equal ones.
         live, known = np.flatnonzero(~local & ((place & 1) == 0)), np.flatnonzero(~local & ((place & 1) > 0))
@@ -303,16 +310,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(live):
             a, b = one[live], two[live]
             new = np.concatenate([[pair != (a[0], b[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(live)), -1))
-            before = first if first is not None else (0, 0)
-            first_key = np.where(at >= 0, key[live][np.maximum(at, 0)], before[0])
-            first_place = np.where(at >= 0, place[live][np.maximum(at, 0)], before[1])
-            again.append(live[~new & ((key[live] != first_key) | (place[live] != first_place))])
-            pair, first = (a[-1], b[-1]), (first_key[-1], first_place[-1])
+            firsts_of = _first_of(new, first, key[live], row[live], place[live])
+            again.append(live[~new & _differ(firsts_of, key[live], row[live], place[live])])
+            pair, first = (a[-1], b[-1]), tuple(c[-1] for c in firsts_of)
         again = np.concatenate(again)
-        yield ranges(key[again], place[again] >> 39, start_of(place[again]))
+        yield ranges(key[again], row[again], start_of(place[again]))
         at = np.flatnonzero(local)
-        held += zip(one[at].tolist(), key[at].tolist(), place[at].tolist(), [around[i] for i in at], strict=True)
+        held += zip(one[at].tolist(), key[at].tolist(), row[at].tolist(), place[at].tolist(), [around[i] for i in at], strict=True)
         end = len(held)
         while end and held[end - 1][0] == held[-1][0]:
             end -= 1
@@ -335,16 +339,17 @@ def _whole_grams(rows: list[tuple], end: int) -> Iterator[tuple[int, int]]:
 
 
 def _columns(rows: list[tuple]) -> tuple:
-    one, key, place, around = zip(*rows, strict=True)
-    return np.array(one, np.int64), np.array(key, np.int64), np.array(place, np.int64), around
+    *numbers, around = zip(*rows, strict=True)
+    return *[np.array(c, np.int64) for c in numbers], around
 
 
+@plain_names
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``documents`` with ``n_bytes``, ``n_removed``, ``n_spans`` (long) and ``kept`` (binary: the bytes that stay) added.
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a smaller id, or before it in the same text.
     Strings are judged on the input; they never cross documents. Null and short texts lose nothing (null: no bytes). A null
-    id comes before all others. Texts of one id are ordered by a hash; rows that repeat an id and a text are one
+    id comes before all others. Texts of one id are ordered by a 64-bit hash; rows that repeat an id and a text are one
     document. What stays may cut a character in two, hence bytes. Columns of the added names are replaced.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -352,13 +357,13 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     n = fresh(documents, "key", "row", "spans")
     key, row = n["key"], n["row"]
     rows = documents.select(*[f"`{c}`" for c in kept]).withColumns(
-        {key: key_of(id_column), row: F.hash(text_of(text_column)).bitwiseAND(0xFFFFFF).cast("long")}
+        {key: key_of(id_column), row: F.xxhash64(text_of(text_column), F.octet_length(text_of(text_column)))}
     )
     at = [c.lower() for c in kept].index(text_column.lower())
     pairs = rows.select(key, row, text_of(text_column)).mapInArrow(_anchor_pairs, PAIR)
-    order = ["one", "two", "key", "place"]
+    order = ["one", "two", "key", "row", "place"]
     found = cut_lineage(pairs.repartition("one").sortWithinPartitions(*order).mapInArrow(_ranked, FOUND), "stretches")
-    where = {"row": F.shiftright("place", 39), "start": F.shiftright("place", 8).bitwiseAND(2**31 - 1), "span": F.shiftright("place", 1).bitwiseAND(127)}
+    where = {"start": F.shiftright("place", 8), "span": F.shiftright("place", 1).bitwiseAND(127)}
     repeat = F.col("place").bitwiseAND(1) == 1
 
     # Rows that repeat an id and a text name the same places again.
@@ -374,9 +379,9 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
         met.mapInArrow(lambda batches: _with_bytes(batches, places), EDGE)
         .repartition("one").sortWithinPartitions(*order).mapInArrow(_edges, RANGE)
     )
-    repeats = found.where(repeat).withColumns(where).select("key", F.col("row").cast("int").alias("row"), "start", F.col("span").cast("long").alias("span"))
+    repeats = found.where(repeat).withColumns(where).select("key", "row", "start", F.col("span").cast("long").alias("span"))
     spans = repeats.unionByName(edges).groupBy("key", "row").agg(F.collect_list(F.struct("start", "span")).alias("spans"))
-    spans = spans.select(F.col("key").alias(key), F.col("row").cast("long").alias(row), F.col("spans").alias(n["spans"]))
+    spans = spans.select(F.col("key").alias(key), F.col("row").alias(row), F.col("spans").alias(n["spans"]))
     joined = rows.join(spans.hint("merge"), [key, row], "left")
     last = len(joined.columns) - 1
 

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from re import _constants as C  # type: ignore[attr-defined]  # the names of the syntax tree's nodes
 from re import _parser as P  # type: ignore[attr-defined]
 
+from tidemark.llm.text import plain_names
+
 #: Exact strings that one part of an expression may stand for; beyond that its trigrams are asked for at once.
 MOST_STRINGS = 64
 #: Bytes indexed at once.
@@ -203,6 +205,7 @@ SPAN = T.ArrayType(
 )
 
 
+@plain_names
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text_column: str = "text", spans_column: str = "spans") -> DataFrame:
     """``documents`` with the spans of all rules: array of (kind, start, end), code points, end exclusive.
 

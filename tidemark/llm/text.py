@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import string
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,23 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
+def plain_names(operator):
+    """For operators on a table: columns whose names hold dots or backticks go through under other names."""
+
+    @functools.wraps(operator)
+    def run(documents: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = [c for c in documents.columns if set(c) & set(".`")]
+        if not odd:
+            return operator(documents, *args, **kwargs)
+        inner = fresh(documents, *[f"odd{i}" for i in range(len(odd))])
+        there = dict(zip(odd, inner.values(), strict=True))
+        back = {v: k for k, v in there.items()}
+        out = operator(documents.toDF(*[there.get(c, c) for c in documents.columns]), *args, **kwargs)
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
 def add_columns(
     documents: DataFrame, fields: list[T.StructField], run: Callable[[Iterator[pa.RecordBatch], list[str]], Iterator[list[pa.Array]]]
 ) -> DataFrame:
