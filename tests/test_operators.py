@@ -218,11 +218,13 @@ def test_quota_stream_continues_across_batches(spark, tmp_path):
         rows = [("g", START + dt.timedelta(hours=h), first + h) for h in hours]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        jobs.admit_daily(stream, "k", "t", ["i"], output, checkpoint, limit=5).awaitTermination()
+        jobs.admit_daily(stream, "k", "t", ["i"], output, checkpoint, limit=5, arrived="t").awaitTermination()
 
     arrive(range(3), 0)
     arrive(range(4), 50)
-    got = spark.read.parquet(output).collect()
+    rows = spark.read.parquet(output)
+    got = rows.where("decision = 'admitted'").collect()
+    assert {(r["i"], r["reason"]) for r in rows.where("decision = 'refused'").collect()} == {(52, "quota"), (53, "quota")}
     assert sorted(r["remaining"] for r in got) == [0, 1, 2, 3, 4] and {r["i"] for r in got} == {0, 1, 2, 50, 51}
 
 
@@ -394,21 +396,48 @@ def test_stage_tables_can_be_cleared(spark):
     assert not os.path.exists(folder)
 
 
-def test_quota_holds_across_batches_and_forgets_old_days(spark, tmp_path):
-    import os
-
+def consumed(batches, limit, days=8, zone=8):
+    """The rule of one transaction per event: batches in turn, each by (moment, id); no day's count is ever forgotten too early."""
+    used, out = {}, []
+    local = lambda t: (t + dt.timedelta(hours=zone)).date()
+    for rows in batches:
+        for user, event, moment, arrived in sorted(rows, key=lambda r: (r[2] is not None, r[2] or START, r[1])):
+            if user is None or moment is None or arrived is None:
+                reason = "no key" if user is None else "no time"
+            elif local(moment) < local(arrived) - dt.timedelta(days=days):
+                reason = "late"
+            elif local(moment) > local(arrived):
+                reason = "future"
+            else:
+                n = used.get((user, local(moment)), 0)
+                reason = None if n < limit else "quota"
+                used[user, local(moment)] = min(n + 1, limit)
+                out.append((event, reason, limit - n - 1 if reason is None else None))
+                continue
+            out.append((event, reason, None))
+    return sorted(out)
+
+
+def test_quota_of_disordered_batches_equals_one_transaction_per_event(spark, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "user_id long, event_id long, ts timestamp_ntz"
-    at = dt.datetime(2024, 3, 1, 4)
+    schema = "user_id long, event_id long, ts timestamp_ntz, arrived timestamp_ntz"
+    at, hour = dt.datetime(2024, 3, 1, 4), dt.timedelta(hours=1)
+    day = 24 * hour
     parts = [
-        [(1, i, at + dt.timedelta(minutes=i)) for i in range(8)],
-        [(1, 100 + i, at + dt.timedelta(hours=2, minutes=i)) for i in range(8)] + [(2, 200, at)],
-        [(1, 300, at + dt.timedelta(days=20))],
+        [(1, i, at + i * hour / 60, at + hour) for i in range(8)] + [(2, 20, dt.datetime(2034, 1, 1), at), (2, 21, None, at), (None, 22, at, at), (2, 23, at, None)],
+        [(1, 100 + i, at + i * hour / 60, at + day) for i in range(8)] + [(1, 120, at + day, at + day), (2, 121, at - 9 * day, at + day), (2, 122, at, at + day)],
+        [(1, 200, at, at + 8 * day), (1, 201, at + 8 * day, at + 8 * day), (3, 202, at, at + 8 * day)],
+        [(1, 300, at, at + 9 * day), (1, 301, at + 8 * day, at + 9 * day), (1, 302, at + day, at + 9 * day)],
+        [(1, 400, at + 20 * day, at + 20 * day), (1, 401, at, at + 20 * day), (2, 402, dt.datetime(2034, 1, 1), at + 20 * day)],
+        [(1, 500 + i, at + 20 * day, at + 20 * day + hour) for i in range(12)],
     ]
-    for i, rows in enumerate(parts):
+    for rows in parts:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        events = spark.readStream.schema(schema).parquet(source)
-        jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, str(tmp_path / "progress"), limit=10).awaitTermination()
-    admitted = sorted((r.user_id, r.event_id) for r in spark.read.parquet(output).collect())
-    assert admitted == [(1, i) for i in range(8)] + [(1, 100), (1, 101), (1, 300), (2, 200)]
-    assert len([n for n in os.listdir(f"{output}_usage") if n.startswith("usage_day=")]) == 1
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, str(tmp_path / "progress"), limit=10, arrived="arrived").awaitTermination()
+    got = sorted((r.event_id, r.reason, r.remaining) for r in spark.read.parquet(output).collect())
+    assert got == consumed(parts, 10)
+    assert {r[1] for r in got} == {None, "quota", "no key", "no time", "late", "future"}
+    # Counts of days that can take no event any more are gone from the store.
+    state = spark.read.format("statestore").option("stateVarName", "used").load(str(tmp_path / "progress"))
+    assert [r["key"]["__day"] for r in state.select("key").collect()] == [(at + 20 * day).date()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import turns
@@ -119,8 +120,46 @@ def streaming_quota(spark, sf):
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     output, checkpoint = scratch_path(spark, "quota"), scratch_path(spark, "quota-progress")
-    jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, checkpoint).awaitTermination()
-    return spark.read.parquet(output).select("user_id", "event_id", "usage_day", "remaining")
+    jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, checkpoint, arrived="ts").awaitTermination()
+    return spark.read.parquet(output).where(F.col("decision") == "admitted").select("user_id", "event_id", "usage_day", "remaining")
+
+
+DISORDERED_SQL = """
+e as (select event_id, user_id, ts as arrived, case event_id % 40 when 0 then ts + interval 3650 day when 1 then null when 2 then ts - interval 12 day
+  when 3 then ts - interval 2 day when 4 then ts + interval 3 day else ts end as moment, day(ts) // 8 as part from events),
+j as (select *, cast(moment + interval 8 hour as date) as usage_day, cast(arrived + interval 8 hour as date) as today from e),
+r as (select *, case when usage_day is null then 'no time' when usage_day < today - 8 then 'late' when usage_day > today then 'future' end as refused from j),
+d as (select *, case when refused is null then row_number() over (partition by user_id, usage_day, refused is null order by part, moment, event_id) end as place from r)
+"""
+
+
+def disordered_events(spark, sf) -> DataFrame:
+    """The events with the time at which they arrive; of some the own time is early, late, far ahead or missing."""
+    moment = (
+        F.when(F.col("event_id") % 40 == 0, F.expr("ts + interval 3650 days")).when(F.col("event_id") % 40 == 1, F.lit(None).cast("timestamp_ntz"))
+        .when(F.col("event_id") % 40 == 2, F.expr("ts - interval 12 days")).when(F.col("event_id") % 40 == 3, F.expr("ts - interval 2 days"))
+        .when(F.col("event_id") % 40 == 4, F.expr("ts + interval 3 days")).otherwise(F.col("ts"))
+    )
+    return table(spark, sf, "events").select(
+        "event_id", "user_id", F.col("ts").alias("arrived"), moment.alias("moment"), F.floor(F.dayofmonth("ts") / 8).cast("int").alias("part")
+    )
+
+
+@query(
+    "streaming_quota_batches",
+    f"""with {DISORDERED_SQL} select event_id, user_id, usage_day, case when place <= 5 then 5 - place end::int as remaining,
+ case when refused is not null then refused when place > 5 then 'quota' end as reason from d""",
+)
+def streaming_quota_batches(spark, sf):
+    """Four batches, a week of arrivals each, through one stream."""
+    source, output, checkpoint = (scratch_path(spark, f"quota-{name}") for name in ("in", "out", "progress"))
+    events = disordered_events(spark, sf)
+    schema = events.drop("part").schema
+    for part in range(4):
+        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.admit_daily(stream, "user_id", "moment", ["event_id"], output, checkpoint, arrived="arrived").awaitTermination()
+    return spark.read.parquet(output).select("event_id", "user_id", "usage_day", "remaining", "reason")
 
 
 @query("streaming_enrichment", ASOF_SQL)

@@ -6,20 +6,23 @@ here too. Outputs are keyed by batch id and overwritten on replay.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.functions.dates import local_day
-from tidemark.operators.aggregates import first_rows_per
 from tidemark.operators.asof import asof_join
 from tidemark.operators.turns import DAILY_LIMIT, RETENTION_DAYS
 from tidemark.sources import ingest
 from tidemark.sources.contracts import DatasetSpec
-from tidemark.sources.files import children, remove
+
+#: Groups over which a batch's refused events are spread.
+REFUSED_LANES = 64
 
 
 def ingest_new_files(
@@ -46,52 +49,102 @@ def ingest_new_files(
     )
 
 
+class Admission(StatefulProcessor):
+    """State per (key, day): how many events were admitted. It is forgotten once no event of the day can come any more."""
+
+    def __init__(self, limit: int, order: Sequence[str], days: int, names: Sequence[str]):
+        self.limit, self.order, self.days, self.names = limit, list(order), days, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "used int")
+
+    def _row(self, row: Row, **decided) -> Row:
+        return Row(**{name: decided[name] if name in decided else row[name] for name in self.names})
+
+    def _place(self, row: Row) -> list:
+        return [(row[name] is not None, row[name]) for name in self.order]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        day = key[1]
+        if day is None:  # refused before
+            yield from map(self._row, rows)
+            return
+        used = self.used.get()[0] if self.used.exists() else 0
+        left = self.limit - used
+        # Only as many rows are held as may still be admitted; numbers part rows that are equal in all of the order.
+        best: list[tuple] = []
+        for number, row in enumerate(rows):
+            bisect.insort(best, (self._place(row), number, row))
+            if len(best) > left:
+                yield self._row(best.pop()[2], remaining=None, reason="quota")
+        for at, (_, _, row) in enumerate(best):
+            yield self._row(row, remaining=left - 1 - at, reason=None)
+        if best:
+            self.used.update((used + len(best),))
+            if not used:
+                midnight = (day - date(1970, 1, 1)).days * 86_400_000
+                self.handle.registerTimer(midnight + (self.days + 2) * 86_400_000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.used.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def admit_daily(
-    events: DataFrame, key: str, moment: str, tie: Sequence[str], output: str, checkpoint: str,
-    limit: int = DAILY_LIMIT,
+    events: DataFrame, key: str, moment: str, tie: Sequence[str], output: str, checkpoint: str, limit: int = DAILY_LIMIT,
+    arrived: str | None = None, disorder: str = "1 day", days: int = RETENTION_DAYS, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Admit the first ``limit`` events per key and local day across micro-batches.
+    """Decide on every event whether its key still has some of the ``limit`` of its local day, across micro-batches.
 
-    The state is how much each key has used of each day. It lies beside the output, partitioned by day; a batch reads the
-    days it has events of, and days more than ``RETENTION_DAYS`` before the newest are dropped. Each task first cuts its
-    part of a batch to ``limit`` rows per key and day. A batch that is run again writes the same partitions again.
-    """
-    columns, state = events.columns, f"{output.rstrip('/')}_usage"
-
-    def admit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        dated = batch.withColumn("usage_day", local_day(F.col(moment)))
-        order = [F.col(moment).asc(), *[F.col(name).asc() for name in tie]]
-        ranked = first_rows_per(dated, [key, "usage_day"], order, limit)
-        stored = [name for name, _ in children(spark, state) if name.startswith("usage_day=")]
-        if stored:
-            span = dated.agg(F.min("usage_day").alias("first"), F.max("usage_day").alias("last")).first()
-            used = (
-                spark.read.schema(f"{key} {dated.schema[key].dataType.simpleString()}, used long, usage_day date, batch long")
-                .parquet(state).filter(F.col("usage_day").between(span["first"], span["last"]) & (F.col("batch") < batch_id))
-                .groupBy(key, "usage_day").agg(F.sum("used").alias("used"))
-            )
-            ranked = ranked.join(used, [key, "usage_day"], "left")
-        else:
-            ranked = ranked.withColumn("used", F.lit(0).cast("long"))
-        after = F.coalesce(F.col("used"), F.lit(0)) + F.col("rank")
-        ranked.filter(after <= limit).select(
-            *columns, "usage_day", (F.lit(limit) - after).cast("int").alias("remaining")
-        ).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        written = spark.read.parquet(f"{output}/batch={batch_id}").groupBy(key, "usage_day").agg(F.count(F.lit(1)).alias("used"))
-        (
-            written.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("usage_day", "batch").parquet(state)
-        )
-        days = sorted(name.removeprefix("usage_day=") for name, _ in children(spark, state) if name.startswith("usage_day="))
-        for day in days:
-            if (date.fromisoformat(days[-1]) - date.fromisoformat(day)).days > RETENTION_DAYS:
-                remove(spark, f"{state}/usage_day={day}")
+    Each batch is one folder below ``output`` with the columns of ``events``, ``usage_day``, ``remaining``, ``reason`` and the
+    partition column ``decision`` ("admitted" or "refused"). In a batch the earlier ``moment`` comes first, then ``tie``. What is not admitted has the
+    reason "quota", "no key", "no time" (of the event or its arrival), "late" (its day is more than ``days`` before the day of
+    its arrival) or "future" (a day after it). So a wrong date neither uses nor renews a quota.
 
-    return (
-        events.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+    The clock is ``arrived``, the time at which a row reached the stream (by default that of its batch), and never the time
+    in the event: the watermark follows it, and a timer drops the count of a day once no event of it can be admitted. Arrival
+    times may be out of order by ``disorder``; Spark drops rows that are further behind, and reports their number.
+    """
+    spark = events.sparkSession
+    clock = F.col(arrived) if arrived else F.current_timestamp()
+    day, today = local_day(F.col(moment)), local_day(F.col("__arrived"))
+    reason = (
+        F.when(F.col(key).isNull(), "no key").when(day.isNull() | today.isNull(), "no time")
+        .when(day < F.date_sub(today, days), "late").when(day > today, "future")
     )
+    judged = events.withColumn("__arrived", clock.cast("timestamp")).withColumns(
+        {"usage_day": day, "remaining": F.lit(None).cast("int"), "reason": reason}
+    )
+    # Refused rows touch no state: they are spread over lanes of their own.
+    refused = F.col("reason").isNotNull()
+    lanes = F.when(refused, F.pmod(F.xxhash64(*events.columns), F.lit(REFUSED_LANES))).otherwise(F.lit(0))
+    grouped = judged.withWatermark("__arrived", disorder).withColumns(
+        {"__key": F.when(~refused, F.col(key)), "__day": F.when(~refused, F.col("usage_day")), "__lane": lanes}
+    ).groupBy("__key", "__day", "__lane")
+    schema = judged.drop("__arrived").schema
+    names = schema.fieldNames()
+    store, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(store)
+    decided = grouped.transformWithState(
+        Admission(limit, [moment, *tie], days, names), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        marked = batch.withColumn("decision", F.when(F.col("reason").isNull(), "admitted").otherwise("refused"))
+        marked.write.mode("overwrite").partitionBy("decision").parquet(f"{output}/batch={batch_id}")
+
+    spark.conf.set(store, provider)
+    try:
+        return (
+            decided.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        spark.conf.set(store, before)
 
 
 def enrich_prices(
