@@ -161,6 +161,39 @@ def test_bm25_against_brute_force(spark):
     assert not [r for r in found if r["query_id"] == 12]
 
 
+def test_bm25_with_depth_equals_brute_force_and_skips_blocks(spark):
+    from tidemark.operators import postings
+
+    rng = random.Random(11)
+    vocabularies = [[f"{language}{i}" for i in range(300)] for language in "abcd"]
+    weights = [1 / (i + 1) for i in range(300)]
+    documents = [(i, " ".join(rng.choices(vocabularies[i % 4], weights, k=rng.choice([3, 10, 60, 200])))) for i in range(600)]
+    queries = [(i, " ".join(rng.choices(vocabularies[i % 4], weights, k=6))) for i in range(8)] + [(20, documents[7][1]), (21, "a0 b1"), (22, "zzz"), (23, None)]
+    documents += [(1000, None), (1001, ""), (1002, documents[7][1]), (1003, documents[7][1])]
+    frame = spark.createDataFrame(documents, "id int, body string").repartition(3)
+    asked = spark.createDataFrame(queries, "q int, ask string")
+    wanted = {q: brute_bm25([(i, t or "") for i, t in documents], ask or "") for q, ask in queries}
+    for sizes, block in (({}, 1000), ({"block_docs": 4, "shard_docs": 90, "shard_tokens": 3000}, 3)):
+        index = postings.build_postings(frame, "id", "body", **sizes)
+        rows = postings.search_postings(index, search.terms_of_queries(asked, "q", "ask"), 10, block).collect()
+        for query_id, scores in wanted.items():
+            got = sorted((-round(r.raw, 9), r.doc_id) for r in rows if r.query_id == query_id and r.raw is not None)[:10]
+            best = sorted((-round(s, 9), i) for i, s in scores.items())[:10]
+            assert [i for _, i in got] == [i for _, i in best]
+            assert [s / got[0][0] for s, _ in got] == pytest.approx([-s for s, _ in best])
+        # Each query scored a part of the documents that share a term with it.
+        scored = Counter()
+        for r in rows:
+            scored[r.query_id] += r.scored or 0
+        sharing = {q: len(scores) for q, scores in wanted.items() if scores}
+        assert scored.keys() == sharing.keys() and all(scored[q] <= sharing[q] for q in scored)
+    assert sum(scored.values()) < 0.6 * sum(sharing.values())
+    ranked = search.bm25(frame, "id", "body", asked, "q", "ask", 10).collect()
+    assert {(r.query_id, r.rank) for r in ranked} == {(q, i + 1) for q, scores in wanted.items() for i in range(min(10, len(scores)))}
+    none = spark.createDataFrame([], "id int, body string")
+    assert search.bm25(none, "id", "body", asked, "q", "ask", 10).count() == 0
+
+
 def test_dense_search_keeps_ties_and_blocks_agree(spark, monkeypatch):
     rng = random.Random(6)
     vectors = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(60)]
@@ -352,7 +385,6 @@ def test_dense_search_over_several_blocks(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "SHARD_ROWS", 20)
     rng = np.random.default_rng(3)
     vectors, asked = rng.integers(-3, 4, (90, 5)).astype(float), rng.integers(-3, 4, (8, 5)).astype(float)
     documents = spark.createDataFrame([(f"d{i:02}", v.tolist()) for i, v in enumerate(vectors)] + [("gone", None)], "id string, v array<float>")
@@ -365,6 +397,25 @@ def test_dense_search_over_several_blocks(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == wanted
 
 
+@pytest.mark.parametrize("spread", [0.1, 5.0])
+def test_vector_groups_below_the_floor_are_skipped(spark, spread):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(20, 8))[rng.integers(0, 20, 1500)] + spread * rng.normal(size=(1500, 8))
+    vectors[100:140] = vectors[100]
+    asked = rng.normal(size=(9, 8))
+    documents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(2)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q long, w array<double>")
+    shards = search.vector_shards(documents, "id", "v", shard_rows=300, group_rows=15)
+    rows = search.search_shards(shards, queries, "q", "w", 6, query_block=4).collect()
+    for q in range(9):
+        got = sorted((-round(r.score, 9), r.doc_id) for r in rows if r.query_id == q and r.score is not None)[:6]
+        assert [i for _, i in got] == sorted(range(1500), key=lambda i, q=q: (-round(float(asked[q] @ vectors[i]), 9), i))[:6]
+    share = sum(r.scored or 0 for r in rows) / (9 * 1500)
+    assert share < 0.4 if spread < 1 else share <= 1
+
+
 def test_a_cluster_has_to_name_its_shared_folder(tmp_path):
     from tidemark import session
 

@@ -13,72 +13,38 @@ from tidemark.functions.numeric import clamp
 from tidemark.functions.text import content_hash, tokens
 from tidemark.operators.aggregates import first_rows_per
 from tidemark.operators.asof import newest_per
+from tidemark.operators.postings import build_postings, search_postings
 from tidemark.session import cut_lineage
 
 # Ranking constants and default depths.
-BM25_K1 = 1.5
-BM25_B = 0.75
 RRF_CONSTANT = 60
 RRF_DEPTH = 40
 SCORE_THRESHOLD = 0.55
 MAX_SELECTED = 20
 LOW_CONFIDENCE = 8
-SALTS = 8
 QUERY_BLOCK = 1024
 SHARD_ROWS = 8192
+#: Rows of a group of like vectors on average, and rounds in which the groups are found.
+GROUP_ROWS, GROUP_ROUNDS = 64, 4
+
+
+def terms_of_queries(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
+    return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def bm25(
     documents: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str,
     depth: int | None = None,
 ) -> DataFrame:
-    """BM25 of every query against every document that shares a token with it.
+    """BM25 of every query, of its first ``depth`` documents or of all that share a token with it.
 
-    Documents are hash-partitioned by id and tokenised once; what is kept, in a table in the shared
-    folder, is their length and the counts of asked terms. Adding up a document's score per query
-    needs no exchange after partitioning that table by document. Query terms meet document terms
-    on (term, salt): a common term is spread over ``SALTS`` groups, and Spark broadcasts the query
-    side only while it is below its own size threshold. Scores are divided by the query's best.
+    Documents are tokenised once, into a stored index whose blocks know their largest score; with a depth, blocks that cannot
+    hold one of the first documents are skipped (see ``postings``). Scores are divided by the query's best. Each row of
+    ``documents`` is a document.
     """
-    query_terms = (
-        queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term"))
-        .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    )
-    bags = (
-        documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-        .select("doc_id", tokens(F.col("text")).alias("terms"))
-    )
-    # The empty term, which no text contains, stands for the document itself.
-    asked = query_terms.select("term").unionByName(queries.sparkSession.sql("select '' as term")).distinct()
-    counted = (
-        bags.select(
-            "doc_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")
-        )
-        .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    kept = cut_lineage(counted.join(asked, "term", "left_semi"), "terms")
-    spread = kept.filter(F.col("term") != "")
-    corpus = kept.filter(F.col("term") == "").agg(
-        F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
-    )
-    stats = corpus.scalar()
-    document_frequency = spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = query_terms.join(document_frequency, "term").select(
-        "query_id", "term",
-        (
-            F.col("weight")
-            * F.ln(1 + (stats["n"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-        ).alias("gain"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    salted = spread.repartition("doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.greatest(F.lit(1.0), stats["mean"]))
-    scored = (
-        salted.join(weighed, ["term", "salt"])
-        .select("doc_id", "query_id", (F.col("gain") * F.col("tf") * (BM25_K1 + 1) / norm).alias("part"))
-        .groupBy("doc_id", "query_id").agg(F.sum("part").alias("raw"))
-        .filter(F.col("raw") > 0)
-    )
+    found = search_postings(build_postings(documents, doc_id, text), terms_of_queries(queries, query_id, query_text), depth)
+    scored = found.filter(F.col("raw").isNotNull()).drop("scored")
     if depth is None:
         best = scored.groupBy("query_id").agg(F.max("raw").alias("best"))
         return scored.join(best, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("best")).alias("score"))
@@ -105,10 +71,90 @@ def dense_search(
 ) -> DataFrame:
     """Top documents per query vector by inner product, exact.
 
-    Documents are read once and packed into shards where they are read, queries into blocks of about ``QUERY_BLOCK``.
-    Every pair of a shard and a block is one row, dealt over the tasks by (block, salt); it multiplies two matrices and
-    hands on only its best ``depth`` per query, which the merge ranks. Nothing passes through the driver but a count.
+    Documents become shards where they are read (``vector_shards``). In a shard they are grouped around centres, and each
+    group knows its centre and radius: no inner product with a query is above that of the centre plus the query's length
+    times the radius. What the best groups of all shards hold gives a floor under a query's ``depth``-th document; groups
+    below it are skipped. Queries go to the shards in blocks, to all tasks at once where Spark finds them small; nothing
+    passes through the driver but a count.
     """
+    found = search_shards(vector_shards(documents, doc_id, vector), queries, query_id, query_vector, depth)
+    hits_only = found.filter(F.col("score").isNotNull()).select("query_id", "doc_id", "score")
+    return first_rows_per(hits_only, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").asc()], depth)
+
+
+def vector_shards(documents: DataFrame, doc_id: str, vector: str, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per shard, as a table in the shared folder: ids and vectors in the order of their groups, centres and radii."""
+    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("vector").isNotNull())
+    id_type = narrow.schema["doc_id"].dataType.simpleString()
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, shard_rows):
+                batch = whole.slice(start, shard_rows)
+                vectors = _as_matrix(pa.concat_arrays([batch.column(1)]))
+                order, ends, centres, radii = _groups(vectors, max(len(vectors) // group_rows, 1))
+                ids = batch.column(0).take(pa.array(order))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x.tobytes()]) for x in (vectors[order], ends, centres, radii)]],
+                    names=["doc_ids", "vectors", "ends", "centres", "radii"],
+                )
+
+    return cut_lineage(narrow.mapInArrow(shards, f"doc_ids array<{id_type}>, vectors binary, ends binary, centres binary, radii binary"), "vectors")
+
+
+def _groups(vectors: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    """Order of the rows by group, where each group ends, its mean, and the distance of its farthest row from the mean."""
+    centres = vectors[np.linspace(0, len(vectors) - 1, count).astype(int)]
+    for _ in range(GROUP_ROUNDS):
+        nearest = np.argmax(vectors @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+        sizes = np.bincount(nearest, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, vectors)
+        centres = (sums / np.maximum(sizes, 1)[:, None])[sizes > 0]
+    nearest = np.argmax(vectors @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+    used, nearest = np.unique(nearest, return_inverse=True)
+    centres, order = centres[used], np.argsort(nearest, kind="stable")
+    far = np.sqrt(((vectors - centres[nearest]) ** 2).sum(axis=1))
+    radii = np.zeros(len(centres))
+    np.maximum.at(radii, nearest, far)
+    return order, np.cumsum(np.bincount(nearest, minlength=len(centres))), centres, radii
+
+
+class _VectorShard:
+    def __init__(self, row: dict):
+        self.ids, self.ends = row["doc_ids"].values, np.frombuffer(row["ends"].as_py(), np.int64)
+        shape = (len(self.ids), -1)
+        self.vectors = np.frombuffer(row["vectors"].as_py()).reshape(shape)
+        self.centres, self.radii = np.frombuffer(row["centres"].as_py()).reshape(len(self.ends), -1), np.frombuffer(row["radii"].as_py())
+
+    def bounds(self, asked: np.ndarray) -> np.ndarray:
+        """One row per query, one column per group; a little more than exact, as sums differ in their last digits."""
+        lengths = np.sqrt((asked**2).sum(axis=1))
+        reach = lengths[:, None] * self.radii
+        return asked @ self.centres.T + reach + 1e-9 * (1 + lengths[:, None] * np.sqrt((self.centres**2).sum(axis=1)) + reach)
+
+    def scores(self, asked: np.ndarray, visited: np.ndarray) -> np.ndarray:
+        """Inner products of the rows of the visited groups, -inf for the others."""
+        out = np.full((len(asked), len(self.ids)), -np.inf)
+        for group, (start, end) in enumerate(zip([0, *self.ends[:-1].tolist()], self.ends.tolist(), strict=True)):
+            who = np.flatnonzero(visited[:, group])
+            if len(who):
+                out[who, start:end] = asked[who] @ self.vectors[start:end].T
+        return out
+
+    def first_groups(self, bounds: np.ndarray, depth: int) -> np.ndarray:
+        """The groups of the best bounds that together hold ``depth`` rows."""
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        sizes = np.diff(self.ends, prepend=0)[order]
+        enough = np.cumsum(sizes, axis=1) - sizes < depth
+        out = np.zeros(bounds.shape, bool)
+        np.put_along_axis(out, order, enough, axis=1)
+        return out
+
+
+def search_shards(shards: DataFrame, queries: DataFrame, query_id: str, query_vector: str, depth: int, query_block: int | None = None) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score`` of what may be among the first ``depth``; rows without a score hold in ``scored`` how
+    many documents of a shard were scored for the query."""
     asked = cut_lineage(
         queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
         .filter(F.col("vector").isNotNull()),
@@ -117,55 +163,56 @@ def dense_search(
     count = asked.count()
     if not count:
         raise ValueError("no query vectors")
-    blocks, salts = -(-count // QUERY_BLOCK), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_block = (
-        asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-        .select(
-            "block", F.col("asked.query_id").alias("query_ids"), F.col("asked.vector").alias("query_vectors"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        )
-    )
-    narrow = documents.select(F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector"))
-    id_type = narrow.schema["doc_id"].dataType.simpleString()
+    blocks = -(-count // (query_block or QUERY_BLOCK))
+    id_type = shards.schema["doc_ids"].dataType.elementType.simpleString()
     query_type = asked.schema["query_id"].dataType.simpleString()
-    shards = (
-        narrow.filter(F.col("vector").isNotNull())
-        .mapInArrow(_shards, f"doc_ids array<{id_type}>, vectors array<array<double>>")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_ids"), F.lit(salts)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                doc_ids, vectors, query_ids, query_vectors = (column[at].values for column in batch.columns)
-                scores = _as_matrix(query_vectors) @ _as_matrix(vectors).T
-                keep = min(depth, scores.shape[1])
-                # Rounding keeps every document that could tie at the cut.
-                rounded = np.round(scores, 9)
-                cut = np.partition(rounded, -keep, axis=1)[:, -keep]
-                rows, best = np.nonzero(rounded >= cut[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(rows)), doc_ids.take(pa.array(best)), pa.array(scores[rows, best])],
-                    names=["query_id", "doc_id", "score"],
-                )
-
-    found = (
-        shards.join(per_block, ["block", "salt"]).select("doc_ids", "vectors", "query_ids", "query_vectors")
-        .mapInArrow(search, f"query_id {query_type}, doc_id {id_type}, score double")
-    )
-    return first_rows_per(found, ["query_id"], [F.round("score", 9).desc(), F.col("doc_id").asc()], depth)
+    def over_shards(listed: DataFrame, work, schema: str) -> DataFrame:
+        packed = (
+            listed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("block")
+            .agg(F.collect_list(F.struct("query_id", "vector", "floor")).alias("asked"))
+        )
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = {name: batch.column(name)[at] for name in batch.schema.names}
+                    given = row["asked"].values
+                    floors = given.field("floor").to_numpy(zero_copy_only=False)
+                    yield work(_VectorShard(row), given.field("query_id"), _as_matrix(given.field("vector")), floors)
+
+        pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+        return pairs.select("doc_ids", "vectors", "ends", "centres", "radii", "asked").mapInArrow(run, schema)
+
+    def seeds(shard: _VectorShard, ids: pa.Array, vectors: np.ndarray, floors: np.ndarray) -> pa.RecordBatch:
+        scores = shard.scores(vectors, shard.first_groups(shard.bounds(vectors), depth))
+        best = -np.sort(-scores, axis=1)[:, :depth]
+        rows, columns = np.nonzero(np.isfinite(best))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(best[rows, columns])], names=["query_id", "score"])
+
+    def visit(shard: _VectorShard, ids: pa.Array, vectors: np.ndarray, floors: np.ndarray) -> pa.RecordBatch:
+        scores = shard.scores(vectors, np.round(shard.bounds(vectors), 9) >= np.round(floors, 9)[:, None])
+        keep = min(depth, scores.shape[1])
+        # Rounding keeps every document that could tie at the cut.
+        rounded = np.round(scores, 9)
+        cut = np.partition(rounded, -keep, axis=1)[:, -keep]
+        rows, best = np.nonzero((rounded >= cut[:, None]) & np.isfinite(scores))
+        none = len(ids)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([ids.take(pa.array(rows)), ids]), pa.concat_arrays([shard.ids.take(pa.array(best)), pa.nulls(none, shard.ids.type)]),
+                pa.concat_arrays([pa.array(scores[rows, best], pa.float64()), pa.nulls(none, pa.float64())]),
+                pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(np.isfinite(scores).sum(axis=1), pa.int64())]),
+            ],
+            names=["query_id", "doc_id", "score", "scored"],
+        )
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, SHARD_ROWS):
-            batch = whole.slice(start, SHARD_ROWS)
-            offsets = pa.array([0, batch.num_rows], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(offsets, pa.concat_arrays([column])) for column in batch.columns], names=["doc_ids", "vectors"]
-            )
+    lowest = F.lit(float("-inf"))
+    best = over_shards(asked.withColumn("floor", lowest), seeds, f"query_id {query_type}, score double")
+    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc())))
+    floors = cut_lineage(ranked.filter(F.col("place") == depth).select("query_id", F.col("score").alias("floor")), "floors")
+    with_floors = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+    return over_shards(with_floors, visit, f"query_id {query_type}, doc_id {id_type}, score double, scored long")
 
 
 def _as_matrix(vectors: pa.ListArray) -> np.ndarray:
