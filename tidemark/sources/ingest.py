@@ -61,7 +61,7 @@ def summary(spec: DatasetSpec, records: DataFrame, converted: int, skipped: int)
 
 def convert(
     spark: SparkSession, spec: DatasetSpec, source: str, output: str,
-    force: bool = False, limit_files: int | None = None, whole_files: bool = False,
+    force: bool = False, limit_files: int | None = None, quoted_breaks: bool = False,
 ) -> dict:
     """Convert what changed since the last run and publish the new manifest."""
     files = vendor_csv.list_files(spark, spec, source, limit_files)
@@ -83,7 +83,7 @@ def convert(
         twice = files.groupBy("identity").count().filter(F.col("count") > 1).take(5)
         if twice:
             raise ValueError(f"several files for one identity: {[row[0] for row in twice]}")
-    records = _convert_files(spark, spec, due, due_paths, headers, output, whole_files)
+    records = _convert_files(spark, spec, due, due_paths, headers, output, quoted_breaks)
     # Records of files that this run has not looked at, or that have left the source, stay.
     merged = known.join(records.select("file"), "file", "left_anti").unionByName(records)
     fs.publish(merged, f"{output}/_manifest/{spec.table}")
@@ -92,14 +92,11 @@ def convert(
     }
 
 
-def _convert_files(spark, spec, due, paths, headers, output, whole_files) -> DataFrame:
+def _convert_files(spark, spec, due, paths, headers, output, quoted_breaks) -> DataFrame:
     """Write the rows of the due files in one pass and check what was written; the records of the files."""
     run = uuid.uuid4().hex
     folder = f"{output}/{spec.table}/run={run}"
-    scanned = (
-        vendor_csv.scan_whole_files(spark, spec, paths) if whole_files
-        else vendor_csv.scan(spark, spec, paths, headers)
-    )
+    scanned = vendor_csv.scan(spark, spec, paths, headers, quoted_breaks)
     # Every line is written, an unusable one with its problem in place of values; its file then fails the checks.
     rows = vendor_csv.typed_rows(spec, scanned, keep_problems=True).join(due.select("path", "file"), "path").drop("path")
     if spec.table in EXTRA:

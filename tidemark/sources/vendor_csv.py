@@ -6,23 +6,24 @@ many tasks. Each line is decoded, split and matched to its own file's header ins
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scans import attach
+from tidemark.operators.scans import Running, attach, running
+from tidemark.session import cut_lineage
 from tidemark.sources.contracts import DatasetSpec, header_error, header_reordered, projection
 from tidemark.sources.files import qualified
 
 EXAMPLES = 100
 # One cell up to its separator: a quoted text with doubled quotes inside, or anything else.
 CELL = '("(?:[^"]++|"")*+"|[^,]*+),'
+# What is left of a quoted value, with the quote that closes it.
+CLOSING = re.compile(rb'(?:[^"]|"")*+"(?!")')
 
 
 def plain_path(path: Column) -> Column:
@@ -106,19 +107,24 @@ def read_headers(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -
     return top.select("path", _cells(F.regexp_replace("line", "^\\x{FEFF}", "")).alias("header"))
 
 
-def scan(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers: DataFrame | None = None) -> DataFrame:
+def scan(
+    spark: SparkSession, spec: DatasetSpec, paths: Sequence[str], headers: DataFrame | None = None, quoted_breaks: bool = False,
+) -> DataFrame:
     """(path, identity, values, problem): one row per data line, values by header name.
 
     ``problem`` says why a line may not be used: more values than the header, an identity other
-    than the file's, or a quote left open by a line break inside a value (such files are for
-    :func:`scan_whole_files`). Blank lines are dropped.
+    than the file's, or a quote left open by a line break inside a value (such files need ``quoted_breaks``;
+    then only a quote that is open at the end of the file is a problem). Blank lines are dropped.
     """
     headers = read_headers(spark, spec, paths) if headers is None else headers
     # By position: a data line may well equal the header or a line above it.
-    data = _lines(spark, spec, paths).filter(((F.col("block") > 0) | (F.col("n") > spec.preamble_lines)) & (F.trim("line") != ""))
-    data = attach(data, headers, ["path"])
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    split = data.select("path", "header", (quotes % 2 == 1).alias("open_quote"), _cells(F.col("line")).alias("cells"))
+    if quoted_breaks:
+        data = quoted_records(spark, spec, paths)
+    else:
+        quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
+        data = _lines(spark, spec, paths).filter((F.col("block") > 0) | (F.col("n") > spec.preamble_lines)).withColumn("open_quote", quotes % 2 == 1)
+    data = attach(data.filter(F.trim("line") != ""), headers, ["path"])
+    split = data.select("path", "header", "open_quote", _cells(F.col("line")).alias("cells"))
     by_name = F.map_from_arrays("header", F.transform("header", lambda _, at: F.get("cells", at)))
     problem = F.when(F.col("open_quote"), "quote left open").when(
         F.size("cells") > F.size("header"), "values beyond the header"
@@ -143,33 +149,83 @@ def _judged(spec: DatasetSpec, rows: DataFrame) -> DataFrame:
     )
 
 
-def scan_whole_files(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
-    """As :func:`scan` for files with line breaks inside quoted values; one task reads a file."""
-    encoding, skip = spec.encoding, spec.preamble_lines
+def _ends_inside(line: bytes, inside: bool) -> bool:
+    """Whether a quoted value is still open at the end of the line; ``inside``: one was open before it."""
+    at = 0
+    while True:
+        if inside or line[at : at + 1] == b'"':
+            closed = CLOSING.match(line, at if inside else at + 1)
+            if not closed:
+                return True
+            at, inside = closed.end(), False
+        at = line.find(b",", at) + 1
+        if not at:
+            return False
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _quoted_lines(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
+    """(path, block, n, line, starts, ends): every line, and whether a quoted value is open where it starts and ends.
+
+    A task can't know whether its block of a file starts inside a quoted value, so it follows both cases. A block is then a
+    function on two states: constant, the same, or swapped. These functions, one row per block, are run through in the order
+    of each file, and their results choose the case for each line. Lines end with \\n or \\r\\n.
+    """
+    raw = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"),
+    )
+    preamble = spec.preamble_lines
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, states = None, 0, (False, True)
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                lines = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, newline="")
-                for _ in range(skip):
-                    next(lines, None)
-                reader = csv.reader(lines)
-                header = [name.removeprefix("﻿") for name in next(reader, [])]
-                rows = []
-                for row in reader:
-                    if row:
-                        beyond = "values beyond the header" if len(row) > len(header) else None
-                        rows.append((path, dict(zip(header, row, strict=False)), beyond))
-                    if len(rows) >= 4096:
-                        yield pd.DataFrame(rows, columns=["path", "values", "problem"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "values", "problem"])
-
-    files = spark.read.format("binaryFile").load(list(paths)).select(
-        F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content"
+            numbers, cases = [], []
+            for path, block, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (path, block) != last:
+                    last, n, states = (path, block), 0, (False, True)
+                before = states
+                # Lines before the header are no records.
+                if b'"' in line and (block or n >= preamble):
+                    states = tuple(_ends_inside(line, state) for state in before)
+                numbers.append(n)
+                cases.append((*before, *states))
+                n += 1
+            marks = [pa.array(c, pa.bool_()) for c in (zip(*cases, strict=True) if cases else ([],) * 4)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), _decoded(spec, batch.column(2)), *marks],
+                names=["path", "block", "n", "line", "starts_out", "starts_in", "ends_out", "ends_in"],
+            )
+
+    marked = raw.mapInArrow(follow, "path string, block long, n long, line string, starts_out boolean, starts_in boolean, ends_out boolean, ends_in boolean")
+    blocks = marked.groupBy("path", "block").agg(F.max_by(F.struct("ends_out", "ends_in"), "n").alias("f"))
+    constant, swaps = F.col("f.ends_out") == F.col("f.ends_in"), (F.col("f.ends_out") & ~F.col("f.ends_in")).cast("int")
+    in_file = Window.partitionBy("path").orderBy("block")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocks.withColumn("swaps", F.sum(swaps).over(in_file))
+    fixed = F.when(constant, F.struct(F.col("f.ends_out").alias("state"), F.col("swaps").alias("at")))
+    known = F.last(fixed, ignorenulls=True).over(before)
+    since = F.coalesce(F.max("swaps").over(before), F.lit(0)) - F.coalesce(known["at"], F.lit(0))
+    inside = counted.select("path", "block", (F.coalesce(known["state"], F.lit(False)).cast("int") + since).alias("state")).filter(F.col("state") % 2 == 1)
+    opened = attach(marked, cut_lineage(inside.select("path", "block", F.lit(True).alias("opened")), "opened"), ["path", "block"])
+    pick = lambda name: F.when(F.coalesce("opened", F.lit(False)), F.col(f"{name}_in")).otherwise(F.col(f"{name}_out"))
+    return opened.select("path", "block", "n", "line", pick("starts").alias("starts"), pick("ends").alias("ends"))
+
+
+def quoted_records(spark: SparkSession, spec: DatasetSpec, paths: Sequence[str]) -> DataFrame:
+    """(path, line, open_quote): one row per record after the header, line breaks inside quotes kept.
+
+    A huge file is read by many tasks. Records of one line, nearly all, are not moved; only the lines of the others meet.
+    """
+    lines = _quoted_lines(spark, spec, paths).filter((F.col("block") > 0) | (F.col("n") > spec.preamble_lines))
+    alone = lines.filter(~F.col("starts") & ~F.col("ends")).select("path", "line", F.lit(False).alias("open_quote"))
+    parts = lines.filter(F.col("starts") | F.col("ends"))
+    # The number of a record in its file is that of the records begun so far.
+    numbered = running(parts, ["path"], ["block", "n"], F.col("block"), {"record": Running("sum", (~F.col("starts")).cast("long"))})
+    joined = numbered.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("block", "n", "line", "ends"))).alias("lines")).select(
+        "path", F.array_join("lines.line", "\n").alias("line"), F.element_at("lines", -1)["ends"].alias("open_quote")
     )
-    return _judged(spec, files.mapInPandas(parse, "path string, values map<string,string>, problem string"))
+    whole = alone.unionByName(joined)
+    return whole.withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
 def typed_rows(spec: DatasetSpec, scanned: DataFrame, strict: bool = True, keep_problems: bool = False) -> DataFrame:
