@@ -56,6 +56,32 @@ def test_matched_row_keeps_its_nulls(spark):
     assert (row["p"], row["x"], row["y"]) == (dt.date(2024, 2, 1), None, 3)
 
 
+@pytest.mark.parametrize("unit", ["day", "month"])
+def test_overlapping_intervals_against_brute_force(spark, monkeypatch, unit):
+    rng = random.Random(12)
+    at = lambda: START + dt.timedelta(hours=rng.randrange(24 * 70))
+    spans = []
+    for i in range(300):
+        start = at()
+        end = rng.choice([None, start, start - dt.timedelta(hours=3), start + dt.timedelta(hours=1), start + dt.timedelta(days=rng.randrange(50))])
+        spans.append((rng.choice(["a", "b", "c", None]), rng.choice([start, start, start, None]), end, rng.choice([i, None]), i))
+    points = [(rng.choice(["a", "a", "b", "d", None]), rng.choice([at(), spans[i % 300][1], spans[i % 300][2]]), i) for i in range(400)]
+    left = spark.createDataFrame(points, "k string, t timestamp_ntz, `a.b` int").repartition(3)
+    right = spark.createDataFrame(spans, "k string, start timestamp_ntz, until timestamp_ntz, x int, id int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = asof.interval_join(left, right, ["k"], "t", "start", "until", ["x", "id"], unit)
+        assert got.columns == ["k", "t", "a.b", "x", "id"]
+        rows = sorted(tuple((v is not None, v) for v in (r["a.b"], r["id"], r["x"])) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = []
+    for key, time, number in points:
+        open_ = [(x, i) for k, s, u, x, i in spans if key is not None and k == key and s is not None and time is not None and s <= time and (u is None or time < u)]
+        wanted += [(number, i, x) for x, i in open_] or [(number, None, None)]
+    assert rows == sorted(tuple((v is not None, v) for v in w) for w in wanted)
+
+
 def test_running_measures_against_brute_force(spark):
     rows = [(k, t, i, i % 7 if i % 5 else None) for k, t, i in moments(400, 3)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, v int")

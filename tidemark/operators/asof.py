@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.scans import SEGMENT, neighbour
 
@@ -13,6 +16,8 @@ MATCH = "__match"
 MOMENT = "__moment"
 SIDE = "__side"
 SPREAD = "__spread"
+#: Matches that a sweep hands on at once.
+SWEPT_ROWS = 20_000
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -134,38 +139,82 @@ def interval_join(
     payload: Sequence[str],
     unit: str = "month",
 ) -> DataFrame:
-    """Match left rows to the interval that covers them, by equality on (key, calendar unit).
+    """Match left rows to all half-open intervals [start, until) that cover them; without one the payload is NULL.
 
-    Each interval is listed once per unit it covers, which turns the range condition into a hash
-    key; AQE may then split a hot key like in any equi-join. Suits sparse versions: within one key
-    and unit every left row is compared with every interval that touches the unit.
+    A sweep: the intervals and the left rows of a key pass once in the order of time. An interval is open from its start
+    to its end (for ever where that is NULL), and a left row meets the intervals open at its time, so no row is compared with
+    an interval that does not cover it. A key is cut into calendar units; an interval still open at a border is listed in
+    the next unit too. Intervals may overlap. A left row with a NULL key or time matches nothing.
     """
     horizon = left.agg(F.max(left_time)).scalar()
     step = F.expr(f"interval 1 {unit}")
+    matched, whole = F.struct(*[F.col(name) for name in payload]), F.struct(*[F.col(f"`{name}`") for name in left.columns])
+    # The last instant that an interval covers lies before its end.
+    last = F.least(F.coalesce(F.col(until), horizon), horizon)
     listed = (
-        intervals.withColumn("__end", F.coalesce(F.col(until), horizon))
-        .filter(F.col(start) <= F.col("__end"))
-        .select(
-            *on,
-            F.col(start).alias("__from"),
-            F.col(until).alias("__to"),
-            F.struct(*[F.col(name) for name in payload]).alias(MATCH),
-            F.explode(
-                F.sequence(_segment_of(F.col(start), unit), _segment_of(F.col("__end"), unit), step)
-            ).alias(SEGMENT),
-        )
+        intervals.filter((F.col(start) <= horizon) & (F.col(until).isNull() | (F.col(start) < F.col(until))) & ~_any_null(on))
+        .withColumn(SEGMENT, F.explode(F.sequence(_segment_of(F.col(start), unit), _segment_of(last, unit), step)))
+        .select(*on, SEGMENT, F.lit(0).alias(SIDE), F.col(start).alias(MOMENT), F.col(until).alias("__until"), matched.alias(MATCH))
+    )
+    unmatchable = _any_null(on) | F.col(left_time).isNull()
+    points = left.filter(~unmatchable).select(
+        *on, _segment_of(F.col(left_time), unit).alias(SEGMENT), F.lit(1).alias(SIDE), F.col(left_time).alias(MOMENT), whole.alias("__left")
     )
-    marked = left.withColumn(SEGMENT, _segment_of(F.col(left_time), unit))
-    right = listed.select(
-        *[F.col(key).alias(f"__r_{key}") for key in on],
-        F.col(SEGMENT).alias("__r_segment"), "__from", "__to", MATCH,
+    # Of equal times intervals come first, as they cover their start.
+    order = Window.partitionBy(*on, SEGMENT).orderBy(MOMENT, SIDE)
+    together = points.unionByName(listed, allowMissingColumns=True).withColumn("__first", F.row_number().over(order) == 1)
+    ordered = together.select("__first", SIDE, MOMENT, F.col("__until").cast(together.schema[MOMENT].dataType), "__left", MATCH)
+    swept = ordered.mapInArrow(_sweep, T.StructType([ordered.schema["__left"], ordered.schema[MATCH]]))
+    alone = left.filter(unmatchable).select(whole.alias("__left"), F.lit(None).cast(ordered.schema[MATCH].dataType).alias(MATCH))
+    result = swept.unionByName(alone)
+    return result.select(*[F.col(f"__left.`{name}`") for name in left.columns], *[F.col(MATCH)[name].alias(name) for name in payload])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first of its group, side, time, end, left row, interval's payload) in order -> (left row, payload of each open interval)."""
+    ends: list[tuple[int, int]] = []  # (end, place) of open intervals, the nearest end first
+    open_: dict[int, None] = {}  # places of open intervals among ``held``, in the order of their starts
+    held = None
+    for batch in batches:
+        first, side = (batch.column(i).to_pylist() for i in range(2))
+        moments, untils = (_as_numbers(batch.column(i)) for i in (2, 3))
+        payload, before = batch.column(5), 0 if held is None else len(held)
+        rows, found = [], []
+        for at, (new, kind, moment, until) in enumerate(zip(first, side, moments, untils, strict=True)):
+            if new:
+                ends.clear()
+                open_.clear()
+            if kind == 0:
+                open_[before + at] = None
+                if until is not None:
+                    heapq.heappush(ends, (until, before + at))
+                continue
+            while ends and ends[0][0] <= moment:
+                del open_[heapq.heappop(ends)[1]]
+            rows += [at] * max(len(open_), 1)
+            found += open_ or [None]
+            if len(rows) >= SWEPT_ROWS:
+                yield _matched(batch, held, rows, found)
+                rows, found = [], []
+        yield _matched(batch, held, rows, found)
+        # Only intervals that are still open stay in memory.
+        places = list(open_)
+        held = (payload if held is None else pa.concat_arrays([held, payload])).take(pa.array(places, pa.int64()))
+        renamed = {place: i for i, place in enumerate(places)}
+        ends = [(until, renamed[place]) for until, place in ends]
+        heapq.heapify(ends)
+        open_ = dict.fromkeys(range(len(places)))
+
+
+def _matched(batch: pa.RecordBatch, held: pa.Array | None, rows: list[int], found: list[int | None]) -> pa.RecordBatch:
+    payload = batch.column(5) if held is None else pa.concat_arrays([held, batch.column(5)])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(4).take(pa.array(rows, pa.int64())), payload.take(pa.array(found, pa.int64()))], names=["__left", MATCH]
     )
-    condition = (marked[SEGMENT] == right["__r_segment"]) & (marked[left_time] >= right["__from"])
-    condition = condition & (right["__to"].isNull() | (marked[left_time] < right["__to"]))
-    for key in on:
-        condition = condition & (marked[key] == right[f"__r_{key}"])
-    joined = marked.join(right, condition, "left")
-    return joined.select(*left.columns, *[F.col(MATCH)[name].alias(name) for name in payload])
+
+
+def _as_numbers(times: pa.Array) -> list[int | None]:
+    return times.cast(pa.int32() if pa.types.is_date32(times.type) else pa.int64()).to_pylist()
 
 
 def _serving(role: str, dates: Column) -> Column:

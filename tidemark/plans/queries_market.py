@@ -74,6 +74,26 @@ def asof_by_interval(spark, sf):
     )
 
 
+@query(
+    "orders_open_at_shipping",
+    """with spans as (select o_orderkey, o_custkey, o_orderdate as opened, max(l_shipdate) as closed, o_totalprice
+  from orders join lineitem on o_orderkey = l_orderkey group by all),
+ ships as (select l_orderkey, l_linenumber, o_custkey, l_shipdate from lineitem join orders on l_orderkey = o_orderkey)
+ select l_orderkey, l_linenumber, count(p.o_orderkey) as open_orders, max(p.o_totalprice) as largest from ships s left join spans p
+  on s.o_custkey = p.o_custkey and s.l_shipdate >= p.opened and s.l_shipdate < p.closed group by 1, 2""",
+)
+def orders_open_at_shipping(spark, sf):
+    """Overlapping intervals: the orders of a customer that are not fully shipped when a line leaves."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    shipped = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
+    spans = orders.join(shipped, orders["o_orderkey"] == shipped["l_orderkey"]).select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").alias("opened"), "closed", "o_totalprice"
+    )
+    ships = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_custkey", "l_shipdate")
+    found = asof.interval_join(ships, spans, ["o_custkey"], "l_shipdate", "opened", "closed", ["o_orderkey", "o_totalprice"])
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("o_orderkey").alias("open_orders"), F.max("o_totalprice").alias("largest"))
+
+
 @query(
     "visible_statement_components",
     f"with {oracles.STATEMENTS}, {oracles.PERIODS} select symbol, report_date, publish_date,"
