@@ -82,6 +82,30 @@ def test_overlapping_intervals_against_brute_force(spark, monkeypatch, unit):
     assert rows == sorted(tuple((v is not None, v) for v in w) for w in wanted)
 
 
+def test_stored_profile_takes_a_new_shard(spark):
+    rng = random.Random(5)
+    rows = [(i % 3, rng.choice([None, rng.gauss(0, 9)]), rng.choice(["x", "y", None]), START.date() + dt.timedelta(days=rng.randrange(400)), rng.randrange(5000)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "part int, v double, s string, d date, `a.b` int").repartition(4)
+    stored = aggregates.profile_parts(df.filter("part < 2"), F.col("part"))
+    updated = aggregates.merged_profile(stored.unionByName(aggregates.profile_parts(df.filter("part = 2"), F.col("part"))), [0.1, 0.5])
+    fresh, exact = aggregates.merged_profile(aggregates.profile_parts(df), [0.1, 0.5]), {r.field: r for r in aggregates.field_profile(df).collect()}
+    one, two = ({r.field: r for r in p.collect()} for p in (updated, fresh))
+    assert one.keys() == two.keys() == exact.keys() == set(df.columns)
+    for name, row in exact.items():
+        for other in (one[name], two[name]):
+            assert (other.kind, other.null_ratio, other["min"], other["max"]) == (row.kind, row.null_ratio, row["min"], row["max"])
+            assert other.mean == (None if row.mean is None else pytest.approx(row.mean, abs=0.011))
+            assert other.distinct_count == pytest.approx(row.distinct_count, rel=0.05)
+        values = [r[df.columns.index(name)] for r in rows if r[df.columns.index(name)] is not None]
+        assert row.distinct_count == len(set(values))
+        assert one[name].distinct_count == pytest.approx(two[name].distinct_count, rel=0.02)
+    known = sorted(r[1] for r in rows if r[1] is not None)
+    for found, q in zip(one["v"].quantiles, (0.1, 0.5), strict=True):
+        assert abs(sum(v <= found for v in known) / len(known) - q) < 0.03
+    assert one["s"].quantiles is None
+    assert aggregates.field_profile(df.filter("false")).filter("distinct_count = 0").count() == 5
+
+
 def test_running_measures_against_brute_force(spark):
     rows = [(k, t, i, i % 7 if i % 5 else None) for k, t, i in moments(400, 3)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, v int")

@@ -14,6 +14,8 @@ from tidemark.operators.scans import Running, attach, running
 # The aggregations a user may pin to a field.
 PINNED = ("auto", "group", "sum", "avg", "count", "max", "min")
 
+#: Size of the distinct sketches: 2 ** 14 registers, a relative error of about 1 %.
+SKETCH_BITS = 14
 #: Stretches of equal rank in which the values of a quantile bracket are walked.
 STRETCHES = 64
 
@@ -181,35 +183,108 @@ def metric_profile(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
+def _kind(field: T.StructField) -> str:
+    if isinstance(field.dataType, T.NumericType):
+        return "number"
+    return "date" if isinstance(field.dataType, T.DateType | T.TimestampType | T.TimestampNTZType) else "other"
+
+
+def _profile_row(name: str, kind: str, rows: Column, known: Column, distinct: Column, low: Column, high: Column, total: Column) -> Column:
+    shown = {"number": lambda c: c.cast("double").cast("string"), "date": lambda c: F.to_date(c).cast("string")}.get(kind, lambda c: F.lit(None).cast("string"))
+    return F.struct(
+        F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.round(1 - F.try_divide(known, rows), 6).alias("null_ratio"),
+        distinct.alias("distinct_count"), shown(low).alias("min"), shown(high).alias("max"),
+        (F.round(F.try_divide(total, known), 2) if kind == "number" else F.lit(None).cast("double")).alias("mean"),
+    )
+
+
 def field_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column, by type: numbers get range and mean, dates a range, others a distinct count."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    parts, rows = [F.count(F.lit(1)).alias("__rows")], []
-    for field in df.schema.fields:
-        name, kind = field.name, field.dataType
-        column = F.col(name)
-        number, day = isinstance(kind, T.NumericType), isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
+    """Per column, by type: numbers get range and mean, dates a range, others a distinct count.
+
+    Distinct counts are exact, from a long table of (column, value) whose repeats go in every task before the shuffle, so
+    that each value is moved once; or approximate, from the sketches of :func:`profile_parts`, in one pass.
+    """
+    if approximate:
+        return merged_profile(profile_parts(df))
+    kinds = {field.name: _kind(field) for field in df.schema.fields}
+    parts = [F.count(F.lit(1)).alias("__rows")]
+    for name, kind in kinds.items():
+        column = F.col(f"`{name}`")
         parts.append(F.count(column).alias(f"n|{name}"))
-        parts.append(distinct(column).alias(f"d|{name}"))
-        text = F.lit(None).cast("string")
-        low, high, mean = text, text, F.lit(None).cast("double")
-        if number or day:
-            shown = (lambda c: c.cast("double").cast("string")) if number else (lambda c: F.to_date(c).cast("string"))
+        if kind != "other":
             parts += [F.min(column).alias(f"lo|{name}"), F.max(column).alias(f"hi|{name}")]
-            low, high = shown(F.col(f"lo|{name}")), shown(F.col(f"hi|{name}"))
-        if number:
-            parts.append(F.avg(column).alias(f"avg|{name}"))
-            mean = F.round(F.col(f"avg|{name}"), 2)
-        rows.append(
+        if kind == "number":
+            parts.append(F.sum(column.cast("double")).alias(f"sum|{name}"))
+    none = F.lit(None)
+    value = lambda mark, name, there: F.col(f"`{mark}|{name}`") if there else none
+    wide = df.agg(*parts).select(
+        F.explode(
+            F.array(
+                *[
+                    _profile_row(name, kind, F.col("__rows"), F.col(f"`n|{name}`"), none.cast("long"), *[value(m, name, kind != "other") for m in ("lo", "hi")], value("sum", name, kind == "number"))
+                    for name, kind in kinds.items()
+                ]
+            )
+        ).alias("p")
+    )
+    distinct = long_values(df).distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return wide.select("p.*").join(distinct, "field", "left").withColumn("distinct_count", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
+
+
+def long_values(df: DataFrame) -> DataFrame:
+    """(field, value): the known values of all columns as text, one text for equal values."""
+    def text(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DoubleType | T.FloatType):
+            column = column + F.lit(0.0)  # -0.0 equals 0.0
+        if isinstance(field.dataType, T.BinaryType):
+            return F.hex(column)
+        return F.to_json(F.struct(column)) if isinstance(field.dataType, T.ArrayType | T.StructType | T.MapType) else column.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(f.name).alias("field"), F.when(F.col(f"`{f.name}`").isNotNull(), text(f)).alias("value")) for f in df.schema.fields])
+    return df.select(F.explode(cells).alias("c")).select("c.field", "c.value").filter(F.col("value").isNotNull())
+
+
+def profile_parts(df: DataFrame, shard: Column | None = None) -> DataFrame:
+    """Mergeable profile: one row per shard and column, with counts, range, sum, a distinct sketch and a quantile sketch.
+
+    Rows of new shards are appended to the stored ones; ``merged_profile`` reads them all without the data.
+    """
+    kinds = {field.name: _kind(field) for field in df.schema.fields}
+    structs = []
+    for name, kind in kinds.items():
+        column = F.col(f"`{name}`")
+        number = F.when(~F.isnan(column.cast("double")), column.cast("double")) if kind == "number" else F.lit(None).cast("double")
+        day = F.to_date(column) if kind == "date" else F.lit(None).cast("date")
+        cell = F.to_json(F.struct(column)) if kind == "other" else column.cast("string")
+        structs.append(
             F.struct(
-                F.lit(name).alias("field"),
-                F.lit("number" if number else "date" if day else "other").alias("kind"),
-                F.round(1 - F.try_divide(F.col(f"n|{name}"), F.col("__rows")), 6).alias("null_ratio"),
-                F.col(f"d|{name}").alias("distinct_count"),
-                low.alias("min"), high.alias("max"), mean.alias("mean"),
+                F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.count(column).alias("known"),
+                F.min(number).alias("low"), F.max(number).alias("high"), F.sum(number).alias("total"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+                F.hll_sketch_agg(F.when(column.isNotNull(), cell), F.lit(SKETCH_BITS)).alias("distinct_sketch"),
+                F.kll_sketch_agg_double(number).alias("quantile_sketch"),
             )
         )
-    return df.agg(*parts).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    grouped = df.groupBy((shard if shard is not None else F.lit("")).cast("string").alias("shard"))
+    return grouped.agg(F.array(*structs).alias("parts")).select("shard", F.inline("parts"))
+
+
+def merged_profile(parts: DataFrame, quantiles: Sequence[float] = ()) -> DataFrame:
+    """The profile of all shards together; with ``quantiles`` also the column ``quantiles`` of numeric fields (array<double>)."""
+    merged = parts.groupBy("field", "kind").agg(
+        F.sum("rows").alias("rows"), F.sum("known").alias("known"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"),
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch", F.lit(False))).alias("distinct_count"),
+        F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"),
+    )
+    number, day = F.col("kind") == "number", F.col("kind") == "date"
+    shown = lambda value, of_day: F.when(number, F.col(value).cast("string")).when(day, F.col(of_day).cast("string"))
+    found = merged.select(
+        "field", "kind", F.round(1 - F.try_divide("known", "rows"), 6).alias("null_ratio"), "distinct_count", shown("low", "first_day").alias("min"),
+        shown("high", "last_day").alias("max"), F.when(number, F.round(F.try_divide("total", "known"), 2)).alias("mean"),
+        *([F.when(number & (F.col("known") > 0), F.array(*[F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(float(q))) for q in quantiles])).alias("quantiles")] if quantiles else []),
+    )
+    return found
 
 
 def sample_values(df: DataFrame, column: str, count: int = 5) -> DataFrame:

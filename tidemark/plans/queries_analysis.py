@@ -13,7 +13,7 @@ from tidemark.operators import aggregates as agg
 from tidemark.operators import charts, compare
 from tidemark.operators import crosssection as cross
 from tidemark.plans.registry import query
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 
 NET_SQL = "cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18, 4))) as double)"
 
@@ -223,6 +223,28 @@ def field_profile(spark, sf):
     return agg.field_profile(table(spark, sf, "part"))
 
 
+@query(
+    "stored_profile",
+    " union all ".join(
+        f"select '{name}' as field, '{kind}' as kind, round(1 - count({name}) / count(*), 6) as null_ratio,"
+        + {
+            "number": f" cast(min({name})::double as varchar) as min, cast(max({name})::double as varchar) as max, round(avg({name}), 2) as mean",
+            "date": f" cast(min({name})::date as varchar) as min, cast(max({name})::date as varchar) as max, cast(null as double) as mean",
+            "other": " cast(null as varchar) as min, cast(null as varchar) as max, cast(null as double) as mean",
+        }[kind] + f", (approx_count_distinct({name}) > 0) as counted from lineitem"
+        for name, kind in (("l_quantity", "number"), ("l_discount", "number"), ("l_shipdate", "date"), ("l_linestatus", "other"))
+    ),
+)
+def stored_profile(spark, sf):
+    """Profiles of two shards are stored, that of a third is added, and the three are merged without the data."""
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_shipdate", "l_linestatus", "l_returnflag")
+    parts = lambda rows: agg.profile_parts(rows, F.col("l_returnflag"))
+    stored = cut_lineage(parts(lines.filter(F.col("l_returnflag") != "R")), "profile")
+    added = cut_lineage(parts(lines.filter(~(F.col("l_returnflag") != "R") | F.col("l_returnflag").isNull())), "profile")
+    found = agg.merged_profile(stored.unionByName(added)).filter(F.col("field") != "l_returnflag")
+    return found.select("field", "kind", "null_ratio", "min", "max", "mean", (F.col("distinct_count") > 0).alias("counted"))
+
+
 @query("sample_brands", "select distinct p_brand as value from part where p_brand is not null order by 1 limit 5")
 def sample_brands(spark, sf):
     return agg.sample_values(table(spark, sf, "part"), "p_brand")
