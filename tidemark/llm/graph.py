@@ -222,7 +222,8 @@ def build_index(vectors: DataFrame) -> DataFrame:
         ]
         return pa.Table.from_arrays(columns, names=["shard", "n", "names", "vectors", "edges", "start"])
 
-    dealt = nodes.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    # A graph is minutes of work in few bytes: shards must not share a task because they are small.
+    dealt = nodes.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
     return cut_lineage(dealt.groupBy("shard").applyInArrow(build, SHARD), "graphs")
 
 
