@@ -120,22 +120,12 @@ class Shard:
         return places, scores
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, vector) with each pair once, wherever its repeats lie. Only rows that may be repeated are moved."""
-    hashed = rows.select("key", "vector", F.xxhash64("vector").alias("hash"))
-    repeated = cut_lineage(hashed.groupBy("key", "hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", "hash"), "repeated")
-    if repeated.isEmpty():
-        return rows.select("key", "vector")
-    once = hashed.join(repeated, ["key", "hash"]).select("key", "vector").dropDuplicates(["key", "vector"])
-    return hashed.join(repeated, ["key", "hash"], "left_anti").select("key", "vector").unionByName(once)
-
-
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``row_id``, ``score``: the best k candidates of each query, ties to the smaller id.
 
-    Both tables come from ``integer_vectors``. Rows of a query's own id are no candidates for it. A row that repeats an id
-    and a vector (of the same length) counts once in the whole table; rows of one id with different vectors are rows (or queries) of their own. Missing
-    dimensions count as 0. A query without candidates, and empty tables, give no rows.
+    Both tables come from ``integer_vectors``. Rows of a query's own id are no candidates for it. Every row of ``candidates`` is
+    ranked, those that repeat an id and a vector too; a repeated query counts once, queries of one id with different vectors
+    each count. Missing dimensions count as 0. A query without candidates, and empty tables, give no rows.
     """
     # Queries meet shards in blocks: each pair of a block and a shard is one row, dealt over many tasks by a salt.
     asked = cut_lineage(
@@ -149,7 +139,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     shards = (
-        _once(candidates).mapInArrow(_pack, PACKED)
+        candidates.select("key", "vector").mapInArrow(_pack, PACKED)
         .withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
     )
