@@ -154,6 +154,35 @@ def test_mixing_meets_its_targets(spark, counts):
     assert mixing.emit(mixing.mix(docs), ["doc_id"]).count() == sum(r.copies for r in found)
 
 
+def test_copies_equal_a_plain_systematic_sampler(spark):
+    """One running sum per source in the documented order, one offset, one copy for every integer crossed."""
+    import math
+
+    rng = random.Random(10)
+    rows = [(i, " ".join(words(rng, int(rng.lognormvariate(3, 1)))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    marked = docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("hash"), F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("name"))
+    offset = (F.pmod(F.xxhash64(F.lit(17), F.lit("offset"), "name"), F.lit(2**40)) / float(2**40)).alias("offset")
+    named = {r.doc_id: r for r in marked.select("doc_id", "hash", offset).collect()}
+    got = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    targets = filled(sizes)
+    for source, size in sizes.items():
+        mine = []
+        for i, text, s in rows:
+            if s == source:
+                n, h = len(text.split()), named[i].hash
+                mine.append((int(math.log2(n + 1) * 8), (h >> 56) % 256, h, i, n))
+        mine.sort()
+        rate = targets[source] / size
+        turns = []
+        for turn in range(16):
+            u = (named[mine[0][3]].offset + turn / 16) % 1.0
+            copies = [math.floor((at + 1) * rate + u) - math.floor(at * rate + u) for at in range(len(mine))]
+            turns.append((abs(sum(c * m[4] for c, m in zip(copies, mine, strict=True)) - targets[source]), u, copies))
+        assert [got[m[3]] for m in mine] == min(turns)[2]
+
+
 def test_mixing_awkward_rows(spark):
     rows = documents()
     found = mixing.mix(frame(spark, rows, clashing=True).withColumn("a.b", F.lit(1)))
