@@ -1,6 +1,6 @@
 """Inverted index with block maxima, and exact top-k search on it that skips blocks.
 
-Documents become shards where they are read; no text is shuffled. A shard orders its documents by the signs of the leading
+Documents become shards where they are read; only small tables are dealt out first. A shard orders its documents by the signs of the leading
 directions of its common terms (which part languages and kinds of text) and then by length, so that like documents stand
 together, and cuts them into blocks. Per term it holds the postings in document order,
 and of each block that has the term the most occurrences and the least length: they bound every score of the block from
@@ -28,6 +28,10 @@ BM25_B = 0.75
 BLOCK_DOCS, SHARD_DOCS, SHARD_TOKENS = 16, 4096, 4_000_000
 #: Common terms and directions by which a shard orders its documents.
 COMMON_TERMS, DIRECTIONS = 256, 4
+#: Tables of less than these estimated bytes are dealt out before they are indexed; larger ones are indexed where they lie.
+SPREAD_BYTES = 256_000_000
+#: Beyond so many shards the floor of a query is taken from all of them.
+SEEDED_SHARDS = 16
 #: Queries that meet a shard together.
 QUERY_BLOCK = 1024
 PARTS = ("lengths", "docs", "tfs", "blocks", "block_counts", "block_tfs", "block_lengths")
@@ -38,7 +42,11 @@ def build_postings(
     documents: DataFrame, doc_id: str, text: str, block_docs: int = BLOCK_DOCS, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """One row per shard, as a table in the shared folder. A null or empty text is a document without terms."""
-    narrow = documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES:
+        # A small table may lie in one piece of one file; its texts are dealt out, so that all tasks share the work.
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    narrow = rows.select("doc_id", tokens(F.col("text")).alias("tokens"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"n int, words long, block_docs int, doc_ids array<{id_type}>, terms array<string>, counts array<int>, " + ", ".join(f"{p} binary" for p in PARTS)
 
@@ -154,6 +162,9 @@ class Shard:
         """Documents of the blocks that may reach ``floor`` that may be among the first ``depth``; how many were scored."""
         chosen = np.ones(self.n_blocks, bool)
         if depth is not None:
+            if not floor:
+                best = self.seeds(terms, gains, depth)
+                floor = best[-1] if len(best) == depth else 0.0
             chosen = np.round(self._bounds(terms, gains), 9) >= np.round(floor, 9)
         scores = self._scores(terms, gains, chosen)
         hit = np.flatnonzero(scores > 0)
@@ -164,13 +175,15 @@ class Shard:
         return hit, scores[hit], scored
 
 
-def search_postings(postings: DataFrame, query_terms: DataFrame, depth: int | None, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search_postings(
+    postings: DataFrame, query_terms: DataFrame, depth: int | None, query_block: int = QUERY_BLOCK, seeded_shards: int = SEEDED_SHARDS,
+) -> DataFrame:
     """``query_id``, ``doc_id``, ``raw`` of what may be among the first ``depth`` documents of a query (all with None).
 
     ``query_terms`` has ``query_id``, ``term`` and ``weight``. Rows without ``doc_id`` and ``raw`` hold in ``scored`` how many
     documents of a shard were scored for the query.
     """
-    total = postings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    total = postings.agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     n, mean = float(total.n), total.words / max(total.n, 1)
     frequency = (
         postings.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("t.terms", "t.counts")
@@ -225,8 +238,9 @@ def search_postings(postings: DataFrame, query_terms: DataFrame, depth: int | No
         )
 
     without = asked.withColumn("floor", F.lit(0.0))
-    if depth is not None:
-        # A query's floor: the depth-th best score among the best blocks of all shards.
+    if depth is not None and total.shards > seeded_shards:
+        # A query's floor: the depth-th best score among the best blocks of all shards. Of few shards each finds its own floor,
+        # which is lower but needs no pass over the index.
         best = over_shards(without, seeds, f"query_id {query_type}, raw double")
         ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("raw").desc())))
         floors = ranked.filter(F.col("place") == depth).select("query_id", F.col("raw").alias("floor"))
