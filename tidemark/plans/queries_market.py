@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import exact_sum
-from tidemark.operators import asof, quality, scans
+from tidemark.operators import asof, crosssection, quality, scans
 from tidemark.operators.aggregates import metric_profile
 from tidemark.plans import daily, market, metrics, oracles, periods
 from tidemark.plans.registry import query
@@ -214,22 +214,7 @@ def period_check(spark, sf):
     return _flat_errors(quality.check_periods(cut_lineage(build_all_periods(spark, sf), "periods")))
 
 
-@query(
-    "daily_check",
-    f"""with {oracles.ALL_TABLES}
- select count(*) as row_count, count(*) filter (symbol is null or trade_date is null) as null_key_rows,
-  count(*) filter (financial_publish_date > trade_date) as future_financial_rows,
-  count(*) filter (yoy_base_publish_date > financial_publish_date or qoq_base_publish_date > financial_publish_date
-   or cagr_base_publish_date > financial_publish_date) as future_comparison_rows,
-  0 as formula_mismatch_rows,
-  count(*) filter (statement_format <> '一般企业' and coalesce(dso, roic_ttm, current_ratio) is not null)
-   as non_general_metric_rows,
-  count(*) filter (not isfinite(roe_ttm)) as non_finite_values,
-  count(*) - count(distinct (symbol, trade_date)) as duplicate_key_groups,
-  (select count(*) from (select financial_report_date as r, lag(financial_report_date) over
-   (partition by symbol order by trade_date) as p from daily) where r < p) as report_date_regressions,
-  '' as errors from daily""",
-)
+@query("daily_check", f"with {oracles.ALL_TABLES} {oracles.daily_check_sql('daily')}")
 def daily_check(spark, sf):
     days = cut_lineage(build_all_days(spark, sf), "days")
     return _flat_errors(quality.check_daily(days, metrics.pick(metrics.DAILY_METRIC_IDS)))
@@ -365,7 +350,7 @@ def screen_value_and_return(spark, sf):
     bars = market.stock_days(spark, sf)
     newest = cut_lineage(bars.filter(F.col("trade_date") == bars.agg(F.max("trade_date")).scalar()), "bars")
     days = daily.build_daily(newest, cut_lineage(build_all_periods(spark, sf), "periods"))
-    return days.filter((F.col("pe_parent_ttm") < 90) & (F.col("roe_ttm") > 0.10)).select(
+    return crosssection.screen(days, F.col("pe_parent_ttm") < 90, F.col("roe_ttm") > 0.10).select(
         "stock_name", "trade_date", "total_market_cap", "parent_net_profit_ttm", "avg_parent_equity", "pe_parent_ttm", "roe_ttm"
     )
 

@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from tidemark.plans import (  # noqa: F401
-        queries_analysis, queries_market, queries_search, queries_sources, queries_turns,
+        queries_analysis, queries_faults, queries_market, queries_search, queries_sources, queries_turns,
     )
