@@ -1,6 +1,7 @@
 """Operators against brute force, including hot keys, ties and NULLs."""
 
 import datetime as dt
+import itertools
 import math
 import random
 from collections import Counter
@@ -282,6 +283,48 @@ def test_compare_results(spark):
     assert equal(empty, empty) == (True, "")
 
 
+def test_compare_results_pairs_within_the_tolerance(spark):
+    """Rows that swap places in the order of their first number still pair; what a shared partner leaves over does not."""
+    equal = lambda a, b: compare.compare_results(a, b).first()["equal"]
+    table = lambda rows: spark.createDataFrame(rows, "v double, w double")
+    assert equal(table([(1.0000001, 5.0), (1.0000002, 9.0)]), table([(1.0000003, 5.0), (1.0000001, 9.0)]))
+    step = 0.7e-6
+    chain = [(at * step, 1.0) for at in range(6)]
+    assert equal(table(chain), table([(v + step, w) for v, w in chain]))
+    assert not equal(table(chain), table([(v + 3 * step, w) for v, w in chain]))
+    odd = [(None, 1.0), (float("nan"), 1.0), (float("inf"), 2.0), (float("-inf"), None), (-0.0, 0.0)]
+    assert equal(table(odd), table([*odd[1:4], (0.0, 1e-7), (None, 1.0 + 5e-7)]))
+    assert not equal(table(odd), table([*odd[:3], (float("inf"), None), (0.0, 0.0)]))
+    assert not equal(table([(None, 1.0)]), table([(float("nan"), 1.0)]))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_compare_results_against_brute_force(spark, monkeypatch, seed):
+    """Dense chains with repeats, ordered in stretches of a few values, against all assignments."""
+    monkeypatch.setattr(compare, "ROWS_PER_STRETCH", 3)
+    draw = random.Random(seed)
+    for _ in range(2):
+        left = [(draw.randrange(5) * 0.6, draw.randrange(3) * 0.6) for _ in range(6)]
+        right = [(v + draw.choice((-0.6, 0.0, 0.6)), w + draw.choice((0.0, 0.6))) for v, w in left]
+        if draw.random() < 0.5:
+            right[0] = (right[0][0] + 1.2, right[0][1])
+        near = lambda a, b: all(abs(x - y) <= 1.0 for x, y in zip(a, b, strict=True))
+        wanted = any(all(map(near, left, order)) for order in itertools.permutations(right))
+        frames = [spark.createDataFrame(rows, "v double, w double") for rows in (left, right)]
+        assert compare.compare_results(*frames, tolerance=1.0).first()["equal"] == wanted
+
+
+def test_comparison_of_numbers_is_spread(spark):
+    """Rows that hold nothing but numbers are ordered in many stretches, and none of them is paired in Python."""
+    base = spark.range(300_000).select((F.col("id") * 0.001).alias("v"), (F.col("id") % 7 * 1.0).alias("w"))
+    moved = base.withColumn("v", F.col("v") + 4e-7)
+    assert compare.compare_results(base, moved).first()["equal"]
+    assert not compare.compare_results(base, moved.withColumn("v", F.col("v") + F.when(F.col("w") == 3, 2e-6).otherwise(0))).first()["equal"]
+    values = base.select("v").distinct()
+    cut = compare._chain_starts(values, [], "v", 1e-6, 8)
+    assert cut.filter(F.col("v") == F.col("__start")).count() == 300_000
+
+
 def test_quota_and_budget(spark):
     rows = [("g", START + dt.timedelta(hours=h), h) for h in range(8)] + [("other", START, 100)]
     got = turns.admitted(spark.createDataFrame(rows, "k string, t timestamp_ntz, i int"), "k", "t", ["i"]).collect()

@@ -287,3 +287,51 @@ def test_loss_year_keeps_operating_profit_untaxed(spark):
     )
     row = daily.build_daily(stock_table(spark), company).filter("symbol = 'sh688321'").first()
     assert row["roic_ttm"] == pytest.approx((41 - 12) / 290)
+
+
+def test_planted_faults_are_found(spark, tiny):
+    """Every count of the checks is above zero, and the unusual tables do hold what they are there for."""
+    from tidemark.plans import registry
+
+    registry.load_all()
+    days = registry.QUERIES["daily_check_of_faulty_rows"](spark, tiny).first().asDict()
+    assert all(count > 0 for name, count in days.items() if name != "errors"), days
+    assert len(days["errors"].split("; ")) == 8
+    built = registry.QUERIES["period_check_of_faulty_rows"](spark, tiny).first().asDict()
+    assert all(count > 0 for name, count in built.items() if name != "errors"), built
+    assert len(built["errors"].split("; ")) == 3
+    kinds = registry.QUERIES["unusual_financial_periods"](spark, tiny)
+    assert {row[0] for row in kinds.select("period_type").distinct().collect()} == {"Q1", "H1", "Q3", "FY", "OTHER"}
+    twice = kinds.groupBy("symbol", "publish_date", "report_date").agg(F.count_distinct("statement_format").alias("n"))
+    chosen = registry.QUERIES["format_in_force"](spark, tiny).join(twice.filter("n > 1"), ["symbol", "publish_date", "report_date"])
+    assert {row[0] for row in chosen.select("statement_format").distinct().collect()} == {GENERAL, BANK}
+
+
+def test_refresh_builds_only_what_changed(spark, tmp_path):
+    """New, restated and vanished companies; the result equals a full build, and the second run holds the changed ones alone."""
+    from tidemark.plans import build
+
+    def company(name, rows):
+        return statements(spark, rows).withColumn("symbol", F.lit(name))
+
+    first = company("a", RESTATED[:4]).unionByName(company("b", RESTATED)).unionByName(company("gone", RESTATED))
+    second = company("a", RESTATED).unionByName(company("b", RESTATED)).unionByName(company("new", RESTATED[:3]))
+    output = str(tmp_path)
+    assert build.refresh_periods(spark, first, build.digests_of(first), output) == {"companies_built": 3, "companies_gone": 0}
+    assert build.refresh_periods(spark, first, build.digests_of(first), output) == {"companies_built": 0, "companies_gone": 0}
+    assert build.refresh_periods(spark, second, build.digests_of(second), output) == {"companies_built": 2, "companies_gone": 1}
+    found, wanted = build.read_periods(spark, output), periods.build_periods(second)
+    assert found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
+    runs = spark.read.parquet(f"{output}/financial_period_runs").groupBy("run").agg(F.sort_array(F.collect_set("symbol")).alias("s"))
+    assert sorted(row["s"] for row in runs.collect()) == [["a", "b", "gone"], ["a", "new"]]
+
+
+def test_daily_build_needs_periods_of_the_rules_in_force(spark, tmp_path, monkeypatch):
+    from tidemark.plans import build
+
+    output = str(tmp_path)
+    publish_periods(statements(spark, RESTATED), output)
+    assert build.check_version(spark, f"{output}/financial_period") == []
+    monkeypatch.setattr(build, "PIPELINE_VERSION", 2)
+    with pytest.raises(ValueError, match="pipeline version 1 is not 2"):
+        publish_daily(spark, stock_table(spark), output)

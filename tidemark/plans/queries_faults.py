@@ -133,7 +133,6 @@ def period_check_of_faulty_rows(spark, sf):
 def faulty_days(days: DataFrame) -> DataFrame:
     """Each rule of the daily check is broken on some days of the year; one company loses its name on some."""
     of_year, published = F.dayofyear("trade_date"), F.col("financial_publish_date")
-    bank = F.col("statement_format") == market.BANK
     faults = {
         "symbol": ((_company() == 3) & (of_year % 13 == 7), F.lit(None).cast("string")),
         "financial_publish_date": ((of_year % 37 == 5) & published.isNotNull(), F.date_add("trade_date", 3)),
@@ -144,7 +143,7 @@ def faulty_days(days: DataFrame) -> DataFrame:
         "roe_ttm": (of_year % 29 == 3, F.col("roe_ttm") + 0.5),
         "pe_parent_ttm": (of_year % 53 == 9, F.lit(float("inf"))),
         "dio": (of_year % 59 == 2, F.lit(float("nan"))),
-        "current_ratio": (bank & (of_year % 31 == 4), F.lit(1.5)),
+        "statement_format": ((of_year % 31 == 4) & published.isNotNull(), F.lit(market.BANK)),
     }
     changed = _changed(days, faults)
     return changed.unionByName(changed.filter((of_year % 67 == 10) & F.col("symbol").isNotNull()))
@@ -163,7 +162,8 @@ def faulty_days(days: DataFrame) -> DataFrame:
   case when dayofyear(trade_date) % 29 = 3 then roe_ttm + 0.5::double else roe_ttm end as roe_ttm,
   case when dayofyear(trade_date) % 53 = 9 then 'infinity'::double else pe_parent_ttm end as pe_parent_ttm,
   case when dayofyear(trade_date) % 59 = 2 then 'nan'::double else dio end as dio,
-  case when statement_format = '商业银行' and dayofyear(trade_date) % 31 = 4 then 1.5::double else current_ratio end as current_ratio)
+  case when dayofyear(trade_date) % 31 = 4 and financial_publish_date is not null then '商业银行' else statement_format end
+   as statement_format)
  from daily),
 faulty as (select * from changed union all
  select * from changed where dayofyear(trade_date) % 67 = 10 and symbol is not null)

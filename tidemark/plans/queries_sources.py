@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import exact_sum
+from tidemark.plans import build, market, oracles
 from tidemark.plans.golden import compare_snapshots, write_snapshots
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path, table
+from tidemark.session import cut_lineage, scratch_path, table
 from tidemark.sources import catalog, ingest, vendor_csv
 from tidemark.sources.contracts import ColumnSpec, DatasetSpec
 from tidemark.sources.files import publish, read_current
+from tidemark.sources.layout import publish_along, read_within
 
 SEGMENT_SQL = """select c_mktsegment, count(*) as orders, max(o_totalprice) as highest,
  count(*) filter (where o_orderstatus = 'F') as finished from orders join customer on c_custkey = o_custkey group by all"""
@@ -122,6 +126,38 @@ def published_orders(spark, sf):
     )
 
 
+@query(
+    "orders_by_file_ranges",
+    """select o_orderkey, o_custkey, o_orderdate, o_totalprice from orders
+ where o_custkey between 10 and 400 and o_orderdate >= timestamp '1995-03-01' and o_orderdate <= timestamp '1996-02-01'""",
+)
+def orders_by_file_ranges(spark, sf):
+    """A table laid out along customer and date; the files of one rectangle are read."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    output = scratch_path(spark, "laid_out")
+    publish_along(orders, output, ["o_custkey", "o_orderdate"], partitions=32)
+    wanted = {"o_custkey": (10, 400), "o_orderdate": (dt.date(1995, 3, 1), dt.date(1996, 2, 1))}
+    return read_within(spark, output, wanted)
+
+
+@query(
+    "periods_after_restatements",
+    f"""with {oracles.STATEMENTS}, {oracles.PERIODS} select symbol, statement_format, report_date, publish_date,
+ operating_revenue_quarter, net_profit_ttm, avg_total_assets, ttm_prior_publish_date from periods""",
+)
+def periods_after_restatements(spark, sf):
+    """Built once without the later restatements of every third company, then refreshed with them."""
+    statements = cut_lineage(market.statements(spark, sf), "statements")
+    late = (F.substring("symbol", -6, 6).cast("int") % 3 == 0) & (F.col("publish_date") > "1996-01-01")
+    output = scratch_path(spark, "refreshed")
+    for known in (statements.filter(~late), statements):
+        build.refresh_periods(spark, known, build.digests_of(known), output)
+    return build.read_periods(spark, output).select(
+        "symbol", "statement_format", "report_date", "publish_date", "operating_revenue_quarter", "net_profit_ttm",
+        "avg_total_assets", "ttm_prior_publish_date",
+    )
+
+
 @query(
     "golden_snapshots",
     """select 'orders_by_status' as name, true as equal, '' as reason

@@ -62,12 +62,13 @@ def read_current(spark: SparkSession, table: str) -> DataFrame:
 
 
 def publish(
-    df: DataFrame, table: str, check: Callable[[DataFrame], list[str]] | None = None, max_rows_per_file: int = 0
+    df: DataFrame, table: str, check: Callable[[DataFrame], list[str]] | None = None, max_rows_per_file: int = 0,
+    beside: Callable[[DataFrame, str], None] | None = None,
 ) -> str:
     """Write to a staging folder, check what was written, then make it the newest version.
 
     Readers see either the old version or the whole new one. A failed check raises and leaves the
-    table as it was.
+    table as it was. ``beside`` may write more about the checked rows into the staging folder.
     """
     spark = df.sparkSession
     staging = f"{table}/_staging/{uuid.uuid4().hex}"
@@ -75,9 +76,12 @@ def publish(
     if max_rows_per_file:
         writer = writer.option("maxRecordsPerFile", max_rows_per_file)
     writer.parquet(staging)
-    errors = check(spark.read.schema(df.schema).parquet(staging)) if check else []
+    written = spark.read.schema(df.schema).parquet(staging)
+    errors = check(written) if check else []
     if errors:
         raise ValueError("; ".join(errors))
+    if beside:
+        beside(written, staging)
     target = f"{table}/{VERSION}{(versions(spark, table) or [0])[-1] + 1}"
     move(spark, staging, target)
     return target

@@ -18,7 +18,7 @@ from tidemark.operators.quality import check_columns, check_table
 from tidemark.plans.metrics import MARKET_METRIC_IDS, pick, with_metrics
 from tidemark.session import cut_lineage
 from tidemark.sources import files as fs
-from tidemark.sources import vendor_csv
+from tidemark.sources import layout, vendor_csv
 from tidemark.sources.contracts import DatasetSpec
 
 MANIFEST_SCHEMA = (
@@ -157,16 +157,14 @@ def validate(spark: SparkSession, spec: DatasetSpec, output: str) -> dict:
 
 
 def compact(spark: SparkSession, spec: DatasetSpec, output: str) -> str:
-    """Rewrite the current rows into few large files, sorted by key, and publish them.
+    """Rewrite the current rows into few large files along a curve over the keys, and publish them.
 
-    Sorting by key lets later filters on identity and date skip row groups.
+    Identity and date both cut the files; ``layout.read_within`` reads those a range needs.
     """
     expected = summary(spec, manifest(spark, spec, output), 0, 0)["row_count"]
     rows = read_table(spark, spec, output)
-    ordered = rows.repartitionByRange(*spec.keys).sortWithinPartitions(*spec.keys)
-
     def same_count(written: DataFrame) -> list[str]:
         found = written.count()
         return [] if found == expected else [f"row count changed: {expected} != {found}"]
 
-    return fs.publish(ordered, f"{output}/{spec.table}_compact", same_count, ROWS_PER_FILE)
+    return layout.publish_along(rows, f"{output}/{spec.table}_compact", spec.keys, same_count, ROWS_PER_FILE)

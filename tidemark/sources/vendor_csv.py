@@ -258,16 +258,16 @@ def inventory(files: DataFrame, headers: DataFrame, spec: DatasetSpec) -> DataFr
     judged = seen.withColumn("error", header_error(spec, F.col("header"))).withColumn(
         "reordered", F.col("error").isNull() & header_reordered(spec, F.col("header"))
     )
-    example = lambda flag, value: F.slice(
-        F.array_sort(F.collect_list(F.when(flag, value))), 1, EXAMPLES
-    )
-    twice = files.groupBy("shard").agg(F.array_sort(F.collect_list("file")).alias("files")).filter(F.size("files") > 1)
-    duplicates = twice.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.slice(F.array_sort(F.collect_list(F.struct("shard", "files"))), 1, EXAMPLES).alias("shards"),
-        )
-    ).scalar()
+    judged = cut_lineage(judged, "headers")
+
+    def examples(flag: Column, value: Column) -> Column:
+        # The first few are cut in every task; only they meet.
+        first = judged.filter(flag).select(value.alias("e")).orderBy("e").limit(EXAMPLES)
+        return first.agg(F.array_sort(F.collect_list("e"))).scalar()
+
+    twice = files.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shown = files.join(twice.orderBy("shard").limit(EXAMPLES).select("shard"), "shard", "left_semi")
+    of_shard = shown.groupBy("shard").agg(F.array_sort(F.collect_list("file")).alias("files"))
     return judged.agg(
         F.lit(spec.table).alias("table"),
         F.count(F.lit(1)).alias("file_count"),
@@ -276,9 +276,14 @@ def inventory(files: DataFrame, headers: DataFrame, spec: DatasetSpec) -> DataFr
         F.max("modified").alias("latest_change"),
         F.lit(len(spec.columns)).alias("expected_column_count"),
         F.count("error").alias("invalid_header_count"),
-        example(F.col("error").isNotNull(), F.struct("file", "error", F.size("header").alias("columns"))).alias("invalid_headers"),
         F.count_if("reordered").alias("reordered_header_count"),
-        example(F.col("reordered"), F.col("file")).alias("reordered_headers"),
     ).withColumns(
-        {"duplicate_shard_count": duplicates["n"], "duplicate_shards": duplicates["shards"]}
+        {
+            "invalid_headers": examples(
+                F.col("error").isNotNull(), F.struct("file", "error", F.size("header").alias("columns"))
+            ),
+            "reordered_headers": examples(F.col("reordered"), F.col("file")),
+            "duplicate_shard_count": twice.agg(F.count(F.lit(1))).scalar(),
+            "duplicate_shards": of_shard.agg(F.array_sort(F.collect_list(F.struct("shard", "files")))).scalar(),
+        }
     )
