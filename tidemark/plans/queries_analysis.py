@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates
-from tidemark.functions.numeric import exact_sum, is_finite
+from tidemark.functions.numeric import exact_sum, is_finite, money, ratio
 from tidemark.functions.serialise import to_plain
 from tidemark.functions.text import tokens
 from tidemark.operators import aggregates as agg
@@ -594,6 +594,26 @@ def chart_candlestick(spark, sf):
     return charts.candlestick(bars, "day", ("open", "high", "low", "close"))
 
 
+@query(
+    "segment_summary",
+    """with t as (select c_mktsegment, count(*) as orders, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as total
+ from orders join customer on o_custkey = c_custkey group by 1)
+ select c_mktsegment, orders, round(total, 2) as total, round(total / orders, 2) as mean_order,
+ round(total / (select sum(total) from t), 4) as share from t""",
+)
+def segment_summary(spark, sf):
+    """Rounding and column order of a final table: counts whole, money and means to cents, shares of 0 to 1 to four places."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    totals = orders.join(customers, "o_custkey").groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("orders"), exact_sum(F.col("o_totalprice"), 2).alias("total")
+    )
+    shared = cross.share_of_total(totals, "total").withColumns(
+        {"mean_order": money(F.col("total") / F.col("orders")), "share": ratio(F.col("share")), "total": money(F.col("total"))}
+    )
+    return cross.output_order(shared, ["c_mktsegment"], ["orders", "total"], ["mean_order", "share"])
+
+
 @query(
     "result_set_comparison",
     f"""with a as ({BY_PRIORITY}), b as (select o_orderpriority, sum(o_totalprice) as total from orders group by 1)

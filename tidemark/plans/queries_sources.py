@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import exact_sum
@@ -45,14 +46,14 @@ EVENT_FILES = DatasetSpec(
 )
 
 
-def _written_files(spark, sf) -> str:
-    """The events as vendor-style files: one folder per event type, legacy encoding."""
+def _written_files(spark, sf, changes: dict[str, Column] | None = None) -> str:
+    """The events as vendor-style files: one folder per event type, legacy encoding; ``changes`` replace columns of the files."""
     source = scratch_path(spark, "vendor")
     folder = F.concat(F.lit("folder="), F.col("event_type"))
     files = table(spark, sf, "events").select(
         folder.alias("类型"), F.col("event_id").alias("编号"), F.to_date("ts").alias("日期"),
         F.col("value").alias("数值"), F.col("event_type").alias("folder"),
-    )
+    ).withColumns(changes or {})
     # Spark's CSV writer knows this encoding only under a setting, which is put back.
     setting = "spark.sql.legacy.javaCharsets"
     before = spark.conf.get(setting)
@@ -84,6 +85,40 @@ def vendor_file_conversion(spark, sf):
     )
 
 
+@query(
+    "vendor_faulty_lines",
+    """with e as (select concat('folder=', event_type) as kind, event_id, value, event_id % 17 = 0 as is_foreign,
+  event_id % 11 = 0 as bad_number, event_id % 13 = 0 as bad_day, event_id % 19 = 0 as blank from events)
+ select kind, count(*) as lines, count(*) filter (is_foreign) as problem_lines,
+  count(*) filter (not is_foreign and (bad_number or bad_day)) as malformed_lines,
+  count(*) filter (not is_foreign and not bad_day) as days,
+  count(*) filter (not is_foreign and not bad_number and not blank) as numbers,
+  coalesce(cast(sum(cast(value as decimal(18, 2))) filter (not is_foreign and not bad_number and not blank) as double), 0) as value
+ from e group by 1""",
+)
+def vendor_faulty_lines(spark, sf):
+    """Lines of another identity are set aside with their problem; values that do not fit their type become unknown and are listed."""
+    number = F.col("编号")
+    changes = {
+        "类型": F.when(number % 17 == 0, "folder=elsewhere").otherwise(F.col("类型")),
+        "数值": F.when(number % 11 == 0, "n/a").when(number % 19 == 0, None).otherwise(F.col("数值").cast("string")),
+        "日期": F.when(number % 13 == 0, "2020-13-45").otherwise(F.col("日期").cast("string")),
+    }
+    source = _written_files(spark, sf, changes)
+    paths = [row[0] for row in vendor_csv.list_files(spark, EVENT_FILES, source).select("path").collect()]
+    scanned = cut_lineage(vendor_csv.scan(spark, EVENT_FILES, paths), "scanned")
+    lines = scanned.groupBy("identity").agg(F.count(F.lit(1)).alias("lines"), F.count("problem").alias("problem_lines"))
+    bad = vendor_csv.malformed(EVENT_FILES, scanned).groupBy("identity").agg(F.count(F.lit(1)).alias("malformed_lines"))
+    good = vendor_csv.typed_rows(EVENT_FILES, scanned, strict=False).groupBy(F.col("kind").alias("identity")).agg(
+        F.count("day").alias("days"), F.count("value").alias("numbers"),
+        F.coalesce(exact_sum(F.col("value"), 2), F.lit(0.0)).alias("value"),
+    )
+    return lines.join(bad, "identity", "left").join(good, "identity", "left").select(
+        F.col("identity").alias("kind"), "lines", "problem_lines", F.coalesce("malformed_lines", F.lit(0)).alias("malformed_lines"),
+        "days", "numbers", "value",
+    )
+
+
 @query(
     "vendor_limited_conversion",
     "select concat('folder=', event_type) as kind, count(*) as row_count from events group by 1",
