@@ -335,3 +335,17 @@ def test_daily_build_needs_periods_of_the_rules_in_force(spark, tmp_path, monkey
     monkeypatch.setattr(build, "PIPELINE_VERSION", 2)
     with pytest.raises(ValueError, match="pipeline version 1 is not 2"):
         publish_daily(spark, stock_table(spark), output)
+
+
+def test_digests_of_files_change_with_their_files(spark):
+    from tidemark.plans import build
+
+    schema = "file string, identity string, length long, modified timestamp, signature string"
+    at = dt.datetime(2024, 1, 1)
+    known = lambda rows: spark.createDataFrame(rows, schema)
+    digests = lambda *tables: {row["symbol"]: row["digest"] for row in build.digests_of_files(*tables).collect()}
+    one, two = known([("a.csv", "a", 1, at, "s"), ("b.csv", "b", 1, at, "s")]), known([("a.csv", "a", 2, at, "s")])
+    before = digests(one, two)
+    assert set(before) == {"a", "b"} and digests(one, two) == before
+    after = digests(one, known([("a.csv", "a", 2, dt.datetime(2024, 1, 2), "s")]))
+    assert after["b"] == before["b"] and after["a"] != before["a"]
