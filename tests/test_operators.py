@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.functions.numeric import clamp, exact_sum, sum_if_any
-from tidemark.operators import aggregates, asof, charts, compare, crosssection, scans, search, turns
+from tidemark.operators import aggregates, asof, charts, compare, crosssection, postings, scans, search, turns
 from tidemark.session import table
 from tidemark.streaming import jobs
 
@@ -586,3 +586,39 @@ def test_quota_of_disordered_batches_equals_one_transaction_per_event(spark, tmp
     # Counts of days that can take no event any more are gone from the store.
     state = spark.read.format("statestore").option("stateVarName", "used").load(str(tmp_path / "progress"))
     assert [r["key"]["__day"] for r in state.select("key").collect()] == [(at + 20 * day).date()]
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_no_task_meets_all_shards(spark, sent):
+    """One block of queries meets twenty shards in several tasks, also where Spark would not broadcast it."""
+    shards = spark.range(20, numPartitions=5).select(F.array("id", F.col("id") + 100).alias("ids"))
+    packed = spark.range(2).select(F.col("id").cast("int").alias("block"), F.col("id").alias("asked"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for blocks in (1, 2):
+            met = postings.meet_shards(shards, packed.filter(F.col("block") < blocks), "ids", blocks, 20, sent)
+            rows = met.select("block", "asked", F.element_at("ids", 1).alias("shard"), F.spark_partition_id().alias("task")).collect()
+            assert sorted((r["shard"], r["block"], r["asked"]) for r in rows) == [(s, b, b) for s in range(20) for b in range(blocks)]
+            assert max(Counter(r["task"] for r in rows).values()) < 20 * blocks
+            assert len({r["task"] for r in rows}) > 2
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_searches_agree_on_both_ways_to_the_shards(spark):
+    draw = random.Random(5)
+    documents = spark.createDataFrame([(i, " ".join(draw.choices("abcdefgh", k=5))) for i in range(60)], "id int, body string")
+    asked = search.terms_of_queries(spark.createDataFrame([(q, draw.choice("abcdefgh") + " c") for q in range(9)], "q int, ask string"), "q", "ask")
+    index = postings.build_postings(documents, "id", "body", 4, 8)
+    vectors = spark.createDataFrame([(i, [draw.uniform(-1, 1) for _ in range(3)]) for i in range(60)], "id int, v array<double>")
+    queries = spark.createDataFrame([(q, [draw.uniform(-1, 1) for _ in range(3)]) for q in range(9)], "q int, w array<double>")
+    shards = search.vector_shards(vectors, "id", "v", 8, 4)
+    for seeded in (0, 100):
+        found = [sorted(map(tuple, postings.search_postings(index, asked, 5, 4, seeded, sent).drop("scored").filter("raw is not null").collect())) for sent in (0, 10**9)]
+        assert found[0] == found[1] and found[0]
+    found = [sorted(map(tuple, search.search_shards(shards, queries, "q", "w", 5, 4, sent).filter("score is not null").collect())) for sent in (0, 10**9)]
+    assert found[0] == found[1] and found[0]

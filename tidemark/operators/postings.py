@@ -28,12 +28,15 @@ BM25_B = 0.75
 BLOCK_DOCS, SHARD_DOCS, SHARD_TOKENS = 16, 4096, 4_000_000
 #: Common terms and directions by which a shard orders its documents.
 COMMON_TERMS, DIRECTIONS = 256, 4
-#: Tables of less than these estimated bytes are dealt out before they are indexed; larger ones are indexed where they lie.
-SPREAD_BYTES = 256_000_000
+#: Tables of less than these estimated bytes are dealt out before they are indexed, into tasks of at most so many; larger ones are
+#: indexed where they lie.
+SPREAD_BYTES, TASK_BYTES = 256_000_000, 16_000_000
 #: Beyond so many shards the floor of a query is taken from all of them.
 SEEDED_SHARDS = 16
 #: Queries that meet a shard together.
 QUERY_BLOCK = 1024
+#: Queries of less than these estimated bytes in all go to every task at once; more of them meet the shards lane by lane.
+SENT_BYTES, TERM_BYTES = 8_000_000, 32
 PARTS = ("lengths", "docs", "tfs", "blocks", "block_counts", "block_tfs", "block_lengths")
 NUMBERS = np.int32
 
@@ -43,9 +46,10 @@ def build_postings(
 ) -> DataFrame:
     """One row per shard, as a table in the shared folder. A null or empty text is a document without terms."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES:
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD_BYTES:
         # A small table may lie in one piece of one file; its texts are dealt out, so that all tasks share the work.
-        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
+        rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "doc_id")
     narrow = rows.select("doc_id", tokens(F.col("text")).alias("tokens"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"n int, words long, block_docs int, doc_ids array<{id_type}>, terms array<string>, counts array<int>, " + ", ".join(f"{p} binary" for p in PARTS)
@@ -111,6 +115,21 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def meet_shards(shards: DataFrame, packed: DataFrame, ids: str, blocks: int, lanes: int, sent: bool) -> DataFrame:
+    """Every shard next to every block of queries; ``packed`` has one row per ``block``.
+
+    Queries that are small (``sent``) go to all tasks, whatever size Spark expects of them: a shuffle by the block would bring all
+    shards to the few tasks that hold a block. Others meet the shards in lanes: a shard belongs to one, a block is listed in all.
+    """
+    each = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if sent:
+        return each.join(F.broadcast(packed), "block")
+    lane = F.pmod(F.xxhash64(F.element_at(ids, 1), F.element_at(ids, -1), F.size(ids)), F.lit(lanes)).cast("int")
+    listed = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    # Merged, as a table of blocks in memory would grow with the queries; one block and one shard are held at a time.
+    return each.withColumn("lane", lane).join(listed.hint("merge"), ["block", "lane"]).drop("lane")
+
+
 class Shard:
     """The part of a shard that the asked terms need."""
 
@@ -177,6 +196,7 @@ class Shard:
 
 def search_postings(
     postings: DataFrame, query_terms: DataFrame, depth: int | None, query_block: int = QUERY_BLOCK, seeded_shards: int = SEEDED_SHARDS,
+    sent_bytes: int = SENT_BYTES,
 ) -> DataFrame:
     """``query_id``, ``doc_id``, ``raw`` of what may be among the first ``depth`` documents of a query (all with None).
 
@@ -194,7 +214,8 @@ def search_postings(
     per_query = query_terms.join(frequency, "term").select("query_id", F.struct("term", gain.alias("gain")).alias("t")).groupBy("query_id").agg(F.collect_list("t").alias("terms"))
     query_type, id_type = query_terms.schema["query_id"].dataType.simpleString(), postings.schema["doc_ids"].dataType.elementType.simpleString()
     asked = cut_lineage(per_query, "asked")
-    blocks = max(-(-asked.count() // query_block), 1)
+    queries = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    blocks, sent = max(-(-queries.n // query_block), 1), queries.terms * TERM_BYTES < sent_bytes
 
     def over_shards(queries: DataFrame, work, schema: str) -> DataFrame:
         """``work(shard, ids, terms and gains and floor of each query)`` for every shard and block of queries."""
@@ -215,7 +236,7 @@ def search_postings(
                     each = [(codes[a:b], gains[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     yield work(Shard(row, coded.dictionary, mean), listed.field("query_id"), each, listed.field("floor").to_pylist())
 
-        pairs = postings.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+        pairs = meet_shards(postings, packed, "doc_ids", blocks, max(total.shards, 1), sent)
         return pairs.select("n", "block_docs", "doc_ids", "terms", "counts", *PARTS, "asked").mapInArrow(run, schema)
 
     def seeds(shard: Shard, ids: pa.Array, each: list, floors: list) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from tidemark.functions.numeric import clamp
 from tidemark.functions.text import content_hash, tokens
 from tidemark.operators.aggregates import first_rows_per
 from tidemark.operators.asof import newest_per
-from tidemark.operators.postings import build_postings, search_postings
+from tidemark.operators.postings import SENT_BYTES, build_postings, meet_shards, search_postings
 from tidemark.session import cut_lineage
 
 # Ranking constants and default depths.
@@ -74,8 +74,8 @@ def dense_search(
     Documents become shards where they are read (``vector_shards``). In a shard they are grouped around centres, and each
     group knows its centre and radius: no inner product with a query is above that of the centre plus the query's length
     times the radius. What the best groups of all shards hold gives a floor under a query's ``depth``-th document; groups
-    below it are skipped. Queries go to the shards in blocks, to all tasks at once where Spark finds them small; nothing
-    passes through the driver but a count.
+    below it are skipped. Queries go to the shards in blocks, to all tasks at once where they are small; nothing
+    passes through the driver but counts and small queries.
     """
     found = search_shards(vector_shards(documents, doc_id, vector), queries, query_id, query_vector, depth)
     hits_only = found.filter(F.col("score").isNotNull()).select("query_id", "doc_id", "score")
@@ -152,7 +152,9 @@ class _VectorShard:
         return out
 
 
-def search_shards(shards: DataFrame, queries: DataFrame, query_id: str, query_vector: str, depth: int, query_block: int | None = None) -> DataFrame:
+def search_shards(
+    shards: DataFrame, queries: DataFrame, query_id: str, query_vector: str, depth: int, query_block: int | None = None, sent_bytes: int = SENT_BYTES,
+) -> DataFrame:
     """``query_id``, ``doc_id``, ``score`` of what may be among the first ``depth``; rows without a score hold in ``scored`` how
     many documents of a shard were scored for the query."""
     asked = cut_lineage(
@@ -160,10 +162,11 @@ def search_shards(shards: DataFrame, queries: DataFrame, query_id: str, query_ve
         .filter(F.col("vector").isNotNull()),
         "queries",
     )
-    count = asked.count()
-    if not count:
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("parts")).first()
+    if not size.n:
         raise ValueError("no query vectors")
-    blocks = -(-count // (query_block or QUERY_BLOCK))
+    blocks, sent = -(-size.n // (query_block or QUERY_BLOCK)), size.parts * 8 < sent_bytes
+    lanes = 1 if sent else max(shards.count(), 1)
     id_type = shards.schema["doc_ids"].dataType.elementType.simpleString()
     query_type = asked.schema["query_id"].dataType.simpleString()
 
@@ -181,7 +184,7 @@ def search_shards(shards: DataFrame, queries: DataFrame, query_id: str, query_ve
                     floors = given.field("floor").to_numpy(zero_copy_only=False)
                     yield work(_VectorShard(row), given.field("query_id"), _as_matrix(given.field("vector")), floors)
 
-        pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+        pairs = meet_shards(shards, packed, "doc_ids", blocks, lanes, sent)
         return pairs.select("doc_ids", "vectors", "ends", "centres", "radii", "asked").mapInArrow(run, schema)
 
     def seeds(shard: _VectorShard, ids: pa.Array, vectors: np.ndarray, floors: np.ndarray) -> pa.RecordBatch:
