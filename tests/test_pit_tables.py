@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import quality
+from tidemark.functions.numeric import exact_sum
 from tidemark.plans import daily, metrics, periods
 from tidemark.plans.build import publish_daily, publish_periods
 from tidemark.sources.files import read_current
@@ -349,3 +350,23 @@ def test_digests_of_files_change_with_their_files(spark):
     assert set(before) == {"a", "b"} and digests(one, two) == before
     after = digests(one, known([("a.csv", "a", 2, dt.datetime(2024, 1, 2), "s")]))
     assert after["b"] == before["b"] and after["a"] != before["a"]
+
+
+@pytest.mark.parametrize("columns", [("symbol", "trade_date", "dso", "roic_ttm"), ("symbol", "trade_date", "revenue_yoy", "stock_name")])
+def test_daily_of_some_columns_is_part_of_the_whole(spark, columns):
+    """Only what the columns need travels through the as-of join; the values are those of the whole build."""
+    whole = daily.build_daily(stock_table(spark), period_table(spark)).select(*columns)
+    inputs = daily.period_inputs(daily.reports_for(columns))
+    part = daily.build_daily(stock_table(spark), period_table(spark).select(*inputs), columns=columns)
+    assert sorted(part.columns) == sorted(columns)
+    assert sorted(map(str, part.select(*columns).collect())) == sorted(map(str, whole.collect()))
+    assert len(daily.reports_for(columns)) < len(daily.REPORT_COLUMNS) / 2
+
+
+def test_exact_sum_beyond_a_long(spark):
+    """Totals of more units than a long holds, added without decimal objects."""
+    rows = spark.range(200).select((F.col("id") % 2).alias("g"), F.lit(9e13).alias("v"))
+    grouped = rows.groupBy("g").agg(exact_sum(F.when(F.col("g") == 0, F.col("v")).otherwise(-F.col("v"))).alias("s"))
+    assert {r["g"]: r["s"] for r in grouped.collect()} == {0: 9e15, 1: -9e15}
+    many = spark.range(200_000).agg(exact_sum(F.lit(9e13)).alias("s"))
+    assert many.first()["s"] == 1.8e19

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import quality
 from tidemark.plans import daily, market, metrics, oracles, periods
-from tidemark.plans.queries_market import build_all_days, build_all_periods
+from tidemark.plans.queries_market import CHECKED, build_all_days, build_all_periods
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
@@ -170,6 +170,6 @@ faulty as (select * from changed union all
 {oracles.daily_check_sql("faulty")}""",
 )
 def daily_check_of_faulty_rows(spark, sf):
-    days = cut_lineage(faulty_days(build_all_days(spark, sf)), "days")
+    days = cut_lineage(faulty_days(build_all_days(spark, sf, CHECKED)), "days")
     report = quality.check_daily(days, metrics.pick(metrics.DAILY_METRIC_IDS))
     return report.withColumn("errors", F.array_join("errors", "; "))
