@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,42 @@ def test_overlapping_intervals_against_brute_force(spark, monkeypatch, unit):
     assert rows == sorted(tuple((v is not None, v) for v in w) for w in wanted)
 
 
+def test_long_spans_are_listed_a_few_times(spark, tiny, monkeypatch):
+    """Spans of orders last for years; each may stand only in a few calendar units."""
+    from tidemark.plans import queries_market
+
+    given, join = {}, asof.interval_join
+
+    def noted(left, intervals, *args, unit="month", **more):
+        given.update(intervals=intervals, unit=unit)
+        return join(left, intervals, *args, unit=unit, **more)
+
+    monkeypatch.setattr(asof, "interval_join", noted)
+    queries_market.orders_open_at_shipping(spark, tiny)
+    unit, spans = given["unit"], given["intervals"].filter("opened < closed")
+    cut = lambda name: F.date_trunc(unit, F.col(name))
+    listed = spans.select(F.size(F.sequence(cut("opened"), cut("closed"), F.expr(f"interval 1 {unit}"))).alias("n"))
+    found = listed.agg(F.avg("n").alias("mean"), F.max("n").alias("most")).first()
+    assert found.mean < 5 and found.most < 12
+
+
+def test_sweep_hands_on_bounded_batches():
+    """Many open intervals over many rows, in one batch and cut between batches."""
+    n = 500
+    rows = [(i == 0, 0, i, None if i % 2 else 10**9, None, {"id": i}) for i in range(n)] + [(False, 1, n + i, None, {"at": i}, None) for i in range(n)]
+    kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.struct({"at": pa.int32()}), pa.struct({"id": pa.int32()})]
+    names = ["first", "side", "moment", "until", "left", "match"]
+    for size in (len(rows), 300):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows[at : at + size], strict=True), kinds, strict=True)], names=names)
+            for at in range(0, len(rows), size)
+        ]
+        got = list(asof._sweep(iter(batches)))
+        assert max(batch.num_rows for batch in got) <= asof.SWEPT_ROWS + n
+        pairs = {(left["at"], match["id"]) for batch in got for left, match in zip(*(column.to_pylist() for column in batch.columns), strict=True)}
+        assert len(pairs) == sum(batch.num_rows for batch in got) == n * n
+
+
 def test_stored_profile_takes_a_new_shard(spark):
     rng = random.Random(5)
     rows = [(i % 3, rng.choice([None, rng.gauss(0, 9)]), rng.choice(["x", "y", None]), START.date() + dt.timedelta(days=rng.randrange(400)), rng.randrange(5000)) for i in range(6000)]
