@@ -625,6 +625,26 @@ def test_quota_of_disordered_batches_equals_one_transaction_per_event(spark, tmp
     assert [r["key"]["__day"] for r in state.select("key").collect()] == [(at + 20 * day).date()]
 
 
+def test_keys_of_a_day_share_few_state_values(spark, tmp_path):
+    """Sixty keys of a day in three values; a resumed stream goes on from their counts."""
+    source, output, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    schema = "user_id long, event_id long, ts timestamp_ntz, note int"
+    at, minute = dt.datetime(2024, 3, 1, 4), dt.timedelta(minutes=1)
+    draw = random.Random(3)
+    parts = []
+    for part in range(2):
+        parts.append([(u, part * 1000 + u * 10 + i, at + draw.randrange(60) * minute, draw.choice([None, 2**31 - 1])) for u in range(60) for i in range(draw.randrange(1, 4))])
+        spark.createDataFrame(parts[-1], schema).repartition(3).write.mode("append").parquet(source)
+        events = spark.readStream.schema(schema).parquet(source)
+        jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, progress, limit=3, arrived="ts", lanes=3).awaitTermination()
+    rows = spark.read.parquet(output).collect()
+    wanted = consumed([[(u, e, t, t) for u, e, t, _ in rows_] for rows_ in parts], 3)
+    assert sorted((r.event_id, r.reason, r.remaining) for r in rows) == wanted and {w[1] for w in wanted} == {None, "quota"}
+    assert {r.event_id: r.note for r in rows} == {e: note for part in parts for _, e, _, note in part}
+    state = spark.read.format("statestore").option("stateVarName", "used").load(progress)
+    assert state.count() == 3
+
+
 @pytest.mark.parametrize("sent", [True, False])
 def test_no_task_meets_all_shards(spark, sent):
     """One block of queries meets twenty shards in several tasks, also where Spark would not broadcast it."""

@@ -118,7 +118,7 @@ def retained_usage(spark, sf):
 @query("streaming_daily_quota", QUOTA_SQL)
 def streaming_quota(spark, sf):
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", "event_id", "ts")
     output, checkpoint = scratch_path(spark, "quota"), scratch_path(spark, "quota-progress")
     jobs.admit_daily(events, "user_id", "ts", ["event_id"], output, checkpoint, arrived="ts").awaitTermination()
     return spark.read.parquet(output).where(F.col("decision") == "admitted").select("user_id", "event_id", "usage_day", "remaining")

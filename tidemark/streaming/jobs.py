@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from tidemark.functions.dates import local_day
 from tidemark.operators.asof import asof_join
@@ -23,6 +24,8 @@ from tidemark.sources.contracts import DatasetSpec
 
 #: Groups over which a batch's refused events are spread.
 REFUSED_LANES = 64
+#: Groups over which the keys of a day are spread; a stream keeps the number it was started with.
+KEY_LANES = 256
 
 
 def ingest_new_files(
@@ -50,38 +53,53 @@ def ingest_new_files(
 
 
 class Admission(StatefulProcessor):
-    """State per (key, day): how many events were admitted. It is forgotten once no event of the day can come any more."""
+    """State per (lane of keys, day): how many events of each key were admitted. It is forgotten once no event of the day can
+    come any more.
 
-    def __init__(self, limit: int, order: Sequence[str], days: int, names: Sequence[str]):
-        self.limit, self.order, self.days, self.names = limit, list(order), days, list(names)
+    A call to the state store costs far more than a row, so the keys of a lane share one value and one timer.
+    """
+
+    def __init__(self, limit: int, key: str, key_type: DataType, order: Sequence[str], days: int, names: Sequence[str]):
+        self.limit, self.key, self.order, self.days, self.names = limit, key, list(order), days, list(names)
+        self.kept = StructType([StructField("keys", ArrayType(key_type)), StructField("counts", ArrayType(IntegerType()))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "used int")
-
-    def _row(self, row: Row, **decided) -> Row:
-        return Row(**{name: decided[name] if name in decided else row[name] for name in self.names})
-
-    def _place(self, row: Row) -> list:
-        return [(row[name] is not None, row[name]) for name in self.order]
+        self.used = handle.getValueState("used", self.kept)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        day = key[1]
+        day, out = key[1], Row(*self.names)
         if day is None:  # refused before
-            yield from map(self._row, rows)
+            for row in rows:
+                yield out(*[row[name] for name in self.names])
             return
-        used = self.used.get()[0] if self.used.exists() else 0
-        left = self.limit - used
-        # Only as many rows are held as may still be admitted; numbers part rows that are equal in all of the order.
-        best: list[tuple] = []
+        state = self.used.get()
+        used = dict(zip(*state, strict=True)) if state else {}
+        # Of each key only as many rows are held as may still be admitted; numbers part rows that are equal in all of the order.
+        best: dict[object, list[tuple]] = {}
+        at, remains, why = None, self.names.index("remaining"), self.names.index("reason")
+
+        def decided(row: Row, remaining: int | None, reason: str | None) -> Row:
+            values = [row[i] for i in at]
+            values[remains], values[why] = remaining, reason
+            return out(*values)
+
         for number, row in enumerate(rows):
-            bisect.insort(best, (self._place(row), number, row))
-            if len(best) > left:
-                yield self._row(best.pop()[2], remaining=None, reason="quota")
-        for at, (_, _, row) in enumerate(best):
-            yield self._row(row, remaining=left - 1 - at, reason=None)
-        if best:
-            self.used.update((used + len(best),))
+            if at is None:
+                places = {name: i for i, name in enumerate(row.__fields__)}
+                at, who, order = [places[name] for name in self.names], places[self.key], [places[name] for name in self.order]
+            held = best.setdefault(row[who], [])
+            bisect.insort(held, ([(row[i] is not None, row[i]) for i in order], number, row))
+            if len(held) > self.limit - used.get(row[who], 0):
+                yield decided(held.pop()[2], None, "quota")
+        for name, held in best.items():
+            left = self.limit - used.get(name, 0)
+            for place, (_, _, row) in enumerate(held):
+                yield decided(row, left - 1 - place, None)
+        counts = {name: used.get(name, 0) + len(held) for name, held in best.items() if held}
+        if counts:
+            counts = used | counts
+            self.used.update((list(counts), list(counts.values())))
             if not used:
                 midnight = (day - date(1970, 1, 1)).days * 86_400_000
                 self.handle.registerTimer(midnight + (self.days + 2) * 86_400_000)
@@ -97,6 +115,7 @@ class Admission(StatefulProcessor):
 def admit_daily(
     events: DataFrame, key: str, moment: str, tie: Sequence[str], output: str, checkpoint: str, limit: int = DAILY_LIMIT,
     arrived: str | None = None, disorder: str = "1 day", days: int = RETENTION_DAYS, trigger: dict | None = None,
+    lanes: int = KEY_LANES,
 ) -> StreamingQuery:
     """Decide on every event whether its key still has some of the ``limit`` of its local day, across micro-batches.
 
@@ -108,6 +127,9 @@ def admit_daily(
     The clock is ``arrived``, the time at which a row reached the stream (by default that of its batch), and never the time
     in the event: the watermark follows it, and a timer drops the count of a day once no event of it can be admitted. Arrival
     times may be out of order by ``disorder``; Spark drops rows that are further behind, and reports their number.
+
+    The counts of a day are kept in ``lanes`` values, by hash of the key. A batch's rows of one lane and day are in the memory
+    of one task; a checkpoint is bound to the number of lanes it was started with.
     """
     spark = events.sparkSession
     clock = F.col(arrived) if arrived else F.current_timestamp()
@@ -121,16 +143,16 @@ def admit_daily(
     )
     # Refused rows touch no state: they are spread over lanes of their own.
     refused = F.col("reason").isNotNull()
-    lanes = F.when(refused, F.pmod(F.xxhash64(*events.columns), F.lit(REFUSED_LANES))).otherwise(F.lit(0))
+    lane = F.when(refused, F.pmod(F.xxhash64(*events.columns), F.lit(REFUSED_LANES))).otherwise(F.pmod(F.xxhash64(key), F.lit(lanes)))
     grouped = judged.withWatermark("__arrived", disorder).withColumns(
-        {"__key": F.when(~refused, F.col(key)), "__day": F.when(~refused, F.col("usage_day")), "__lane": lanes}
-    ).groupBy("__key", "__day", "__lane")
+        {"__lane": lane, "__day": F.when(~refused, F.col("usage_day"))}
+    ).groupBy("__lane", "__day")
     schema = judged.drop("__arrived").schema
     names = schema.fieldNames()
     store, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(store)
     decided = grouped.transformWithState(
-        Admission(limit, [moment, *tie], days, names), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        Admission(limit, key, events.schema[key].dataType, [moment, *tie], days, names), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
