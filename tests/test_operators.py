@@ -645,6 +645,17 @@ def test_keys_of_a_day_share_few_state_values(spark, tmp_path):
     assert state.count() == 3
 
 
+def test_weeks_of_the_quota_stream_are_written_by_many_tasks(spark, tiny, tmp_path, monkeypatch):
+    from tidemark.plans import queries_turns
+
+    table(spark, tiny, "events").repartition(4).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    monkeypatch.setattr(queries_turns, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rows = queries_turns.streaming_quota_batches(spark, str(tmp_path / "sf")).collect()
+    assert len(rows) == table(spark, tiny, "events").count() == len({r.event_id for r in rows})
+    weeks = spark.read.parquet(str(tmp_path / "quota-in")).select(F.floor(F.dayofmonth("arrived") / 8).alias("week"), F.input_file_name().alias("file"))
+    assert all(r.files > 1 for r in weeks.groupBy("week").agg(F.countDistinct("file").alias("files")).collect())
+
+
 @pytest.mark.parametrize("sent", [True, False])
 def test_no_task_meets_all_shards(spark, sent):
     """One block of queries meets twenty shards in several tasks, also where Spark would not broadcast it."""

@@ -151,14 +151,15 @@ def disordered_events(spark, sf) -> DataFrame:
  case when refused is not null then refused when place > 5 then 'quota' end as reason from d""",
 )
 def streaming_quota_batches(spark, sf):
-    """Four batches, a week of arrivals each, through one stream."""
+    """Four batches, a week of arrivals each, through one stream that is stopped and resumed."""
     source, output, checkpoint = (scratch_path(spark, f"quota-{name}") for name in ("in", "out", "progress"))
     events = disordered_events(spark, sf)
     schema = events.drop("part").schema
     for part in range(4):
-        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.admit_daily(stream, "user_id", "moment", ["event_id"], output, checkpoint, arrived="arrived").awaitTermination()
+        # A week is as many files as tasks write it; what has arrived at a start is one batch.
+        events.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.admit_daily(stream, "user_id", "moment", ["event_id"], output, checkpoint, arrived="arrived").awaitTermination()
     return spark.read.parquet(output).select("event_id", "user_id", "usage_day", "remaining", "reason")
 
 
