@@ -229,6 +229,23 @@ def test_top_k_ranks_every_repeated_row(spark):
     assert sorted((r.query_id, r.rank, r.row_id, r.score) for r in hits) == brute_top(usable * 3, [(i, v) for i, v in usable if i % 20 == 0], 10)
 
 
+@pytest.mark.parametrize("kind", ["large", "sparse"])
+def test_top_k_of_large_numbers_and_of_sparse_vectors(spark, monkeypatch, kind):
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(topk, "PROBED", 2)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(0, 1, (500, 9)) * 2.0**19) if kind == "large" else np.round(rng.normal(0, 9, (500, 9)))
+    if kind == "large":
+        vectors[250:] = vectors[:250] + rng.integers(-1, 2, (250, 9)) / 1024  # scores beyond 2 ** 53 that differ by little
+    else:
+        vectors[rng.random((500, 9)) < 0.8] = 0
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    found = topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    usable = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data]
+    hits = topk.top_k(found, found.where("key % 20 = 0"), 10).collect()
+    assert sorted((r.query_id, r.rank, r.row_id, r.score) for r in hits) == brute_top(usable, [(i, v) for i, v in usable if i % 20 == 0], 10)
+
+
 def test_top_k_of_few_or_no_rows(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "vec_id long, embedding array<float>")
     found = topk.integer_vectors(rows)

@@ -1,11 +1,12 @@
 """Exact top-k by inner product over integer vectors, by MaxScore on posting lists.
 
 A term is a dimension with a sign; its postings are the rows whose component has that sign, so that for a query exactly
-one of a dimension's two lists can raise a score. Rows are packed into shards where they are read. Per query and shard,
-the lists are ordered by the most they can add (query weight times the shard's largest component). The lists with small
-bounds that together cannot lift a row above the k-th best score are non-essential: only rows in an essential list are
-looked at. These are probed in the other dimensions, largest bound first, as long as what they have plus what is left can
-still beat the k-th best. The best k of every shard are merged per query.
+one of a dimension's two lists can raise a score. Rows are packed into shards where they are read, a table in the shared
+folder, and shards meet blocks of queries in a grid. Per shard and group of queries, dimensions are ordered by the most they
+can add (query weight times the shard's largest component, summed over the group). The lists at the end of this order that
+together cannot lift a row above a query's k-th best score are non-essential for it: only rows in an essential list of some
+query are looked at. These are probed in that order, for all queries at once, until few pairs of a query and a row can
+still beat the query's k-th best with what is left; those are followed one by one. The best k of every shard are merged per query.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.grid import meet
 from tidemark.llm.text import NO_ID, key_of
 from tidemark.session import cut_lineage
 
 #: Rows of a shard and queries of a block at most.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 512
-#: Dimensions probed between two cuts.
-PROBED = 8
+#: Queries searched together, dimensions probed between two cuts, and the share of pairs below which each is followed by itself.
+GROUP_QUERIES, PROBED, FEW = 128, 16, 1 / 32
+#: Sums below this are exact in doubles.
+EXACT = 2.0**52
 PACKED = "n int, ids binary, values binary"
 HITS = "query_key long, query_hash long, row_key long, score long"
 
@@ -76,48 +80,83 @@ class Shard:
         self.low = values.min(axis=0, initial=0) if len(values) else np.zeros(values.shape[1], np.int64)
         self.postings = [(np.flatnonzero(column > 0), np.flatnonzero(column < 0)) for column in self.columns]
 
-    def best(self, own: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best k rows other than ``own``, best first, smaller places first among equals."""
-        dims = min(len(weights), len(self.columns))
-        weights, columns = weights[:dims], self.columns[:dims]
-        bounds = np.maximum(weights * self.high[:dims], weights * self.low[:dims])
-        rest_of = np.concatenate([np.cumsum(np.sort(bounds)[::-1])[::-1], [0]])  # what dimensions from here on can add
-        order = np.argsort(-bounds, kind="stable")
-        places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def best(self, own: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries (one row of ``weights`` each): the query, place and score of its best k rows other than ``own``.
+
+        By query, best first, smaller places first among equals.
+        """
+        dims = min(weights.shape[1], len(self.columns))
+        weights, high, low = weights[:, :dims], self.high[:dims], self.low[:dims]
+        largest = np.abs(weights.astype(float)) @ np.maximum(high.astype(float), -low.astype(float))
+        # Sums of integers that stay below 2 ** 53 are exact in doubles too, which multiply many times faster.
+        number = np.float64 if largest.max(initial=0) < EXACT else np.int64
+        bounds = np.maximum(weights * high, weights * low)
+        order = np.argsort(-bounds.astype(float).sum(axis=0), kind="stable")
+        weights, columns, postings = weights[:, order].astype(number), self.columns[order].astype(number), [self.postings[d] for d in order.tolist()]
+        # What dimensions from here on can add to each query.
+        rest = np.concatenate([np.cumsum(bounds[:, order][:, ::-1], axis=1)[:, ::-1], np.zeros((len(weights), 1), np.int64)], axis=1).astype(number)
+        lowest = -np.inf if number is np.float64 else np.iinfo(np.int64).min
+        least = np.full(len(weights), lowest, number)  # the k-th best score so far
+        queries, places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, number)
         step, start = max(4 * k, 64), 0
         while start < len(self.ids):
             end = min(start + step, len(self.ids))
-            least = scores[-1] if len(scores) == k else None
-            if least is None:
-                found = np.arange(start, end)
-            else:
-                # The essential lists: without them nothing more than rest_of[essential] can come together.
-                essential = int(np.count_nonzero(rest_of[:-1] > least))
-                if least < 0:
-                    found = np.arange(start, end)  # a row in no list scores up to 0 and is competitive
-                else:
-                    seen = np.zeros(end - start, bool)
-                    for d in order[:essential].tolist():
-                        if weights[d]:
-                            listed = self.postings[d][0 if weights[d] > 0 else 1]
-                            lo, hi = np.searchsorted(listed, (start, end))
-                            seen[listed[lo:hi] - start] = True
-                    found = start + np.flatnonzero(seen)
-            found = found[self.ids[found] != own]
-            partial = np.zeros(len(found), np.int64)
-            for at in range(0, dims, PROBED):
-                probe = order[at : at + PROBED]
-                partial += weights[probe] @ columns[np.ix_(probe, found)]
-                if least is not None:
-                    competitive = partial + rest_of[min(at + PROBED, dims)] > least
-                    found, partial = found[competitive], partial[competitive]
-                if not len(found):
-                    break
-            places, scores = np.concatenate([places, found]), np.concatenate([scores, partial])
-            top = np.lexsort((places, -scores))[:k]
-            places, scores = places[top], scores[top]
+            found = start + np.flatnonzero(self._listed(start, end, weights, postings, rest, least))
+            q, at, partial = self._probe(found, weights, columns, rest, least)
+            other = self.ids[at] != own[q]
+            queries, places, scores = np.concatenate([queries, q[other]]), np.concatenate([places, at[other]]), np.concatenate([scores, partial[other]])
+            ranked = np.lexsort((places, -scores, queries))
+            counts = np.bincount(queries, minlength=len(weights))
+            ranked = ranked[np.arange(len(ranked)) - np.repeat(np.cumsum(counts) - counts, counts) < k]
+            queries, places, scores = queries[ranked], places[ranked], scores[ranked]
+            full = counts >= k
+            least[full] = scores[np.cumsum(np.minimum(counts, k))[full] - 1]
             start, step = end, 4096
-        return places, scores
+        return queries, places, scores.astype(np.int64)
+
+    @staticmethod
+    def _listed(start: int, end: int, weights: np.ndarray, postings: list, rest: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which rows are in an essential list of a query: without these lists nothing above its k-th best can come together."""
+        seen = np.zeros(end - start, bool)
+        if (least < 0).any():
+            return ~seen  # a row in no list scores up to 0 and is competitive
+        essential = rest[:, :-1] > least[:, None]
+        for d, both in enumerate(postings):
+            for side, listed in zip((weights[:, d] > 0, weights[:, d] < 0), both, strict=True):
+                if (essential[:, d] & side).any():
+                    lo, hi = np.searchsorted(listed, (start, end))
+                    seen[listed[lo:hi] - start] = True
+            if seen.all():
+                break
+        return seen
+
+    @staticmethod
+    def _probe(found: np.ndarray, weights: np.ndarray, columns: np.ndarray, rest: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, places and scores above the query's ``least`` among the places ``found``."""
+        dims, at = len(columns), 0
+        partial = np.zeros((len(weights), len(found)), weights.dtype)
+        alive = partial + rest[:, :1] > least[:, None]
+        # All pairs together, as long as many of them are alive.
+        while at < dims and np.count_nonzero(alive) > FEW * alive.size:
+            end = min(at + PROBED, dims)
+            partial += weights[:, at:end] @ columns[at:end, found]
+            alive = partial + rest[:, end : end + 1] > least[:, None]
+            left = alive.any(axis=0)
+            if not left.all():
+                found, partial, alive = found[left], partial[:, left], alive[:, left]
+            if not len(found):
+                break
+            at = end
+        q, place = np.nonzero(alive)
+        partial, found = partial[q, place], found[place]
+        while at < dims and len(q):
+            end = min(at + PROBED, dims)
+            for d in range(at, end):
+                partial += weights[q, d] * columns[d, found]
+            competitive = partial + rest[q, end] > least[q]
+            q, found, partial = q[competitive], found[competitive], partial[competitive]
+            at = end
+        return q, found, partial
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -127,39 +166,32 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ranked, those that repeat an id and a vector too; a repeated query counts once, queries of one id with different vectors
     each count. Missing dimensions count as 0. A query without candidates, and empty tables, give no rows.
     """
-    # Queries meet shards in blocks: each pair of a block and a shard is one row, dealt over many tasks by a salt.
     asked = cut_lineage(
         queries.withColumn("hash", F.xxhash64("vector")).dropDuplicates(["key", "hash"]), "queries"
     )
-    blocks = -(-asked.count() // BLOCK_QUERIES)
-    salts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-asked.count() // BLOCK_QUERIES), 1)
     packed_queries = (
-        asked.withColumn("block", F.pmod(F.xxhash64("key", "hash"), F.lit(max(blocks, 1))).cast("int"))
+        asked.withColumn("block", F.pmod(F.xxhash64("key", "hash"), F.lit(blocks)).cast("int"))
         .groupBy("block").applyInPandas(_pack_block, "block int, asked int, names binary, weights binary")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    shards = (
-        candidates.select("key", "vector").mapInArrow(_pack, PACKED)
-        .withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
     )
+    shards = cut_lineage(candidates.select("key", "vector").mapInArrow(_pack, PACKED), "shards")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], np.int64)
                 shard = Shard(ids, np.frombuffer(row["values"], np.int64).reshape(row["n"], -1))
                 names = np.frombuffer(row["names"], np.int64).reshape(-1, 2)
                 weights = np.frombuffer(row["weights"], np.int64).reshape(row["asked"], -1)
-                found = [shard.best(name[0], weight, k) for name, weight in zip(names, weights, strict=True)]
-                sizes = [len(places) for places, _ in found]
-                columns = [
-                    np.repeat(names[:, 0], sizes), np.repeat(names[:, 1], sizes),
-                    ids[np.concatenate([places for places, _ in found])], np.concatenate([scores for _, scores in found]),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_key", "query_hash", "row_key", "score"])
-
-    hits = shards.join(packed_queries, ["block", "salt"]).select("n", "ids", "values", "asked", "names", "weights").mapInArrow(search, HITS)
+                for start in range(0, row["asked"], GROUP_QUERIES):
+                    group = names[start : start + GROUP_QUERIES]
+                    found, places, scores = shard.best(group[:, 0], weights[start : start + GROUP_QUERIES], k)
+                    columns = [group[found, 0], group[found, 1], ids[places], scores]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_key", "query_hash", "row_key", "score"])
+
+    pairs = meet(shards, F.xxhash64("ids"), shards.count(), packed_queries, blocks)
+    hits = pairs.select("n", "ids", "values", "asked", "names", "weights").mapInArrow(search, HITS)
     merged = Window.partitionBy("query_key", "query_hash").orderBy(F.col("score").desc(), "row_key")
     return (
         hits.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
