@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import grid, topk
+from tidemark.llm import graph, grid, topk
 
 
 def plan_of(df):
@@ -41,3 +41,12 @@ def test_exact_search_broadcasts_no_copies_of_queries(spark, partitions):
     assert "Broadcast" not in plan_of(hits)
     assert hits.count() == 60
     assert "Broadcast" not in plan_of(hits)
+
+
+def test_graph_search_broadcasts_no_copies_of_queries(spark, partitions):
+    partitions(64)
+    vectors = graph.usable_vectors(vectors_of(spark))
+    hits = graph.search(graph.build_index(vectors), vectors, vectors.where("key % 20 = 0"), 3)
+    assert "Broadcast" not in plan_of(hits)
+    assert hits.count() == 60
+    assert "Broadcast" not in plan_of(hits)

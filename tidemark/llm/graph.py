@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.grid import meet
 from tidemark.llm.text import id_of, key_of
 from tidemark.session import cut_lineage
 
@@ -247,12 +248,7 @@ def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20
         asked.withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int")).groupBy("block")
         .applyInArrow(_pack, "block int, asked int, query_names binary, query_vectors binary")
     )
-    # Each pair of a shard and a block of queries is one row and one unit of work, dealt out by itself.
-    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (
-        index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod("shard", F.lit(salts)))
-        .join(packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["block", "salt"])
-    )
+    pairs = meet(index, "shard", index.count(), packed, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +276,6 @@ def search(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20
     # Of the rows that share a vector, k + 1 are as many as any query can use.
     members = vectors.select("h1", "h2", "key").withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("key"))).where(F.col("place") <= k + 1)
     by_row = Window.partitionBy(*query).orderBy(F.col("score").desc(), "key")
-    rows = nodes.join(members.select("h1", "h2", "key"), ["h1", "h2"]).where(F.col("key") != F.col("query_key"))
+    rows = nodes.hint("merge").join(members.select("h1", "h2", "key"), ["h1", "h2"]).where(F.col("key") != F.col("query_key"))
     ranked = rows.withColumn("rank", F.row_number().over(by_row)).where(F.col("rank") <= k)
     return ranked.select(id_of("query_key").alias("query_id"), "rank", id_of("key").alias("row_id"), "score")
